@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nomenclia.shipping import ship
+
 #: Fixed value: a word is a run of characters other than space and ASCII 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,8 +53,9 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so that long texts stay within a worker's memory."""
+def python_ready(spark: SparkSession, rows: int = 512) -> None:
+    """Get ready to run Python on the executors: code there, and bounded rows in an Arrow batch."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

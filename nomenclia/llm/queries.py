@@ -5,8 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomenclia.llm import secrets
-from nomenclia.llm.common import table
+from nomenclia.llm import mixing, packing, records, secrets
+from nomenclia.llm.common import n_words, stage, staging_path, table
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = stage(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    mixed = mixing.mix(sized, size=F.col("size"))
+    return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "position", "repeat_position")
+
+
+def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    return packing.pack(cut)
+
+
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging_path(spark, "records")
+    records.write_records(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return records.build_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +38,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.spans_text(F.col("base_spans")), 256).alias("base_sha256"), secrets.spans_text(F.col("all_spans")).alias("spans"))
 
 
-QUERIES = {"op10_secret_scan": op10_secret_scan}
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_pack_documents": op2_pack_documents,
+    "op9_token_records": op9_token_records,
+    "op10_secret_scan": op10_secret_scan,
+}
 ORACLES: dict[str, str] = {}
