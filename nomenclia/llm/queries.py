@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomenclia.llm import mixing, packing, records, secrets
+from nomenclia.llm import mixing, ogg, packing, records, secrets, toxicity
 from nomenclia.llm.common import n_words, stage, staging_path, table
 
 
@@ -26,6 +26,16 @@ def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(toxicity.fold() != 0))
+    return toxicity.score(docs, model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.from_media(ogg.to_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging_path(spark, "records")
     records.write_records(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
@@ -41,6 +51,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_documents": op2_pack_documents,
+    "op4_toxicity": op4_toxicity,
+    "op7_ogg_media": op7_ogg_media,
     "op9_token_records": op9_token_records,
     "op10_secret_scan": op10_secret_scan,
 }
