@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomenclia.llm import mixing, ogg, packing, records, secrets, toxicity
+from nomenclia.llm import lm, mixing, ogg, packing, records, secrets, toxicity
 from nomenclia.llm.common import n_words, stage, staging_path, table
 
 
@@ -32,6 +32,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (toxicity.fold(folds=7) == 2).alias("held_out"), "text")
+    return lm.score(docs, docs.where("not held_out"))
+
+
 def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.from_media(ogg.to_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_documents": op2_pack_documents,
     "op4_toxicity": op4_toxicity,
+    "op6_suffix_tree_lm": op6_suffix_tree_lm,
     "op7_ogg_media": op7_ogg_media,
     "op9_token_records": op9_token_records,
     "op10_secret_scan": op10_secret_scan,
