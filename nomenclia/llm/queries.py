@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomenclia.llm import lm, mixing, ogg, packing, records, secrets, toxicity
+from nomenclia.llm import lm, mixing, ogg, packing, records, secrets, substring, toxicity
 from nomenclia.llm.common import n_words, stage, staging_path, table
 
 
@@ -41,6 +41,10 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.from_media(ogg.to_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging_path(spark, "records")
     records.write_records(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
@@ -59,6 +63,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_suffix_tree_lm": op6_suffix_tree_lm,
     "op7_ogg_media": op7_ogg_media,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_token_records": op9_token_records,
     "op10_secret_scan": op10_secret_scan,
 }
