@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomenclia.llm import lm, mixing, ogg, packing, records, secrets, substring, toxicity
+from nomenclia.llm import lm, mixing, ogg, packing, records, secrets, substring, topk, toxicity
 from nomenclia.llm.common import n_words, stage, staging_path, table
 
 
@@ -18,7 +18,7 @@ def vocabulary(name: str) -> str:
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = stage(table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     mixed = mixing.mix(sized, size=F.col("size"))
-    return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "position", "repeat_position")
+    return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"), F.round("repeat_position", 9).alias("repeat_position"))
 
 
 def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (toxicity.fold(folds=7) == 2).alias("held_out"), "text")
     return lm.score(docs, docs.where("not held_out"))
@@ -61,10 +66,57 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_documents": op2_pack_documents,
     "op4_toxicity": op4_toxicity,
+    "op5_topk_search": op5_topk_search,
     "op6_suffix_tree_lm": op6_suffix_tree_lm,
     "op7_ogg_media": op7_ogg_media,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_token_records": op9_token_records,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP1_SQL = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+  FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+o AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) AS cycle FROM s),
+w AS (SELECT *, CASE cycle WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, 2 * source_size AS cap FROM o),
+l AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM w
+  WINDOW b AS (ORDER BY cap::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (SELECT source, source_size, cycle, least(cap::DOUBLE, w * (max(level) OVER ())) AS target FROM l),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.cycle, CAST(round(t.target) AS BIGINT) AS goal,
+         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, least(size, greatest(0, goal - before)) AS one, least(size, greatest(0, goal - before - source_size)) AS two FROM p
+), u AS (SELECT *, least(1.0::DOUBLE, (before + one / 2.0::DOUBLE) / target) AS u1, least(1.0::DOUBLE, (before + source_size + two / 2.0::DOUBLE) / target) AS u2 FROM c),
+f AS (
+  SELECT doc_id, size, source_size, target, one + two AS taken,
+    CASE WHEN one > 0 THEN CASE cycle
+      WHEN 0 THEN CASE WHEN u1 <= 0.625 THEN 2 * u1 / (1.5 + sqrt(2.25 - 2 * u1)) ELSE 0.5 + 2 * (u1 - 0.625) / (1 + sqrt(1 - 2 * (u1 - 0.625))) END
+      WHEN 1 THEN CASE WHEN u1 <= 0.375 THEN 2 * u1 / (0.5 + sqrt(0.25 + 2 * u1)) ELSE 0.5 + 2 * (u1 - 0.375) / (1 + sqrt(1 + 2 * (u1 - 0.375))) END
+      ELSE u1 END END AS position,
+    CASE WHEN two > 0 THEN CASE cycle
+      WHEN 0 THEN CASE WHEN u2 <= 0.625 THEN 2 * u2 / (1.5 + sqrt(2.25 - 2 * u2)) ELSE 0.5 + 2 * (u2 - 0.625) / (1 + sqrt(1 - 2 * (u2 - 0.625))) END
+      WHEN 1 THEN CASE WHEN u2 <= 0.375 THEN 2 * u2 / (0.5 + sqrt(0.25 + 2 * u2)) ELSE 0.5 + 2 * (u2 - 0.375) / (1 + sqrt(1 + 2 * (u2 - 0.375))) END
+      ELSE u2 END END AS repeat_position
+  FROM u
+)
+SELECT doc_id, size, source_size, target, taken, round(position, 9) AS position, round(repeat_position, 9) AS repeat_position FROM f
+"""
+
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op5_topk_search": OP5_SQL}
