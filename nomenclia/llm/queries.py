@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomenclia.llm import lm, mixing, ogg, packing, records, secrets, substring, topk, toxicity
+from nomenclia.llm import lm, mixing, ngram_join, ogg, packing, records, secrets, substring, topk, toxicity
 from nomenclia.llm.common import n_words, stage, staging_path, table
 
 
@@ -26,6 +26,10 @@ def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(toxicity.fold() != 0))
@@ -65,6 +69,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_documents": op2_pack_documents,
+    "op3_ngram_join": op3_ngram_join,
     "op4_toxicity": op4_toxicity,
     "op5_topk_search": op5_topk_search,
     "op6_suffix_tree_lm": op6_suffix_tree_lm,
