@@ -66,7 +66,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.spans_text(F.col("base_spans")), 256).alias("base_sha256"), secrets.spans_text(F.col("all_spans")).alias("spans"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_documents": op2_pack_documents,
     "op3_ngram_join": op3_ngram_join,
