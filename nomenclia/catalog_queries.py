@@ -1,4 +1,472 @@
-"""Queries over the driver's tables, one per catalogue operator, with SQL oracles."""
+"""Queries over the driver's tables, one or more for each catalogue operator, with SQL oracles.
 
-QUERIES = {}
-ORACLES = {}
+A catalogue is read from ``part``: a part is a position, its name the name of
+the position, brand and type quality values, size a concrete number, and the
+price a range of ten. Descriptions are put together from the same columns.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from nomenclia.functions import similarity, units
+from nomenclia.functions import text as X
+from nomenclia.operators import index, match, narrow, ranges
+from nomenclia.shipping import ship
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cat_positions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("name"), F.col("p_brand").alias("okpd2_code"), F.col("p_type").alias("okpd2_name"), (F.col("p_partkey") % 20 == 0).alias("is_template"))
+
+
+POSITIONS = "positions AS (SELECT p_partkey AS code, p_name AS name, p_brand AS okpd2_code, p_type AS okpd2_name, p_partkey % 20 = 0 AS is_template FROM part)"
+
+
+def cat_values(spark: SparkSession, d: str) -> DataFrame:
+    low = F.floor(F.col("p_retailprice") / 10) * 10.0
+    none, yes = F.lit(None).cast("double"), F.lit(True)
+    p = table(spark, d, "part")
+    row = lambda char, kind, label, number, lower, upper: p.select(F.col("p_partkey").alias("code"), F.lit(char).alias("char"), F.lit(kind).alias("kind"), label.cast("string").alias("label"), number.cast("double").alias("number"), lower.alias("lower"), upper.alias("upper"), yes.alias("lower_inc"), F.lit(False).alias("upper_inc"))
+    return row("brand", "quality", F.col("p_brand"), none, none, none).unionByName(row("type", "quality", F.col("p_type"), none, none, none)).unionByName(row("size", "concrete", F.col("p_size"), F.col("p_size"), none, none)).unionByName(row("price", "range", low.cast("long"), none, low, low + 10.0))
+
+
+VALUES = """vals AS (
+  SELECT p_partkey AS code, 'brand' AS char, 'quality' AS kind, p_brand AS label, NULL::DOUBLE AS number, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper FROM part
+  UNION ALL SELECT p_partkey, 'type', 'quality', p_type, NULL, NULL, NULL FROM part
+  UNION ALL SELECT p_partkey, 'size', 'concrete', CAST(p_size AS VARCHAR), p_size::DOUBLE, NULL, NULL FROM part
+  UNION ALL SELECT p_partkey, 'price', 'range', CAST(CAST(floor(p_retailprice / 10) * 10 AS BIGINT) AS VARCHAR), NULL, floor(p_retailprice / 10) * 10, floor(p_retailprice / 10) * 10 + 10 FROM part
+)"""
+
+
+def descriptions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(", size "), F.col("p_size").cast("string"), F.lit(" mm, brand "), "p_brand").alias("text"))
+
+
+DESCR = "descr AS (SELECT p_partkey AS id, p_name || ', size ' || p_size || ' mm, brand ' || p_brand AS text FROM part)"
+
+
+# ------------------------------------------------------------ scans and predicates
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_brand = 'Brand#11' AND p_size IN (1, 5, 10, 15, 20)")
+def scan_prune_filter(spark, d):
+    return table(spark, d, "part").where("p_brand = 'Brand#11' and p_size in (1, 5, 10, 15, 20)").select("p_partkey", "p_name", "p_size")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'P') AND o_orderpriority = '1-URGENT'")
+def status_not_in(spark, d):
+    return table(spark, d, "orders").where(~F.col("o_orderstatus").isin("F", "P") & (F.col("o_orderpriority") == "1-URGENT")).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 97 = 3 AND l_linenumber = 1")
+def conjunctive_lookup(spark, d):
+    return table(spark, d, "lineitem").where("l_orderkey % 97 = 3 and l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE length(trim(text)) BETWEEN 3 AND 2000 AND NOT regexp_full_match(trim(text), '[0-9]+')")
+def input_validation(spark, d):
+    t = F.trim("text")
+    return table(spark, d, "documents").where(F.length(t).between(3, 2000) & ~t.rlike("^[0-9]+$")).select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM part")
+def count_all(spark, d):
+    return table(spark, d, "part").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------ joins
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def join_inner_dim(spark, d):
+    return table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+
+
+@query("SELECT o_orderkey, l_linenumber, round(l_quantity, 4) AS qty FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 50 = 7")
+def join_left_detail(spark, d):
+    o, lines = table(spark, d, "orders").where("o_custkey % 50 = 7"), table(spark, d, "lineitem")
+    return o.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", "l_linenumber", F.round("l_quantity", 4).alias("qty"))
+
+
+@query("SELECT n_name, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS keys, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def join_bridge_lists(spark, d):
+    j = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("n_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: x.cast("string")), ",").alias("keys"), F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def join_semi(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def join_anti(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+
+
+@query("SELECT o_orderkey, count(l_linenumber) AS n, string_agg(l_linenumber || ':' || l_partkey, ';' ORDER BY l_linenumber, l_partkey) AS items FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0 GROUP BY o_orderkey")
+def nested_assembly(spark, d):
+    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
+    joined = table(spark, d, "orders").where("o_orderkey % 10 = 0").join(items, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select("o_orderkey", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ";").alias("items"))
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM benchmark),
+    t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM documents)
+    SELECT item_id, doc_id, count(*) AS shared FROM b JOIN t USING (w) GROUP BY item_id, doc_id HAVING count(*) >= 5"""
+)
+def posting_join(spark, d):
+    words = lambda name, key: table(spark, d, name).select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("w"))
+    return words("benchmark", "item_id").join(words("documents", "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared")).where("shared >= 5")
+
+
+@query(
+    """WITH q AS (SELECT n_nationkey AS id, unnest(string_split(lower(replace((SELECT min(p_name) FROM part WHERE p_partkey % 25 = n_nationkey), '-', ' ')), ' ')) AS stem FROM nation),
+    qq AS (SELECT DISTINCT id, stem FROM q WHERE length(stem) > 1), n AS (SELECT id, count(*) AS wanted FROM qq GROUP BY id),
+    p AS (SELECT DISTINCT lower(p_name) AS phrase, unnest(string_split(lower(p_name), ' ')) AS stem FROM part), pp AS (SELECT DISTINCT * FROM p WHERE length(stem) > 1)
+    SELECT qq.id, phrase, count(*) AS hits FROM qq JOIN pp USING (stem) JOIN n USING (id) GROUP BY qq.id, phrase, wanted HAVING count(*) = wanted"""
+)
+def phrase_division(spark, d):
+    part = table(spark, d, "part")
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), " "), lambda w: F.length(w) > 1))
+    q = part.groupBy((F.col("p_partkey") % 25).alias("id")).agg(F.min("p_name").alias("name")).where("id < 25").select("id", F.explode(words(F.col("name"))).alias("stem")).withColumn("wanted", F.count("*").over(Window.partitionBy("id")))
+    p = part.select(F.lower("p_name").alias("phrase")).distinct().select("phrase", F.explode(words(F.col("phrase"))).alias("stem"))
+    return q.join(p, "stem").groupBy("id", "phrase", "wanted").agg(F.count("*").alias("hits")).where("hits = wanted").select("id", "phrase", "hits")
+
+
+# ------------------------------------------------------------ aggregates
+@query("SELECT p_name, count(*) AS n FROM part GROUP BY p_name")
+def group_count(spark, d):
+    return table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL AND p_type <> ''")
+def distinct_values(spark, d):
+    return table(spark, d, "part").where("p_type is not null and p_type <> ''").select("p_type").distinct()
+
+
+@query("SELECT user_id, count(*) AS total, count(*) FILTER (event_type NOT IN ('view', 'click')) AS done FROM events GROUP BY user_id")
+def progress_count_if(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(~F.col("event_type").isin("view", "click")).alias("done"))
+
+
+@query(f"WITH {POSITIONS} SELECT lower(name) AS norm, min_by(name, code) AS name, count(*) AS members FROM positions GROUP BY lower(name)")
+def name_groups(spark, d):
+    return index.name_groups(cat_positions(spark, d)).select("norm", "name", "members")
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT lower(p_name) AS norm, unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS stem FROM part),
+    n AS (SELECT count(DISTINCT lower(p_name)) AS n FROM part)
+    SELECT stem, count(DISTINCT norm) AS df, round(ln((max(n) + 1.0) / (count(DISTINCT norm) + 1.0)) + 1, 6) AS idf FROM w, n WHERE length(stem) > 1 GROUP BY stem"""
+)
+def idf(spark, d):
+    groups = index.name_groups(cat_positions(spark, d))
+    return index.idf(index.postings(groups), groups).select("stem", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(
+    """WITH w AS (
+      SELECT unnest(regexp_extract_all(n, '[a-z]+')) AS word, 3 AS w FROM (SELECT DISTINCT lower(p_name) AS n FROM part)
+      UNION ALL SELECT unnest(regexp_extract_all(lower(p_type), '[a-z]+')), 1 FROM part
+      UNION ALL SELECT unnest(regexp_extract_all(lower(c), '[a-z]+')), 2 FROM (VALUES ('brand'), ('type'), ('size'), ('price')) t(c)
+      UNION ALL SELECT unnest(regexp_extract_all(lower(l), '[a-z]+')), 1 FROM (SELECT DISTINCT p_brand AS l FROM part UNION SELECT DISTINCT p_type FROM part)
+      UNION ALL SELECT unnest(regexp_extract_all(lower(s_name), '[a-z]+')), 1 FROM supplier
+      UNION ALL SELECT unnest(regexp_extract_all(lower(n_name), '[a-z]+')), 1 FROM (SELECT DISTINCT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey))
+    SELECT word, CAST(sum(w) AS BIGINT) AS weight FROM w WHERE length(word) >= 2 GROUP BY word"""
+)
+def vocabulary(spark, d):
+    positions, values = cat_positions(spark, d), cat_values(spark, d)
+    supplier = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("category"), F.col("s_name").alias("name"))
+    names = values.groupBy(F.col("char").alias("name")).agg(F.count("*").alias("n"))
+    quality = values.where("kind = 'quality'").select("label").distinct()
+    return index.vocabulary(index.name_groups(positions), positions, names, quality, supplier)
+
+
+@query(
+    f"""WITH {VALUES}, o AS (SELECT code, char, string_agg(label, '|' ORDER BY label) AS sig FROM vals GROUP BY code, char),
+    p AS (SELECT p_type AS id, p_partkey AS code, p_partkey % 20 = 0 AS t FROM part),
+    q AS (SELECT *, count(*) FILTER (NOT t) OVER (PARTITION BY id) AS c FROM p), r AS (SELECT id, code, count(*) OVER (PARTITION BY id) AS n FROM q WHERE c < 2 OR NOT t)
+    SELECT id, char, count(DISTINCT sig) AS kinds, count(*) AS present, max(n) AS pool_size FROM r JOIN o USING (code) WHERE n >= 2 GROUP BY id, char HAVING count(DISTINCT sig) >= 2"""
+)
+def discriminate(spark, d):
+    remaining = cat_positions(spark, d).select(F.col("okpd2_name").alias("id"), "code", "is_template")
+    return narrow.discriminating(narrow.pool(remaining), cat_values(spark, d)).select("id", "char", F.col("kinds").cast("long").alias("kinds"), "present", "pool_size")
+
+
+@query(
+    f"""WITH {VALUES}, p AS (SELECT p_type AS id, p_partkey AS code, p_partkey % 20 = 0 AS t FROM part),
+    q AS (SELECT *, count(*) FILTER (NOT t) OVER (PARTITION BY id) AS c FROM p), r AS (SELECT id, code, count(*) OVER (PARTITION BY id) AS n FROM q WHERE c < 2 OR NOT t),
+    o AS (SELECT id, char, label, count(DISTINCT code) AS n FROM (SELECT id, code FROM r WHERE n >= 2) JOIN vals USING (code) GROUP BY id, char, label),
+    k AS (SELECT *, row_number() OVER (PARTITION BY id, char ORDER BY n DESC, label) AS place FROM o)
+    SELECT id, char, label, n, CAST(place AS INTEGER) AS place FROM k WHERE place <= 15"""
+)
+def option_topn(spark, d):
+    remaining = cat_positions(spark, d).select(F.col("okpd2_name").alias("id"), "code", "is_template")
+    return narrow.option_counts(narrow.pool(remaining), cat_values(spark, d))
+
+
+@query(
+    """WITH c AS (SELECT p_brand AS id, p_name AS name, count(*) AS n FROM part GROUP BY p_brand, p_name),
+    k AS (SELECT *, count(*) OVER (PARTITION BY id) AS v, row_number() OVER (PARTITION BY id ORDER BY n DESC, name) AS place FROM c)
+    SELECT id, name, n, CAST(place AS INTEGER) AS place FROM k WHERE v > 1 AND place <= 10"""
+)
+def refinements_name(spark, d):
+    return narrow.refinements(cat_positions(spark, d).select(F.col("okpd2_code").alias("id"), "name"), ["name"], 10)
+
+
+@query(
+    """WITH c AS (SELECT p_name AS id, p_brand AS code, p_type AS name, count(*) AS n FROM part GROUP BY ALL),
+    k AS (SELECT *, count(*) OVER (PARTITION BY id) AS v, row_number() OVER (PARTITION BY id ORDER BY n DESC, code, name) AS place FROM c)
+    SELECT id, code, name, n, CAST(place AS INTEGER) AS place FROM k WHERE v > 1 AND place <= 8"""
+)
+def refinements_group(spark, d):
+    return narrow.refinements(cat_positions(spark, d).select(F.col("name").alias("id"), F.col("okpd2_code").alias("code"), F.col("okpd2_name").alias("name")), ["code", "name"], 8)
+
+
+@query(
+    """SELECT count(*) AS total, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (value > 50) AS high, count(*) FILTER (value IS NULL) AS missing,
+    count(*) FILTER (event_type = 'click' AND value < 10) AS low_clicks, count(DISTINCT user_id) AS users FROM events"""
+)
+def quality_kpis(spark, d):
+    e = table(spark, d, "events")
+    return e.agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.count_if(F.col("value") > 50).alias("high"), F.count_if(F.col("value").isNull()).alias("missing"), F.count_if((F.col("event_type") == "click") & (F.col("value") < 10)).alias("low_clicks"), F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT source, max_by(doc_id, (quality * 2 - toxic, -doc_id)) AS doc_id FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def rank_choose(spark, d):
+    j = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id")
+    return j.groupBy("source").agg(F.max_by("doc_id", F.struct(F.col("quality") * 2 - F.col("toxic"), -F.col("doc_id"))).alias("doc_id"))
+
+
+# ------------------------------------------------------------ sorts and top-k
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 20")
+def recent_topk(spark, d):
+    return table(spark, d, "orders").orderBy(F.desc("o_orderkey")).limit(20).select("o_orderkey", "o_custkey")
+
+
+@query(
+    """WITH k AS (SELECT p_brand AS brand, p_partkey AS code, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 20 = 0, -p_size, p_partkey) AS place FROM part)
+    SELECT brand, code, CAST(place AS INTEGER) AS place FROM k WHERE place <= 20"""
+)
+def candidates_topk(spark, d):
+    w = Window.partitionBy("p_brand").orderBy(F.col("p_partkey") % 20 == 0, -F.col("p_size"), "p_partkey")
+    return table(spark, d, "part").withColumn("place", F.row_number().over(w)).where("place <= 20").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("code"), "place")
+
+
+@query(
+    f"""WITH {VALUES}, o AS (SELECT v.code % 50 AS grp, v.label, v.kind, coalesce(v.upper - v.lower, 0) AS width, v.lower FROM vals v WHERE v.kind IN ('range', 'concrete')),
+    k AS (SELECT grp, label, row_number() OVER (PARTITION BY grp ORDER BY kind = 'range', width, -coalesce(lower, '-infinity'::DOUBLE), label) AS r FROM o)
+    SELECT grp, label FROM k WHERE r = 1"""
+)
+def most_specific(spark, d):
+    v = cat_values(spark, d).where("kind in ('range', 'concrete')").withColumn("grp", F.col("code") % 50)
+    opt = ranges.option(*[F.col(c) for c in ("kind", "label", "number", "lower", "upper", "lower_inc", "upper_inc")])
+    return v.groupBy("grp").agg(F.min_by("label", ranges.specificity(opt)).alias("label"))
+
+
+# ------------------------------------------------------------ ranges, units, numbers
+@query(
+    """WITH o AS (SELECT DISTINCT p_type, floor(p_retailprice / 10) * 10 AS lower FROM part)
+    SELECT p.p_partkey AS code, count(*) FILTER (p.p_retailprice >= o.lower AND p.p_retailprice < o.lower + 10) AS accepted, count(*) AS options FROM part p JOIN o USING (p_type) GROUP BY p.p_partkey"""
+)
+def range_validate(spark, d):
+    p = table(spark, d, "part")
+    options = cat_values(spark, d).where("char = 'price'").join(p.select(F.col("p_partkey").alias("code"), "p_type"), "code").select("p_type", "kind", "label", "number", "lower", "upper", "lower_inc", "upper_inc").distinct()
+    opt = ranges.option(*[F.col(c) for c in ("kind", "label", "number", "lower", "upper", "lower_inc", "upper_inc")])
+    return p.join(F.broadcast(options), "p_type").groupBy(F.col("p_partkey").alias("code")).agg(F.count_if(ranges.contains(opt, F.col("p_retailprice"))).alias("accepted"), F.count("*").alias("options"))
+
+
+@query(
+    """WITH o AS (SELECT DISTINCT p_type, floor(p_retailprice / 10) * 10 AS lower FROM part)
+    SELECT p.p_partkey AS code, count(*) FILTER (p.p_retailprice - 1 >= o.lower AND p.p_retailprice + 1 < o.lower + 10) AS inside FROM part p JOIN o USING (p_type) GROUP BY p.p_partkey"""
+)
+def interval_validate(spark, d):
+    p = table(spark, d, "part")
+    options = cat_values(spark, d).where("char = 'price'").join(p.select(F.col("p_partkey").alias("code"), "p_type"), "code").select("p_type", "kind", "label", "number", "lower", "upper", "lower_inc", "upper_inc").distinct()
+    opt = ranges.option(*[F.col(c) for c in ("kind", "label", "number", "lower", "upper", "lower_inc", "upper_inc")])
+    return p.join(F.broadcast(options), "p_type").groupBy(F.col("p_partkey").alias("code")).agg(F.count_if(ranges.contains_interval(opt, F.col("p_retailprice") - 1, F.col("p_retailprice") + 1)).alias("inside"))
+
+
+@query("SELECT p_partkey AS id, round(p_size * 1.0 / 10.0, 6) AS cm, round(p_size / 25.4, 6) AS inch, CAST(NULL AS DOUBLE) AS kg FROM part")
+def unit_convert(spark, d):
+    to = lambda u: F.round(units.convert(F.col("p_size").cast("double"), F.lit("mm"), F.lit(u)), 6).alias(u)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), to("cm"), to("inch"), to("kg"))
+
+
+@query(f"WITH {DESCR} SELECT id, CAST(regexp_extract(text, 'size ([0-9]+) mm', 1) AS DOUBLE) AS value, 'mm' AS unit FROM descr")
+def unit_parse(spark, d):
+    text = X.normalize_text(F.col("text"))
+    number = F.regexp_extract(text, r"(\d+)", 1)
+    after = F.regexp_extract(text, r"\d+(.*)$", 1)
+    # Brand names hold numbers too, so the first number after "size" is taken.
+    cut = descriptions(spark, d).select("id", F.regexp_extract("text", r"(size .*)$", 1).alias("text"))
+    return cut.select("id", number.cast("double").alias("value"), units.unit_after(after)["unit"].alias("unit"))
+
+
+@query(f"WITH {DESCR} SELECT id, len(regexp_extract_all(text, '[0-9]+([.,][0-9]+)?')) AS n, list_aggregate(list_transform(regexp_extract_all(text, '[0-9]+([.,][0-9]+)?'), lambda x: CAST(replace(x, ',', '.') AS DOUBLE)), 'sum') AS total FROM descr")
+def number_extract(spark, d):
+    numbers = F.transform(F.filter(X.tokens_of(X.normalize_text(F.col("text"))), lambda t: t["kind"] == "number"), lambda t: t["norm"].cast("double"))
+    return descriptions(spark, d).select("id", F.size(numbers).cast("long").alias("n"), F.aggregate(numbers, F.lit(0.0), lambda a, b: a + b).alias("total"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_retailprice = floor(p_retailprice) THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) ELSE replace(rtrim(rtrim(printf('%.6f', p_retailprice), '0'), '.'), '.', ',') END AS shown FROM part")
+def number_format(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.format_number(F.col("p_retailprice")).alias("shown"))
+
+
+# ------------------------------------------------------------ spelling and similarity
+@query(
+    """WITH v AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY w HAVING count(*) >= 3 AND length(w) >= 3),
+    b AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 4 AND w NOT IN (SELECT w FROM v)),
+    m AS (SELECT b.w AS word, v.w AS suggestion, v.n FROM b JOIN v ON b.w[1] = v.w[1] AND abs(length(b.w) - length(v.w)) <= 1 AND damerau_levenshtein(b.w, v.w) <= 1),
+    k AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, suggestion) AS r FROM m)
+    SELECT word, suggestion FROM k WHERE r = 1"""
+)
+def spell_suggest(spark, d):
+    words = lambda name: table(spark, d, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    vocab = words("documents").groupBy("w").agg(F.count("*").alias("n")).where("n >= 3 and length(w) >= 3")
+    unknown = words("benchmark").where("length(w) >= 4").distinct().join(vocab, "w", "left_anti").select(F.col("w").alias("word"))
+    keyed = unknown.select("word", F.substring("word", 1, 1).alias("first"), F.explode(F.sequence(F.length("word") - 1, F.length("word") + 1)).alias("len"))
+    near = keyed.join(vocab.select(F.col("w").alias("suggestion"), "n", F.substring("w", 1, 1).alias("first"), F.length("w").alias("len")), ["first", "len"])
+    # A swap of neighbours is two plain edits, so the cheap bound is twice the real one.
+    near = near.where(F.levenshtein("word", "suggestion", 2) >= 0)
+    ship(spark)
+    found = near.where(similarity.osa_column(F.col("word"), F.col("suggestion"), 1) <= 1)
+    return found.groupBy("word").agg(F.min_by("suggestion", F.struct(-F.col("n"), "suggestion")).alias("suggestion"))
+
+
+@query()
+def fuzzy_topk(spark, d):
+    ship(spark)
+    names = index.name_groups(cat_positions(spark, d)).select("norm")
+    asked = table(spark, d, "nation").select(F.lower("n_name").alias("query"))
+    scored = asked.join(F.broadcast(names)).withColumn("score", similarity.wratio_column(F.col("query"), F.col("norm")))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "norm")
+    return scored.withColumn("place", F.row_number().over(w)).where("place <= 5")
+
+
+# ------------------------------------------------------------ name match
+@query(
+    f"""WITH {DESCR}, names AS (SELECT DISTINCT lower(p_name) AS norm FROM part),
+    st AS (SELECT norm, place - 1 AS place, stem FROM (SELECT norm, unnest(string_split(norm, ' ')) AS stem, generate_subscripts(string_split(norm, ' '), 1) AS place FROM names)),
+    ng AS (SELECT count(*) AS n FROM names), df AS (SELECT stem, ln((max(n) + 1.0) / (count(DISTINCT norm) + 1.0)) + 1 AS idf FROM st, ng GROUP BY stem),
+    tk AS (SELECT id, place - 1 AS token, w AS stem FROM (SELECT id, unnest(l) AS w, generate_subscripts(l, 1) AS place FROM (SELECT id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 1) AS l FROM descr))),
+    tw AS (SELECT id, token, stem, CASE token WHEN 0 THEN 1.6 WHEN 1 THEN 1.3 WHEN 2 THEN 1.15 ELSE CASE WHEN token < 8 THEN 1.0 ELSE 0.8 END END AS weight FROM tk),
+    f AS (SELECT id, stem, min(token) AS token, arg_min(weight, token) AS weight FROM tw GROUP BY id, stem),
+    touched AS (SELECT DISTINCT id, norm FROM f JOIN st USING (stem)),
+    j AS (SELECT t.id, t.norm, st.place, df.idf, f.weight FROM touched t JOIN st USING (norm) JOIN df USING (stem) LEFT JOIN f ON f.id = t.id AND f.stem = st.stem),
+    s AS (SELECT id, norm, sum(CASE WHEN weight IS NOT NULL THEN idf * weight ELSE -0.45 * idf END) + sum(CASE WHEN place = 0 THEN CASE WHEN weight IS NOT NULL THEN idf ELSE -0.5 * idf END ELSE 0 END) AS score,
+      sum(CASE WHEN weight IS NOT NULL THEN idf ELSE 0 END) / sum(idf) AS coverage, count(*) AS size FROM j GROUP BY id, norm),
+    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, round(coverage, 9) DESC, size, norm) AS rank FROM s)
+    SELECT id, norm, round(score, 4) AS score, round(coverage, 4) AS coverage, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3"""
+)
+def name_match_score(spark, d):
+    groups = index.name_groups(cat_positions(spark, d))
+    posting = index.postings(groups)
+    scores = match.score_names(match.description_stems(descriptions(spark, d)), posting, index.idf(posting, groups))
+    w = Window.partitionBy("id").orderBy(F.round("score", 9).desc(), F.round("coverage", 9).desc(), "size", "norm")
+    return scores.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("id", "norm", F.round("score", 4).alias("score"), F.round("coverage", 4).alias("coverage"), "rank")
+
+
+@query()
+def name_match_choice(spark, d):
+    groups = index.name_groups(cat_positions(spark, d))
+    posting = index.postings(groups)
+    scores = match.score_names(match.description_stems(descriptions(spark, d)), posting, index.idf(posting, groups))
+    return match.choose_groups(scores, match.shortlist(scores))
+
+
+# ------------------------------------------------------------ narrowing
+@query(
+    """WITH f AS (SELECT p_partkey AS id, p_name, p_brand, p_type FROM part WHERE p_partkey % 40 = 1),
+    a AS (SELECT f.id, count(*) AS n0, count(*) FILTER (p.p_brand = f.p_brand) AS n1, count(*) FILTER (p.p_brand = f.p_brand AND p.p_type = f.p_type) AS n2 FROM f JOIN part p USING (p_name) GROUP BY f.id)
+    SELECT id, n0, n1, n2 FROM a"""
+)
+def narrow_stages(spark, d):
+    part = table(spark, d, "part")
+    facts = part.where("p_partkey % 40 = 1").select(F.col("p_partkey").alias("id"), "p_name", F.col("p_brand").alias("b"), F.col("p_type").alias("t"))
+    codes = facts.join(part, "p_name").groupBy("id").agg(
+        F.array_sort(F.collect_list("p_partkey")).alias("codes"),
+        F.collect_list(F.when(F.col("p_brand") == F.col("b"), F.col("p_partkey"))).alias("brand"),
+        F.collect_list(F.when(F.col("p_type") == F.col("t"), F.col("p_partkey"))).alias("type"),
+    )
+    fact = lambda title: F.struct(F.lit(title).alias("title"), F.col("codes").alias("has"), F.col(title).alias("accepted"))
+    stages = narrow.narrow_facts(F.col("codes"), F.array(fact("brand"), fact("type")))["stages"]
+    return codes.select("id", stages[0]["before"].alias("n0"), stages[0]["after"].alias("n1"), stages[1]["after"].alias("n2"))
+
+
+@query()
+def next_questions(spark, d):
+    remaining = cat_positions(spark, d).select(F.col("name").alias("id"), "code", "is_template")
+    chars = spark.createDataFrame([("brand", 1, True), ("type", 1, False), ("size", 2, False), ("price", 2, False)], "char string, kind int, required boolean")
+    used = cat_positions(spark, d).select(F.col("name").alias("id"), F.lit("type").alias("char")).distinct()
+    found = narrow.suggest(narrow.pool(remaining), cat_values(spark, d), F.broadcast(chars), used)
+    return found.select("id", "place", "char", F.round("score", 4).alias("score"), F.size("options").alias("n_options"))
+
+
+@query("SELECT p_partkey AS code, CASE WHEN p_size < 10 THEN 'in force from 01.01.2030' WHEN p_size > 40 THEN 'expired on 01.06.2020' END AS note FROM part")
+def validity(spark, d):
+    start = F.when(F.col("p_size") < 10, F.to_timestamp(F.lit("2030-01-01")))
+    end = F.when(F.col("p_size") > 40, F.to_timestamp(F.lit("2020-06-01")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("code"), narrow.validity_note(start, end, F.to_timestamp(F.lit("2025-01-01"))).alias("note"))
+
+
+# ------------------------------------------------------------ JSON and text rows
+@query("SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k FROM events GROUP BY event_type")
+def json_props(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_k"))
+
+
+@query("WITH t AS (SELECT source, trim(regexp_replace(lower(translate(text, chr(9), ' ')), '[ \\n]+', ' ', 'g')) AS norm, doc_id FROM documents) SELECT source, md5(norm) AS norm, min(doc_id) AS first, count(*) AS n FROM t GROUP BY source, md5(norm)")
+def csv_dedup_normalise(spark, d):
+    t = table(spark, d, "documents").select("source", F.md5(X.normalize_phrase(F.col("text")).cast("binary")).alias("norm"), "doc_id")
+    return t.groupBy("source", "norm").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------ set operations
+@query("SELECT p_brand AS id, count(DISTINCT p_type) AS types, count(DISTINCT p_type) FILTER (p_size > 25) AS large, count(DISTINCT p_type) - count(DISTINCT p_type) FILTER (p_size > 25) AS only_small FROM part GROUP BY p_brand")
+def set_operations(spark, d):
+    sets = table(spark, d, "part").groupBy(F.col("p_brand").alias("id")).agg(F.collect_set(F.when(F.col("p_size") <= 25, F.col("p_type"))).alias("a"), F.collect_set(F.when(F.col("p_size") > 25, F.col("p_type"))).alias("b"))
+    size = lambda c: F.size(c).cast("long")
+    return sets.select("id", size(F.array_union("a", "b")).alias("types"), size("b").alias("large"), size(F.array_except("a", "b")).alias("only_small"))
+
+
+# ------------------------------------------------------------ extensions beyond the catalogue's own operators
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 4) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def ext_cube(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 4).alias("qty"))
+
+
+@query("SELECT event_id, CAST(sum(1) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM events")
+def ext_window_frame(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)
+    return table(spark, d, "events").select("event_id", F.sum(F.lit(1)).over(w).alias("recent"))
+
+
+@query("SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS VARCHAR) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def ext_event_window(spark, d):
+    e = table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return e.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
+
+
+@query()
+def ext_approx_distinct(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"))
