@@ -202,8 +202,9 @@ def parse_number(text: Column) -> Column:
 
 
 def interval_text(lower: Column, upper: Column) -> Column:
-    """``a-b`` of a closed interval, words for open ends."""
-    return F.when(lower.isNotNull() & upper.isNotNull(), F.concat(format_number(lower), F.lit("-"), format_number(upper))).when(lower.isNotNull(), F.concat(F.lit("не менее "), format_number(lower))).when(upper.isNotNull(), F.concat(F.lit("не более "), format_number(upper)))
+    """``a–b`` of a closed interval, a sign and the bound of one that is open on a side."""
+    low, high = format_number(lower), format_number(upper)
+    return F.when(lower.isNotNull() & upper.isNotNull(), F.concat(low, F.lit("–"), high)).when(lower.isNotNull(), F.concat(F.lit("≥ "), low)).when(upper.isNotNull(), F.concat(F.lit("≤ "), high)).otherwise("")
 
 
 # ------------------------------------------------------------- kernel twins
