@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: White space besides space and newline, and characters that some classes count as such.
 ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
 #: Chunks that a worker's memo holds at most before it starts afresh.
-MEMO = 400_000
+MEMO = 1_200_000
 
 
 class Encoder:
