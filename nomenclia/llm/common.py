@@ -62,3 +62,8 @@ def python_ready(spark: SparkSession, rows: int = 512) -> None:
 def n_words(text) -> F.Column:
     """Words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, text, rest): a number that a scan's files and splits fix, and all other columns in a struct, out of the way of an operator's own."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from nomenclia.llm.common import python_ready, stage
+from nomenclia.llm.common import packed, python_ready, stage
 from nomenclia.llm.windows import BASES, mixed, run_hashes, slide, word_hashes
 
 WINDOW = 35
@@ -162,9 +162,9 @@ ADDED = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.Stri
 
 
 def without(docs: DataFrame, window: int, kept_text: bool) -> DataFrame:
-    """``docs`` (text, whole, spans) with the words of its spans, or of the whole, removed."""
+    """``docs`` (rest, text, whole, spans) with the words of its spans, or of the whole, removed."""
     added = [x for x in ADDED if kept_text or x[0] != "kept"]
-    keep = [c for c in docs.columns if c not in ("text", "whole", "spans", "row")]
+    keep = ["rest"]
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, t) for n, t in added]])
     arrow = to_arrow_schema(schema)
 
@@ -200,8 +200,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kept_text: bool = Fals
     """``docs`` without text, with n_words, n_removed and kept_sha256 (and ``kept``, if asked for)."""
     spark = docs.sparkSession
     python_ready(spark)
-    keep = [c for c in docs.columns if c not in (dict(ADDED).keys() | {"row", "whole", "spans"})]
-    rows = docs.select(*keep).withColumn("row", F.monotonically_increasing_id())  # a scan's files and splits fix it
+    rows = packed(docs)
     classes = stage(rows.select("row", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("class")), "classes")
     copies = stage(classes.groupBy("class").agg(F.min("row").alias("first"), F.count("*").alias("n")), "copies")
     copied = copies.where("n > 1")
@@ -220,4 +219,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kept_text: bool = Fals
     whole = classes.join(copied.select("class"), "class").select("row", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(True).alias("whole"))
     marks = stage(spans.unionByName(whole), "marks")
     _tidy(spark)
-    return without(rows.join(marks, "row", "left"), window, kept_text)
+    out = without(rows.join(marks, "row", "left"), window, kept_text)
+    keep = [F.col(f"rest.`{c}`") for c in docs.columns if c not in (dict(ADDED).keys() | {"text"})]
+    return out.select(*keep, *[c for c in out.columns if c != "rest"])

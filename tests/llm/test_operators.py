@@ -1,0 +1,292 @@
+"""Every operator against a plain version or an exact round trip, on texts with all the odd cases."""
+
+from __future__ import annotations
+
+import hashlib
+import importlib
+import math
+import struct
+import sys
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute
+
+from nomenclia.llm import lm, mixing, ngram_join, ogg, packing, queries, records, secrets, substring, topk, toxicity
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+TEXTS = brute.texts()
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, row long, size long, score double, offset long, label string, media string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("docs") / "documents.parquet")
+    rows = [(k, t, "en", None if k % 11 == 0 else f"s{k % 4 if k % 3 else 0}", None if t is None else len(t), 1, 2, 3.0, 4, "x", "y") for k, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, EXTRA).repartition(3, "doc_id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_ngram_join(docs, empty):
+    got = by_id(ngram_join.classes(docs))
+    assert [(got[k].n_shingles, got[k].component_id) for k in range(len(TEXTS))] == brute.classes(TEXTS)
+    assert got[0].lang == "en"
+    one = ngram_join.one_of_each(docs)
+    kept = {r.doc_id for r in one.select("doc_id").collect()}
+    assert kept == {k for k, (n, c) in enumerate(brute.classes(TEXTS)) if c == k} and one.columns == docs.columns
+    assert ngram_join.classes(empty).count() == 0
+
+
+def test_repeated_passages(docs, empty):
+    got = by_id(substring.remove_repeats(docs, kept_text=True))
+    for k, kept in enumerate(brute.removed(TEXTS)):
+        n = len(brute.words(TEXTS[k]))
+        assert (got[k].n_words, got[k].n_removed, got[k].kept_sha256) == (n, n - len(kept.split()), hashlib.sha256(kept).hexdigest())
+        assert got[k].kept.encode() == kept
+    assert substring.remove_repeats(empty).count() == 0
+
+
+def test_secrets(docs, empty):
+    found = secrets.scan(docs)
+    got = by_id(found.withColumn("masked", secrets.masked(F.coalesce("text", F.lit("")), F.col("all_spans"))))
+    for k, t in enumerate(TEXTS):
+        assert [(s.start, s.kind, s.end) for s in got[k].base_spans] == brute.secret_spans(t)
+        assert got[k].masked == (t or "") if not got[k].all_spans else "[SECRET]" in got[k].masked
+    assert secrets.scan(empty).count() == 0
+
+
+def test_markov(spark):
+    table = secrets.train(secrets.labelled_samples(spark, 300))
+    rows = [("iK2ZWeqhFWCEPyYngFb51yBMWXaSCrUZ", True), ("2558589EAFF309CAD68386D070C415ED7E70CAD1", True), ("get_customer_account_by_identifier", False), ("ThisIsAVeryLongIdentifierName", False)]
+    df = spark.createDataFrame(rows, "t string, y boolean").select("y", secrets.mean_llr(F.col("t"), table).alias("m"))
+    assert all((r.m >= secrets.LEAST_MEAN_LLR) == r.y for r in df.collect())
+
+
+def test_mixing(docs, empty):
+    mixed = mixing.mix(docs).drop("label")
+    rows = mixed.collect()
+    assert Counter(r.doc_id for r in rows) == Counter(range(len(TEXTS)))
+    total = sum(len(brute.words(t)) for t in TEXTS)
+    sources = {}
+    for r in rows:
+        assert r["size"] == len(brute.words(TEXTS[r.doc_id])) and 0 <= r.taken <= 2 * r["size"]
+        s = sources.setdefault(r.source, [0, 0, r.target, r.source_size])
+        s[0] += r["size"]
+        s[1] += r.taken
+    for size, taken, target, known in sources.values():
+        assert size == known and abs(taken - target) <= 1 and target <= 2 * size + 1e-6
+    assert math.isclose(sum(s[2] for s in sources.values()), 1.5 * total)
+    # Water filling by trial: targets below their bound are in proportion to the weights.
+    order = sorted(sources, key=lambda s: (s is None, s or ""))
+    levels = {sources[s][2] / (3, 1, 2)[k % 3] for k, s in enumerate(order) if sources[s][2] < 2 * sources[s][0] - 1e-6}
+    assert max(levels) - min(levels) < 1e-6 * max(levels)
+    ordered = mixing.training_order(mixed)
+    assert ordered.count() >= len(TEXTS) and mixing.mix(empty).count() == 0
+
+
+def test_schedule_inversion(spark):
+    for knots in mixing.SCHEDULES:
+        df = spark.range(11).select((F.col("id") / 10).alias("u")).select("u", mixing.invert_schedule(F.col("u"), knots).alias("t"))
+        t = np.linspace(0, 1, 200_001)
+        area = np.concatenate([[0], np.cumsum(np.diff(t) * (np.interp(t, *zip(*knots, strict=True))[1:] + np.interp(t, *zip(*knots, strict=True))[:-1]) / 2)])
+        for r in df.collect():
+            assert abs(np.interp(r.u * area[-1], area, t) - r.t) < 1e-4
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    cut = packing.pieces(docs.drop("offset"), path, limit=256)
+    rows = packing.pack(cut, limit=256, group_rows=40).collect()
+    expected = {}
+    for k, t in enumerate(TEXTS):
+        ids = np.array(plain.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        at = [0, *range(len(ids) % 256 or 256, len(ids), 256), len(ids)]
+        expected |= {(k, n, a, b - a): zlib.crc32(ids[a:b].tobytes()) for n, (a, b) in enumerate(zip(at, at[1:], strict=False))}
+    assert {(r.doc_id, r.piece, r.start, r.length): r.ids_crc32 for r in rows} == expected and len(rows) == len(expected)
+    bins = {}
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert r.offset == bins.get(r.sequence_id, 0)
+        bins[r.sequence_id] = r.offset + r.length
+    lengths = np.array([r.length for r in rows])
+    assert max(bins.values()) <= 256 and len(bins) <= math.ceil(packing.lower_bound(lengths, 256)) + 2
+    assert packing.pack(packing.pieces(empty.drop("offset"), path)).count() == 0
+
+
+def test_lower_bound_is_one():
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        lengths = r.integers(1, 101, 60)
+        bins, offsets, room = packing.best_fit(lengths, 100)
+        assert packing.lower_bound(lengths, 100) <= len(room) + 1e-9
+        assert (np.bincount(bins, lengths) + room == 100).all()
+    assert math.ceil(packing.lower_bound(np.full(9, 51), 100)) == 9  # no two fit together
+
+
+def test_records(spark, docs, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    records.write_records(docs, str(tmp_path / "r"), path, records_per_file=16)
+    index = records.build_index(spark, str(tmp_path / "r"))
+    got = {r.doc_id: r for r in index.collect()}
+    at, ids = 0, {}
+    for k, t in enumerate(TEXTS):
+        ids[k] = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (at, len(ids[k]), zlib.crc32(np.array(ids[k], "<u4").tobytes()))
+        at += len(ids[k])
+    for r in records.fetch(index.where("doc_id % 7 = 3")).collect():
+        assert r.ids == ids[r.doc_id]
+    with pytest.raises(ValueError):
+        list(records.frames(struct.pack("<QI", 1, 0) + b"x" * 6))
+    records.write_records(empty, str(tmp_path / "e"), path)
+    assert records.build_index(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_ogg(docs, empty):
+    got = by_id(ogg.from_media(ogg.to_media(docs)))
+    for k, t in enumerate(TEXTS):
+        data = (t or "").encode()
+        payload = data + b"\xff" * (576 * max(1, -(-len(data) // 576)) - len(data))
+        assert (got[k].n_bytes, got[k].payload_bytes, got[k].payload_sha256, got[k].tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    assert ogg.from_media(ogg.to_media(empty)).count() == 0
+
+
+def test_ogg_pages():
+    packets = [(b"head", 0), (b"x" * 70_000, 70_000), (b"", 70_000), (b"y" * 255, 70_255)]
+    data = b"".join(p for _, p in ogg.pages(packets, 9))
+    assert [p for p, _ in ogg.read_pages(data)[9]] == [p for p, _ in packets]
+    table = [0] * 256
+    for n in range(256):
+        c = n << 24
+        for _ in range(8):
+            c = (c << 1 ^ 0x04C11DB7 if c & 0x80000000 else c << 1) & 0xFFFFFFFF
+        table[n] = c
+    crc = 0
+    for b in b"some page":
+        crc = (crc << 8 & 0xFFFFFFFF) ^ table[crc >> 24 ^ b]
+    assert ogg.page_crc(b"some page") == crc
+    with pytest.raises(ValueError):
+        ogg.read_pages(data[:40] + b"?" + data[41:])
+
+
+def test_language_model(docs, empty):
+    marked = docs.select("doc_id", (F.col("doc_id") % 7 == 2).alias("held_out"), "text", "score")
+    got = by_id(lm.score(marked, marked.where("not held_out")))
+    tokens = {k: [*brute.lower_words(t), b"\n"] for k, t in enumerate(TEXTS)}
+    counts = Counter(w for k, ws in tokens.items() if k % 7 != 2 for w in ws)
+    total, kinds = sum(counts.values()), len(counts)
+    better = 0.0
+    for k, ws in tokens.items():
+        base = sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in ws)
+        r = got[k]
+        assert (r.train_tokens, r.n_tokens, r.n_known) == (total, len(ws), sum(counts[w] > 0 for w in ws)) and math.isclose(r.base_score, base, rel_tol=1e-9)
+        assert r.score < 0
+        better += (r.score - r.base_score) * r.held_out
+    assert better > 0
+    none = lm.score(marked.where("doc_id < 3"), marked.limit(0)).collect()
+    assert len(none) == 3 and none[0].train_tokens == 0
+    assert lm.score(empty, docs).count() == 0
+
+
+def test_suffix_tree_is_a_distribution():
+    rows = {"context": np.array([5, 5, 5, 7 << lm.BITS | 5, 7 << lm.BITS | 5]), "next": np.array([1, 2, lm.OTHER, 2, lm.OTHER]), "p": np.array([0.4, 0.3, 0.3, 0.5, 0.5])}
+    tree = lm.SuffixTree(rows).ready()
+    root = np.array([0.1, 0.2, 0.3, 0.4])  # of tokens 1, 2, 3 and all others
+    whole = 0.0
+    for k, last in enumerate((1, 2, 3, lm.OTHER)):
+        gain = tree.gains(np.array([7, 5, last]), np.array([3]), np.array([0.1, 0.1, root[k]]))[2]
+        whole += root[k] * 10**gain
+    assert math.isclose(whole, 1.0)
+
+
+def test_topk(spark):
+    r = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in r.normal(size=24)]) for k in range(400)] + [(900 + k, [0.5] * 24) for k in range(30)]
+    rows += [(1000, None), (1050, [float("nan")] * 24), (1100, [None] + [1.0] * 23), (1150, []), (None, [1.0] * 24), (1200, [1.0] * 8), (1250, [1e30] * 24)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = {}
+    for x in topk.search(vectors, vectors.where("vec_id % 50 = 0"), block=64, query_block=5).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    whole = {k: [min(2**63 - 1, math.floor(256 * float(np.float32(x)))) for x in v] for k, v in rows if k is not None and v and None not in v and all(map(math.isfinite, v))}
+    for q in [k for k in whole if k % 50 == 0]:
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), k) for k, v in whole.items() if k != q and len(v) == len(whole[q]))[:5]
+        expected = [(n, k, min(2**63 - 1, -s)) for n, (s, k) in enumerate(scored, 1)]
+        assert sorted(got.get(q, [])) == expected
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(3)
+    a, b = r.normal(size=(20, 30)), r.normal(size=(25, 30))
+    for s in topk.SEGMENTS:
+        assert (topk.statistics(a, s) @ topk.statistics(b, s).T >= a @ b.T - 1e-9).all()
+
+
+def test_toxicity(spark, tmp_path):
+    r = np.random.default_rng(4)
+    rows, labels = [], []
+    for k in range(600):
+        w = [f"w{x}" for x in r.integers(0, 300, 40)]
+        toxic = k % 5 == 0
+        if toxic:
+            for place in r.integers(0, 40, 4):
+                w[place] = ["idiot", "you moron", "snarf", "ID10T"][r.integers(0, 4)]
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(toxic)))
+    docs = spark.createDataFrame([*rows, (None, None), (9999, "")], "doc_id long, text string")
+    known = spark.createDataFrame([*labels, (None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, known.where(toxicity.fold() != 0))
+    got = by_id(toxicity.score(docs, model))
+    held = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert np.mean([got[k].predicted == dict(labels)[k] for k in held]) > 0.95
+    assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in got.values()) and got[None].predicted == 0
+    assert toxicity.score(docs, toxicity.train(docs, known.limit(0))).where("score <> 0").isEmpty()
+
+
+def test_isotonic():
+    at, value = toxicity.isotonic(np.array([3.0, 1, 2, 4]), np.array([0.0, 0, 1, 1]))
+    assert (np.diff(value) >= 0).all() and list(np.interp([1, 2.5, 4], at, value)) == [0.0, 0.5, 1.0]
+
+
+def test_pipeline(spark, docs, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    assert [n for n, _ in pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "secret_scan", "mix_sources", "best_fit_packing"]
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    now = docs.select(*names)
+    spark.createDataFrame([(k, 1, 0) for k in range(50)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    classes = brute.classes(TEXTS)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, now, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        if name != "best_fit_packing":
+            assert now.columns == names
+        if name == "ngram_jaccard_join":
+            assert {r.doc_id for r in now.collect()} == {k for k, (n, c) in enumerate(classes) if c == k}
+        if name == "secret_scan":
+            assert now.where("text like '%hunter2%'").isEmpty() and not now.where("text like '%[SECRET]%'").isEmpty()
+    assert now.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_registered():
+    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {q.split("_")[0] for q in queries.QUERIES}
