@@ -220,6 +220,13 @@ def analyze(docs: DataFrame, catalog: Catalog, idx: Index | None = None) -> Data
     return out.unionByName(none)
 
 
+def analyze_schema() -> str:
+    """The schema of ``analyze``'s rows."""
+    fact = "ord:int,title:string,has:array<string>,accepted:array<string>,key:string,status:string,normalized:string,unit:string,matched:string,source:string,confidence:double,notes:array<string>"
+    option = "place:int,label:string,n:bigint"
+    return f"id long, status string, code string, confidence string, remaining array<string>, stages array<{narrow.STAGE}>, facts array<struct<{fact}>>, suggestions array<struct<place:int,name:string,options:array<struct<{option}>>>>"
+
+
 def _overlap(free: DataFrame, words: DataFrame) -> DataFrame:
     """(id, okpd2_name, overlap): how many free stems are like a word of the group's name."""
     hit = index.similar(free.withColumn("mine", F.col("stem")), words.withColumn("theirs", F.col("stem")), ["id", "mine"], ["okpd2_name", "theirs"])
