@@ -82,3 +82,26 @@ def test_batches_resume(spark, tmp_path):
     states = {r.path.rsplit("/", 1)[1]: (r.status, r.processed, r.percent) for r in batches.batch_status(spark, target).collect()}
     assert states == {"a.csv": ("done", 2, 100.0), "empty.csv": ("error", 0, None)}
     assert batches.unfinished(spark, target).isEmpty()
+
+
+def test_legacy(spark, tmp_path):
+    from nomenclia.sources import legacy
+
+    prefixed = XML.format(POSITION.format(code="A-1", status="ACTIVE")).replace("<position>", "<oos:position>").replace("</position>", "</oos:position>")
+    with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
+        z.writestr("inner/a.xml", prefixed)
+        z.writestr("readme.txt", "x")
+    (tmp_path / "b.xml").write_text(XML.format(POSITION.format(code="B-1", status="ACTIVE") + POSITION.format(code="B-2", status="OLD")), encoding="utf-8")
+    for raw, code in ((legacy.positions_of(legacy.zipped_xml(spark, str(tmp_path))), "A-1"), (legacy.read_xml(spark, str(tmp_path)), "B-1")):
+        rows = legacy.json_catalog(raw).collect()
+        assert [r.ktru_code for r in rows] == [code]
+        value = rows[0].characteristics[1]["values"][0]
+        assert (value.id, value.is_range, value.range.max_value, value.is_quality) == ("c2-v0", True, 400.5, False)
+    legacy.write_json(legacy.json_catalog(legacy.read_xml(spark, str(tmp_path))), str(tmp_path / "json"))
+    names = spark.createDataFrame([("Стул ученический",), ("Стол",)], "name string")
+    target = spark.createDataFrame([("стул",)], "target string")
+    assert legacy.name_filter(names, target).count() == 0 and legacy.name_filter(names, target, "contains").count() == 1
+    assert legacy.find_column(["Название", "Единица измерения (ОКЕИ)"], "единица измерения") == 1
+    xlsx(tmp_path / "t.xlsx", [["x"], ["Категория", "Название"], ["Стулья", "Длина"]])
+    got = legacy.read_sheets(spark, str(tmp_path), {"category": "категория", "name": "название"}).collect()
+    assert [(r.category, r.name) for r in got] == [("Стулья", "Длина")]
