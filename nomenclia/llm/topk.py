@@ -13,7 +13,7 @@ rows a query, of which the best k are ranked. Nothing is broadcast.
 
 Cases: vectors that are null or hold null or non-finite components, and rows
 without an id, take no part; only vectors of equal length meet; equal scores
-rank by id; a repeated query row is answered once for each; an empty table
+rank by id; scores beyond 64 bits count as the largest (or smallest) long; a repeated query row is answered once for each; an empty table
 gives no rows; other columns are not read.
 """
 
@@ -33,6 +33,7 @@ BLOCK, QUERIES = 1024, 2048
 SEGMENTS = (1, 4, 16)
 #: Candidates of a block that are taken at a time, so that the k-th best rises early.
 STEP = 256
+LARGEST = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -76,14 +77,13 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray,
         if not len(alive):
             continue
         part = part[alive]
-        new = q @ x[part].T if exact else queries.astype(object) @ block[part].astype(object).T
+        new = q @ x[part].T if exact else np.clip(queries.astype(object) @ block[part].astype(object).T, -LARGEST - 1, LARGEST)
         new[query_ids[:, None] == ids[part][None, :]] = none
         every, all_ids = np.concatenate([scores, new], 1), np.concatenate([kept_ids, np.broadcast_to(ids[part], new.shape)], 1)
         ranked = np.lexsort((all_ids, -every), axis=1)[:, :k] if exact else np.array([sorted(range(every.shape[1]), key=lambda j, r=r: (-every[r, j], all_ids[r, j]))[:k] for r in range(len(q))])
         scores, kept_ids = np.take_along_axis(every, ranked, 1), np.take_along_axis(all_ids, ranked, 1)
     row, place = np.nonzero(scores > none)
-    limit = (1 << 63) - 1
-    return row, kept_ids[row, place], np.array([max(-limit - 1, min(limit, int(s))) for s in scores[row, place]], np.int64)
+    return row, kept_ids[row, place], np.array([int(s) for s in scores[row, place]], np.int64)
 
 
 def _searcher(k: int):

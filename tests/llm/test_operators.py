@@ -230,8 +230,8 @@ def test_topk(spark):
         got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
     whole = {k: [min(2**63 - 1, math.floor(256 * float(np.float32(x)))) for x in v] for k, v in rows if k is not None and v and None not in v and all(map(math.isfinite, v))}
     for q in [k for k in whole if k % 50 == 0]:
-        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), k) for k, v in whole.items() if k != q and len(v) == len(whole[q]))[:5]
-        expected = [(n, k, min(2**63 - 1, -s)) for n, (s, k) in enumerate(scored, 1)]
+        scored = sorted((max(1 - 2**63, -sum(a * b for a, b in zip(whole[q], v, strict=True))), k) for k, v in whole.items() if k != q and len(v) == len(whole[q]))[:5]
+        expected = [(n, k, -s) for n, (s, k) in enumerate(scored, 1)]
         assert sorted(got.get(q, [])) == expected
 
 
