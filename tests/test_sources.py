@@ -9,7 +9,7 @@ from nomenclia.sources import catalog_xml, csv_lines, supplier_xlsx
 from nomenclia.streaming import batches
 
 XML = """<?xml version="1.0" encoding="UTF-8"?>
-<export xmlns="http://zakupki.gov.ru/oos/types/1">{}</export>"""
+<export xmlns="urn:catalogue:export">{}</export>"""
 POSITION = """<position><data><code>{code}</code><name>  Стул   ученический </name><status>{status}</status><version>2</version><isTemplate>false</isTemplate>
 <OKPD2><code>31.01</code><name>Мебель</name></OKPD2><applicationDateStart>2020-01-02T03:04:05+03:00</applicationDateStart>
 <rubricators><rubricatorInfo><name>А</name></rubricatorInfo><rubricatorInfo><name>Б</name></rubricatorInfo></rubricators>
@@ -87,7 +87,7 @@ def test_batches_resume(spark, tmp_path):
 def test_legacy(spark, tmp_path):
     from nomenclia.sources import legacy
 
-    prefixed = XML.format(POSITION.format(code="A-1", status="ACTIVE")).replace("<position>", "<oos:position>").replace("</position>", "</oos:position>")
+    prefixed = XML.format(POSITION.format(code="A-1", status="ACTIVE")).replace("<position>", "<ns:position>").replace("</position>", "</ns:position>")
     with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
         z.writestr("inner/a.xml", prefixed)
         z.writestr("readme.txt", "x")
