@@ -43,8 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequence and offset."""
-    return packing.pack(packing.pieces(docs.select("doc_id", "text"), vocabulary("byte_bpe_50k.json")))
+    """Pieces of at most 2048 tokens with their sequence and offset; a smaller memo, as earlier stages' memory is still held."""
+    return packing.pack(packing.pieces(docs.select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), memo=500_000))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

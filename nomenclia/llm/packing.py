@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from nomenclia.llm.common import python_ready, stage
-from nomenclia.llm.tokens import encoder
+from nomenclia.llm.tokens import MEMO, encoder
 
 LIMIT = 2048
 END_ID = 0
@@ -39,7 +39,7 @@ ROUNDS = 4
 SPARE = 8
 
 
-def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = END_ID, memo: int = MEMO) -> DataFrame:
     """``docs`` without text, one row a piece: piece, start, length, ids_crc32."""
     added = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
     keep = [c for c in docs.columns if c != "text" and c not in dict(added)]
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = E
     arrow = to_arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, memo)
         kind = f"<u{encode.width}"
         for batch in batches:
             of, out = [], []

@@ -17,14 +17,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space besides space and newline, and characters that some classes count as such.
 ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
-#: Chunks that a worker's memo holds at most before it starts afresh.
+#: Chunks that a worker's memo holds at most before it starts afresh (about 200 bytes each).
 MEMO = 1_200_000
 
 
 class Encoder:
     """``encode(texts)`` gives one little-endian unsigned 16-bit (32-bit for large vocabularies) id string a text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,13 +37,14 @@ class Encoder:
         dropped = pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed" and r"[^\s\p{L}\p{N}]+" in pre["pretokenizers"][0]["pattern"].get("Regex", "")
         self.kind = "spaced" if spaced else "dropped" if dropped else "whole"
         self.memo: dict[str, bytes | None] = {}
+        self.most = most
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.width == 2 else "I"
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, missing: list[str]) -> None:
-        if len(self.memo) + len(missing) > MEMO:
+        if len(self.memo) + len(missing) > self.most:
             self.memo.clear()
         if self.kind == "dropped":
             self.memo.update(zip(missing, self._ids(missing), strict=True))
@@ -59,7 +60,7 @@ class Encoder:
         first = "\0" if self.kind == "spaced" else ""
         cut = [(first + t).replace("\n", " \n").split(" ") if t and "\0" not in t else [] for t in texts]
         missing = list(set().union(*cut).difference(self.memo))
-        if len(self.memo) + len(missing) > MEMO:
+        if len(self.memo) + len(missing) > self.most:
             missing = list(set().union(*cut))
         if missing:
             self._learn(missing)
@@ -78,8 +79,8 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+def encoder(path: str, most: int = MEMO) -> Encoder:
+    """This worker's encoder for a vocabulary file, with a memo of at most ``most`` chunks."""
+    if path not in _ENCODERS or _ENCODERS[path].most != most:
+        _ENCODERS[path] = Encoder(path, most)
     return _ENCODERS[path]
