@@ -12,11 +12,12 @@ all others:
   ``POPULAR`` sets are dear. Allocation is by cost: a set skips its dear
   segments if the others still number more than H, for then every partner
   shares one of the others.
-* A set without so many (one of a large group of near copies, or a short one
-  that is mostly a common passage) indexes, of its other segments, also all
-  subsets with one member less; such a segment meets one that differs by one,
-  and counts twice towards H.
-* A set for which even that is not enough keeps its dear signatures too.
+* A set without so many is heavy (one of a large group of copies or near
+  copies, or a short one that is mostly a common passage). A pair with a set
+  that is not heavy is found by that set's other segments. A pair of heavy
+  sets is found by single members: of each the |r| - ceil(3|r| / 4) + 1 that
+  the fewest heavy sets have (ties by hash). Linked sets share 3/4 of the
+  larger one, so the first member that they share is among these of both.
 
 Only connectivity is asked for, so a group of equal signatures is first joined
 as stars around pivots; verified links become components; what is left, pairs
@@ -42,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -130,9 +131,9 @@ def cut(members: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
     return {"set": which[row[heads]], "band": band[row[heads]], "tag": tag, "sum": sums, "of": np.cumsum(new) - 1, "mark": mark}
 
 
-def signature(tag: np.ndarray, sums: np.ndarray, band: np.ndarray, salt: int = 0) -> np.ndarray:
+def signature(tag: np.ndarray, sums: np.ndarray, band: np.ndarray) -> np.ndarray:
     """Segment and content in one number, the band in its low bits."""
-    return ((mixed(tag + mixed(sums + np.uint64(salt))) & ~np.uint64(BAND_MASK)) | band.astype(np.uint64)).view(np.int64)
+    return ((mixed(tag + mixed(sums)) & ~np.uint64(BAND_MASK)) | band.astype(np.uint64)).view(np.int64)
 
 
 def _full(members: np.ndarray, sizes: np.ndarray) -> list[list[dict]]:
@@ -141,14 +142,14 @@ def _full(members: np.ndarray, sizes: np.ndarray) -> list[list[dict]]:
     which, band = pairs >> 6, pairs & 63
     out: list[list[dict]] = [[] for _ in sizes]
     for k, b, n, h in zip(which.tolist(), band.tolist(), count.tolist(), differ(sizes[which], band).tolist(), strict=True):
-        out[k].append({"band": b, "spare": n - 1 - h, "full": n})
+        out[k].append({"band": b, "spare": n - 1 - h})
     return out
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """``docs`` (with row and text) without text, with node (null for no set), n_shingles and, by band, ``full`` (its non-empty segments) and ``spare`` (how many of them can differ from a partner's without all doing so, less one)."""
+    """``docs`` (with row and text) without text, with node (null for no set), n_shingles and, by band, ``spare`` (its non-empty segments less those that can differ from a partner's, less one)."""
     keep = [c for c in docs.columns if c not in ("text", "node", "n_shingles", "full")]
-    full = T.StructType([T.StructField(n, T.IntegerType()) for n in ("band", "spare", "full")])
+    full = T.StructType([T.StructField(n, T.IntegerType()) for n in ("band", "spare")])
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("full", T.ArrayType(full))])
     arrow = to_arrow_schema(schema)
 
@@ -271,29 +272,25 @@ def set_rows(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(found, "node long, members binary")
 
 
-def deletion_signatures(sets: DataFrame) -> DataFrame:
-    """Of ``sets`` (node, members, dear: their dear signatures, heavy: bands): the other segments, whole and with each member left out."""
+def prefix_groups(sets: DataFrame) -> DataFrame:
+    """(sig, node) of ``sets`` (node, members): the rarest members of each, as many as a partner cannot all be without, and only those that another set has."""
 
     @released
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for batch in _sliced(batches):
-                members, sizes = _load(batch)
-                c = cut(members, sizes)
-                node = batch.column("node").to_numpy()[c["set"]]
-                sig = signature(c["tag"], c["sum"], c["band"])
-                use = np.ones(len(sig), bool)
-                for k, (dear, heavy) in enumerate(zip(batch.column("dear").to_pylist(), batch.column("heavy").to_pylist(), strict=True)):
-                    own = c["set"] == k
-                    use[own] = ~np.isin(sig[own], np.array(dear or [], np.int64)) & np.isin(c["band"][own], np.array(heavy, np.int64))
-                of = c["of"][use[c["of"]]]
-                mark = c["mark"][use[c["of"]]]
-                less = signature(c["tag"][of], c["sum"][of] - mark, c["band"][of], 1)
-                yield np.append(signature(c["tag"][use], c["sum"][use], c["band"][use], 1), less), np.append(node[use], node[of])
-
-        yield from _gathered(parts(), GATHER)
-
-    return sets.mapInArrow(found, "k long, sig long, node long")
+        for batch in batches:
+            members, sizes = _load(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(members.view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes))], ["sig", "node", "size"])
+
+    python_ready(sets.sparkSession, 128)
+    each = stage(sets.select("node", "members").mapInArrow(found, "sig long, node long, size long"), "elements")
+    often = each.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("node")
+    # Members of one set alone are the rarest, so they come first.
+    placed = each.join(often, "sig").select("sig", "node", "size", (F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "sig"))).alias("place"))
+    out = stage(placed.where("place <= size - ceil(3 * size / 4) + 1").select("sig", "node"), "prefixes")
+    python_ready(sets.sparkSession)
+    drop_staged(each)
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -377,20 +374,15 @@ def grouped(rows: DataFrame) -> DataFrame:
     first = info.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("full").alias("full"))
     spare = first.select("node", F.inline("full"))
     banded = groups.withColumn("band", F.expr(f"cast(sig & {BAND_MASK} as int)"))
-    load = banded.groupBy("node", "band").agg(F.count("*").alias("shared"), F.count_if("dear").alias("dear"), F.collect_list(F.when(F.col("dear"), F.col("sig"))).alias("sigs"))
+    load = banded.groupBy("node", "band").agg(F.count("*").alias("shared"), F.count_if("dear").alias("dear"))
     alive = stage(load.join(spare, ["node", "band"]).where("shared > spare"), "alive")
     near = stage(banded.join(alive.select("node", "band"), ["node", "band"]), "near")
     drop_staged(groups)
     chosen = stage(first.select("node", "row").join(alive.select("node").distinct(), "node"), "chosen")
     sets = stage(set_rows(rows.select("row", "text").join(chosen, "row")), "sets")
-    heavy = alive.where("dear > spare")
-    by_node = heavy.groupBy("node").agg(F.flatten(F.collect_list("sigs")).alias("dear"), F.collect_list("band").alias("heavy"))
-    deleted = signature_groups(deletion_signatures(sets.join(by_node, "node")))
-    # Segments left count twice with one deletion; where that is too little, dear signatures stay.
-    solid = heavy.where("2 * (full - dear) <= full - 1 - spare").select("node", "band")
+    heavy = alive.where("dear > spare").select("node").distinct()
     usual = near.where("not dear").select("sig", "node")
-    kept = near.where("dear").join(solid, ["node", "band"]).select("sig", "node")
-    labels = resolve(usual.unionByName(deleted.select("sig", "node")).unionByName(kept), sets)
+    labels = resolve(usual.unionByName(prefix_groups(sets.join(heavy, "node"))), sets)
     drop_staged(sets)
     drop_staged(near)
     return stage(info.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node", "full"), "named")

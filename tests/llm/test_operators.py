@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import importlib
 import math
+import random
 import struct
 import sys
 import zlib
@@ -52,6 +53,22 @@ def test_ngram_join(docs, empty):
     assert ngram_join.classes(empty).count() == 0
 
 
+def test_ngram_join_around_copies(spark):
+    """Over 32 copies in as many tasks, over 32 near copies, and outlying near copies of both at 0.75 and more."""
+    r = random.Random(11)
+    texts = []
+    for copies, changed in ((44, 0), (44, 1)):
+        base = [f"v{r.randrange(10**6)}" for _ in range(200)]
+        near = lambda edits, base=base: " ".join(f"u{r.randrange(10**6)}" if k in edits else w for k, w in enumerate(base))
+        texts += [near({r.randrange(200)} if changed else set()) for _ in range(copies)]
+        texts += [near(set(r.sample(range(8, 192, 8), n))) for n in (4, 4, 5, 5, 5, 6)]
+        texts += [" ".join(base[: 200 - n]) for n in (30, 46, 49, 60)]
+        texts += [" ".join([*base, *(f"x{r.randrange(10**6)}" for _ in range(n))]) for n in (40, 60, 65, 70)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), len(texts)), "doc_id long, text string")
+    got = by_id(ngram_join.classes(docs))
+    assert [(got[k].n_shingles, got[k].component_id) for k in range(len(texts))] == brute.classes(texts)
+
+
 def test_repeated_passages(docs, empty):
     got = by_id(substring.remove_repeats(docs, kept_text=True))
     for k, kept in enumerate(brute.removed(TEXTS)):
