@@ -336,6 +336,8 @@ def resolve(groups: DataFrame, sets: DataFrame, stars: int = STARS) -> DataFrame
             rest = stage(named.join(ends, "sig"), "open")
             drop_staged(groups)
             groups, open_groups = rest.select("sig", "node"), rest
+            if ends.isEmpty():
+                break
         else:
             open_groups = open_groups.withColumn("label", F.col("node"))
         if turn < stars:
@@ -349,7 +351,7 @@ def resolve(groups: DataFrame, sets: DataFrame, stars: int = STARS) -> DataFrame
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            continue  # the pivots may be those of the round before; the last turn takes all pairs
         done = pairs if done is None else stage(done.unionByName(pairs), "done")
         new = verified(pairs, sets)
         if new.isEmpty():

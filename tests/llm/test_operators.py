@@ -69,6 +69,19 @@ def test_ngram_join_around_copies(spark):
     assert [(got[k].n_shingles, got[k].component_id) for k in range(len(texts))] == brute.classes(texts)
 
 
+def test_resolve_with_a_pivot_twice(spark):
+    """Only b and c of three are linked, and a is the pivot of both star rounds."""
+    for k in range(100):
+        nodes = [k, 1000 + k, 2000 + k]
+        if spark.range(1).select(F.array_min(F.array(*[F.struct(F.xxhash64(F.lit(n).cast("long"), F.lit(1)), F.lit(n).alias("n")) for n in nodes]))["n"]).first()[0] == k:
+            break
+    own, shared = np.arange(100, 110, dtype=np.uint64), np.arange(10, dtype=np.uint64)
+    sets = spark.createDataFrame([(n, bytearray(m.tobytes())) for n, m in zip(nodes, (own, shared, shared), strict=True)], "node long, members binary")
+    groups = spark.createDataFrame([(5, n) for n in nodes], "sig long, node long")
+    got = {r.node: r.label for r in ngram_join.resolve(groups, sets).collect()}
+    assert got.get(nodes[1]) == got.get(nodes[2]) == nodes[1] and got.get(nodes[0], nodes[0]) == nodes[0]
+
+
 def test_repeated_passages(docs, empty):
     got = by_id(substring.remove_repeats(docs, kept_text=True))
     for k, kept in enumerate(brute.removed(TEXTS)):
