@@ -53,7 +53,7 @@ def test_ngram_join(docs, empty):
     assert ngram_join.classes(empty).count() == 0
 
 
-def test_ngram_join_around_copies(spark):
+def around_copies():
     """Over 32 copies in as many tasks, over 32 near copies, and outlying near copies of both at 0.75 and more."""
     r = random.Random(11)
     texts = []
@@ -64,6 +64,11 @@ def test_ngram_join_around_copies(spark):
         texts += [near(set(r.sample(range(8, 192, 8), n))) for n in (4, 4, 5, 5, 5, 6)]
         texts += [" ".join(base[: 200 - n]) for n in (30, 46, 49, 60)]
         texts += [" ".join([*base, *(f"x{r.randrange(10**6)}" for _ in range(n))]) for n in (40, 60, 65, 70)]
+    return texts
+
+
+def test_ngram_join_around_copies(spark):
+    texts = around_copies()
     docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), len(texts)), "doc_id long, text string")
     got = by_id(ngram_join.classes(docs))
     assert [(got[k].n_shingles, got[k].component_id) for k in range(len(texts))] == brute.classes(texts)
@@ -318,5 +323,14 @@ def test_pipeline(spark, docs, tmp_path):
     assert now.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
 
 
+def test_pipeline_around_copies(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    texts = around_copies()
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.doc_id for r in pipeline.drop_near_copies(spark, docs, "").select("doc_id").collect()]
+    assert sorted(kept) == [k for k, (_, c) in enumerate(brute.classes(texts)) if c == k]
+
+
 def test_registered():
     assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {q.split("_")[0] for q in queries.QUERIES}
