@@ -2,18 +2,19 @@
 
 Tokens are words (A-Z lower-cased) and one end token a text; the base is their
 add-one unigram model, which is the tree's root. Contexts are the one or two
-tokens before a token (the text's start counts as one). The tree grows by
-levels: a context is counted only if its share of all tokens reaches
-``1 / CONTEXTS``, so there are at most ``CONTEXTS`` of each length, and it is
-retained only if its next-token distribution diverges from that of its
-suffix: its count times the Kullback-Leibler divergence reaches the number of
-its next tokens. Of a retained context, next tokens with a share of
-``LEAST_NEXT`` or more, likelier than after the suffix, are kept, absolutely
-discounted; the rest of its
+tokens before a token (the text's start counts as one). A context with
+``LEAST_COUNT`` tokens after it, at any size of the corpus, is retained if its next-token
+distribution diverges from that of its suffix: its count times the
+Kullback-Leibler divergence reaches the number of its next tokens. A retained
+context keeps all its next tokens, absolutely discounted; the rest of its
 probability goes to the longest retained suffix, down to the root. So every
 state is a distribution over the vocabulary and one unknown token, and a text
 is scored by the states of its longest retained suffixes.
 
+The tree is a distributed table (context, next, gain over the root), joined
+with the places of the scored texts; neither words nor states are numbered,
+64-bit hashes tell them apart.
+
 The counts of all words are one distributed table. Words with at least
 ``1 / FREQUENT`` of all tokens (so ``FREQUENT`` at most) travel to the
 workers; the counts of the others are joined, and only the root needs them.
@@ -28,26 +29,22 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from nomenclia.llm.common import python_ready, stage
+from nomenclia.llm.windows import mixed
 
-CONTEXTS = 1 << 18
 LEAST_COUNT = 4
-LEAST_NEXT = 0.002
-#: A next token is listed if it is so many times likelier than after the suffix.
-LIKELIER = 1.5
 FREQUENT = 1 << 20
 DISCOUNT = 0.5
-#: Numbers of tokens in keys: 1 and up for context words, START and OTHER besides.
+#: The token before a text and none; with BITS, keys of a SuffixTree.
 BITS, OTHER, START = 19, 0, (1 << 19) - 1
 END = b"\n"
 #: Distinct words that a worker keeps before it hands on or starts afresh.
@@ -91,57 +88,98 @@ def followers(numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     return before, second
 
 
-def context_counts(docs: DataFrame, numbers: dict[bytes, int], longer: np.ndarray | None = None) -> DataFrame:
-    """(context, next, n): of one token, or of those two-token contexts that ``longer`` lists; staged."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast((numbers, longer))
+class Hashes:
+    """Hashes of words as Spark's xxhash64 gives them, those seen kept up to a bound."""
+
+    def __init__(self) -> None:
+        self.of: dict[bytes, int] = {}
+
+    def __call__(self, texts: list[list[bytes]], size: int) -> np.ndarray:
+        if len(self.of) > KEEP:
+            self.of = {}
+        for w in set().union(*texts).difference(self.of):
+            self.of[w] = xxhash.xxh64_intdigest(w, 42)
+        return np.fromiter((x for text in texts for x in map(self.of.__getitem__, text)), np.uint64, size).view(np.int64)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, wanted = known.value
-        find = Lookup(wanted) if wanted is not None else None
-        keys: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found >> BITS), pa.array((found & START).astype(np.int32)), pa.array(n.astype(np.int64))], ["context", "next", "n"])
+def placed(column: pa.Array, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts end to end: each one's length, and of each token its hash, its context of one token and of two, and whether there is one of two."""
+    texts = [[*tokens(t), END] for t in column.to_pylist()]
+    lengths = np.array(list(map(len, texts)), np.int64)
+    ids = hashes(texts, int(lengths.sum()))
+    before, second = followers(ids, lengths)
+    longer = mixed(mixed(second.view(np.uint64)) + before.view(np.uint64)).view(np.int64)
+    some = np.ones(len(ids), bool)
+    some[np.cumsum(lengths) - lengths] = False
+    return lengths, ids, before, longer, some
+
+
+def context_counts(docs: DataFrame) -> DataFrame:
+    """(context, suffix, next, n, total, kinds) of contexts of one token (suffix null) and two that have LEAST_COUNT; staged."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held = Hashes(), []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            ids, before, longer, some = map(np.concatenate, zip(*held, strict=True))
+            for context, suffix, following in ((before, None, ids), (longer[some], before[some], ids[some])):
+                order = np.lexsort((following, context))
+                context, following = context[order], following[order]
+                new = np.ones(len(context), bool)
+                new[1:] = (context[1:] != context[:-1]) | (following[1:] != following[:-1])
+                heads = np.nonzero(new)[0]
+                n = np.diff(np.append(heads, len(context)))
+                yield pa.RecordBatch.from_arrays([pa.array(context[heads]), pa.nulls(len(heads), pa.int64()) if suffix is None else pa.array(suffix[order][heads]), pa.array(following[heads]), pa.array(n.astype(np.int64))], ["context", "suffix", "next", "n"])
 
         for batch in batches:
-            texts = [[*tokens(t), END] for t in batch.column(0).to_pylist()]
-            if not texts:
-                continue
-            lengths = np.array(list(map(len, texts)), np.int64)
-            ids = np.fromiter((x for text in texts for x in map(of.get, text, repeat(OTHER))), np.int64, int(lengths.sum()))
-            before, second = followers(ids, lengths)
-            if find is None:
-                some, context = before != OTHER, before
-            else:
-                context = second << BITS | before
-                some = (before != OTHER) & (second != OTHER)
-                some[some] = find.find(context[some]) >= 0
-            keys.append(context[some] << BITS | ids[some])
-            if sum(map(len, keys)) > 4_000_000:
-                yield flush()
-                keys = []
-        yield flush()
+            if batch.num_rows:
+                held.append(placed(batch.column(0), hashes)[1:])
+            if sum(len(h[0]) for h in held) > 2_000_000:
+                yield from flush()
+                held = []
+        if held:
+            yield from flush()
 
-    python_ready(spark)
-    return stage(docs.select("text").mapInArrow(counted, "context long, next int, n long").groupBy("context", "next").agg(F.sum("n").alias("n")), "contexts")
+    python_ready(docs.sparkSession)
+    of = Window.partitionBy("context")
+    each = docs.select("text").mapInArrow(counted, "context long, suffix long, next long, n long").repartition("context")
+    counts = each.groupBy("context", "suffix", "next").agg(F.sum("n").alias("n"))
+    return stage(counts.select("*", F.sum("n").over(of).alias("total"), F.count("*").over(of).alias("kinds")).where(F.col("total") >= LEAST_COUNT), "contexts")
 
 
-def retained(counts: DataFrame, shorter: DataFrame, on: list[str]) -> DataFrame:
-    """(context, next, p) of the contexts that diverge from ``shorter`` (``on``, q), and their next tokens of a sufficient share.
+def states(counts: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(context, next, p, q, left, kept) of all counted contexts of one token and of the retained ones of two; staged.
 
-    ``next`` OTHER carries what remains for the suffix (``p`` alone, without a token).
+    ``p`` is the token's probability, that of the suffix taken in, ``q`` that of the root and ``left`` the share for the suffix.
     """
-    totals = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    known = counts.join(totals, "context").withColumn("suffix", F.expr(f"context & {START}")).withColumn("p", F.col("n") / F.col("total"))
-    against = known.join(shorter, on)
-    gain = against.groupBy("context").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain"), F.first("kinds").alias("kinds"))
-    kept = gain.where("gain >= kinds").select("context")
-    likelier = (F.col("next") != OTHER) & (F.col("n") >= LEAST_COUNT) & (F.col("p") >= LEAST_NEXT) & (F.col("p") >= LIKELIER * F.col("q"))
-    listed = against.where(likelier).join(kept, "context", "left_semi").select("context", "next", ((F.col("n") - DISCOUNT) / F.col("total")).alias("p"))
-    rest = listed.groupBy("context").agg((1 - F.sum("p")).alias("p")).select("context", F.lit(OTHER).alias("next"), "p")
-    return listed.unionByName(rest)
+    n, total = F.col("n"), F.col("total")
+    gain = lambda against: F.sum(n * F.log(n / total / F.col(against))).over(Window.partitionBy("context"))
+    left = DISCOUNT * F.col("kinds") / total
+    one = counts.where("suffix is null").drop("suffix").join(root, "next").withColumn("kept", gain("q") >= F.col("kinds"))
+    one = stage(one.select("context", "next", F.when(F.col("kept"), (n - DISCOUNT) / total + left * F.col("q")).otherwise(F.col("q")).alias("p"), "q", left.alias("left"), "kept", (n / total).alias("share")), "states")
+    shorter = one.select(F.col("context").alias("suffix"), "next", "share", F.col("p").alias("below"), "q")
+    two = counts.where("suffix is not null").join(shorter, ["suffix", "next"]).withColumn("kept", gain("share") >= F.col("kinds")).where("kept")
+    return one, stage(two.select("context", "next", ((n - DISCOUNT) / total + left * F.col("below")).alias("p"), "q", left.alias("left"), "kept"), "states")
+
+
+def gains(docs: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
+    """(__row, __gain): the sum over a text's tokens of log10 of the probability over the root's."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            if batch.num_rows:
+                lengths, ids, before, longer, some = placed(batch.column("text"), hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("__row").to_numpy(), lengths)), pa.array(before), pa.array(longer, mask=~some), pa.array(ids)], ["__row", "before", "longer", "next"])
+
+    python_ready(docs.sparkSession)
+    out = docs.select("__row", "text").mapInArrow(found, "__row long, before long, longer long, next long")
+    for level, key, k in ((two, "longer", 2), (one.where("kept"), "before", 1)):
+        listed = level.select(F.col("context").alias(key), "next", F.log10(F.col("p") / F.col("q")).alias(f"g{k}"))
+        rest = level.groupBy(F.col("context").alias(key)).agg(F.log10(F.first("left")).alias(f"l{k}"))
+        out = out.join(listed, [key, "next"], "left").join(rest, key, "left")
+    gain = F.coalesce("g2", F.coalesce("l2", F.lit(0.0)) + F.coalesce("g1", "l1", F.lit(0.0)))
+    return out.groupBy("__row").agg(F.sum(gain).alias("__gain"))
 
 
 class Lookup:
@@ -179,7 +217,7 @@ class Lookup:
 
 
 class SuffixTree:
-    """The retained states: what each keeps for its suffix, and the share of each of its next tokens."""
+    """A small tree in one process, tokens by number: what each state keeps for its suffix, and the share of each of its next tokens."""
 
     def __init__(self, rows: dict[str, np.ndarray]):
         rest = rows["next"] == OTHER
@@ -217,67 +255,54 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     vocabulary = word_counts(train)
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, kinds = int(sums["n"]), int(sums["v"])
-    # At most CONTEXTS words or contexts of a length, with 1 / LEAST_NEXT next tokens each, and FREQUENT words, whatever the corpus.
-    least = max(LEAST_COUNT, math.ceil(total / CONTEXTS))
-    often = vocabulary.where((F.col("n") >= least) & (F.col("word") != F.lit(END))).orderBy(F.desc("n"), "word").toArrow()
-    numbers = {w: k for k, w in enumerate(often["word"].to_pylist(), 1)} | {END: len(often) + 1}
-    ends = int(total and vocabulary.where(F.col("word") == F.lit(END)).first()["n"])
-    unigram = spark.createDataFrame([(k, int(n)) for k, n in enumerate([*often["n"].to_pylist(), ends], 1)], "next int, c long")
-    listed = unigram.select("next", ((F.col("c") + 1) / (total + kinds + 1)).alias("q"))
-    other = listed.agg((1 - F.sum("q")).alias("q")).select(F.lit(OTHER).alias("next"), "q")
-    pairs = context_counts(train, numbers)
-    root = F.broadcast(listed.unionByName(other))  # CONTEXTS + 2 rows at most
-    longer = pairs.where((F.col("n") >= least) & (F.col("next") != OTHER)).select(F.expr(f"shiftleft(context, {BITS}) | next").alias("k")).toArrow()["k"].to_numpy()
-    triples = context_counts(train, numbers, longer)
-    one = pairs.join(pairs.groupBy("context").agg(F.sum("n").alias("total")), "context").select(F.col("context").alias("suffix"), "next", (F.col("n") / F.col("total")).alias("q"))
-    kept = retained(pairs, root, ["next"]).unionByName(retained(triples, one, ["suffix", "next"])).toArrow()
-    tree = spark.sparkContext.broadcast((numbers, SuffixTree({c: kept[c].to_numpy() for c in kept.column_names})))
+    root = vocabulary.select(F.xxhash64("word").alias("next"), ((F.col("n") + 1) / F.lit(float(total + kinds + 1))).alias("q"))
+    one, two = states(context_counts(train), root)
     least = max(1, math.ceil(total / FREQUENT))
     usual = vocabulary.where(F.col("n") >= least).toArrow()
     common = spark.sparkContext.broadcast(dict(zip(usual["word"].to_pylist(), usual["n"].to_pylist(), strict=True)))
 
     keep = [c for c in docs.columns if c != "text" and c not in dict(ADDED)]
-    part = [("__n", T.LongType()), ("__known", T.LongType()), ("__log", T.DoubleType()), ("__gain", T.DoubleType()), ("__rare", T.ArrayType(T.LongType()))]
+    part = [("__n", T.LongType()), ("__known", T.LongType()), ("__log", T.DoubleType()), ("__rare", T.ArrayType(T.LongType()))]
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("__row", T.LongType()), *[T.StructField(n, t) for n, t in part]])
     arrow = to_arrow_schema(schema)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (context_number, model), counts = tree.value, common.value
-        model.ready()
+        counts = common.value
         number: dict[bytes, int] = {}
-        ids, count, rare = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        count, rare = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             texts = [[*tokens(t), END] for t in batch.column("text").to_pylist()]
             words = set().union(*texts)
             if len(number) > KEEP:
-                number, ids, count, rare = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                number, count, rare = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
             if new := list(words.difference(number)):
                 number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-                ids = np.append(ids, np.array([context_number.get(w, OTHER) for w in new], np.int64))
                 count = np.append(count, np.array([counts.get(w, 0) for w in new], np.int64))
                 rare = np.append(rare, np.array([0 if w in counts else xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64).view(np.int64))
             lengths = np.array(list(map(len, texts)), np.int64)
             at = np.fromiter((x for text in texts for x in map(number.__getitem__, text)), np.int64, int(lengths.sum()))
             c = count[at]
-            logs, gains = np.log10(c + 1.0), model.gains(ids[at], lengths, (c + 1.0) / (total + kinds + 1)) if len(at) else c
+            logs = np.log10(c + 1.0)
             out, start = [], 0
             for n in lengths.tolist():
                 own = slice(start, start + n)
                 start += n
-                out.append((n, int(np.count_nonzero(c[own])), float(logs[own].sum()), float(gains[own].sum()), rare[at[own]][c[own] == 0]))
+                out.append((n, int(np.count_nonzero(c[own])), float(logs[own].sum()), rare[at[own]][c[own] == 0]))
             columns = list(zip(*out, strict=True)) or [()] * len(part)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(arrow.field(c).type) for c in [*keep, "__row"]), *(pa.array(c, arrow.field(n).type) for c, (n, _) in zip(columns, part, strict=True))], schema=arrow)
 
     python_ready(spark)
-    scores = stage(docs.withColumn("__row", F.monotonically_increasing_id()).select(*keep, "__row", "text").mapInArrow(scored, schema), "scores")
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    scores = stage(rows.select(*keep, "__row", "text").mapInArrow(scored, schema), "scores")
     others = vocabulary.where(F.col("n") < least).select(F.xxhash64("word").alias("__hash"), "n")
     rare = scores.select("__row", F.explode("__rare").alias("__hash")).join(others, "__hash").groupBy("__row").agg(F.count("*").alias("__k"), F.sum(F.log10(F.col("n") + 1.0)).alias("__l"))
     base = F.col("__log") + F.coalesce("__l", F.lit(0.0)) - F.col("__n") * F.lit(math.log10(total + kinds + 1))
-    return scores.drop("__rare").join(rare, "__row", "left").select(
+    gained = stage(gains(rows, one, two), "gains")
+    return scores.drop("__rare").join(rare, "__row", "left").join(gained, "__row", "left").select(
         *keep,
         F.lit(total).cast("long").alias("train_tokens"),
         F.col("__n").alias("n_tokens"),
         (F.col("__known") + F.coalesce("__k", F.lit(0))).alias("n_known"),
         base.alias("base_score"),
-        (base + F.col("__gain")).alias("score"),
+        (base + F.coalesce("__gain", F.lit(0.0))).alias("score"),
     )
