@@ -244,6 +244,47 @@ def test_language_model(docs, empty):
     assert lm.score(empty, docs).count() == 0
 
 
+def test_language_model_keeps_whole_states(spark):
+    """Against a plain tree: contexts of any share of the tokens, followers that a context makes rarer, and shares under 0.2%."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefgh") + str(r.choice([1, 1, 1, 2])) for _ in range(60)) for _ in range(60)]
+    texts += [" ".join(f"the {r.choice('abcdefgh')}1 {'x' if k % 40 else 'y'}" for k in range(400))] * 3 + [f"the n{k}" for k in range(900)] + ["rare pair here"] * 5
+    train = [[*brute.lower_words(t), b"\n"] for t in texts]
+    unigram = Counter(w for ws in train for w in ws)
+    n, v = sum(unigram.values()), len(unigram)
+    seen = [{}, {}]
+    for ws in train:
+        full = ["start", *ws]
+        for k in range(1, len(full)):
+            for length in (1, 2):
+                if k >= length:
+                    seen[length - 1].setdefault(tuple(full[k - length : k]), Counter())[full[k]] += 1
+    kept = {}
+    for length in (1, 2):
+        for context, c in seen[length - 1].items():
+            total = sum(c.values())
+            q = (lambda w: (unigram[w] + 1) / (n + v + 1)) if length == 1 else (lambda w, s=seen[0][context[1:]]: s[w] / sum(s.values()))
+            if total >= lm.LEAST_COUNT and sum(x * math.log(x / total / q(w)) for w, x in c.items()) >= len(c):
+                kept[context] = c
+
+    def chance(context, w):
+        if not context:
+            return (unigram[w] + 1) / (n + v + 1)
+        if context not in kept:
+            return chance(context[1:], w)
+        c = kept[context]
+        total = sum(c.values())
+        return max(0, c[w] - lm.DISCOUNT) / total + lm.DISCOUNT * len(c) / total * chance(context[1:], w)
+
+    asked = [texts[0], texts[60], "the n5 the n899", "rare pair here", "the unseen a1 x y", "", "the y the x"]
+    train_df, ask_df = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = by_id(lm.score(ask_df, train_df))
+    for k, t in enumerate(asked):
+        full = ["start", *brute.lower_words(t), b"\n"]
+        expected = sum(math.log10(chance(tuple(full[max(0, i - 2) : i]), full[i])) for i in range(1, len(full)))
+        assert math.isclose(got[k].score, expected, rel_tol=1e-9)
+
+
 def test_suffix_tree_is_a_distribution():
     rows = {"context": np.array([5, 5, 5, 7 << lm.BITS | 5, 7 << lm.BITS | 5]), "next": np.array([1, 2, lm.OTHER, 2, lm.OTHER]), "p": np.array([0.4, 0.3, 0.3, 0.5, 0.5])}
     tree = lm.SuffixTree(rows).ready()
