@@ -81,6 +81,11 @@ def conjunctive_lookup(spark, d):
     return table(spark, d, "lineitem").where("l_orderkey % 97 = 3 and l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1 AND l_quantity >= 30")
+def conjunctive_lookup_whole(spark, d):
+    return table(spark, d, "lineitem").where("l_returnflag = 'R' and l_linenumber = 1 and l_quantity >= 30").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
 @query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE length(trim(text)) BETWEEN 3 AND 2000 AND NOT regexp_full_match(trim(text), '[0-9]+')")
 def input_validation(spark, d):
     t = F.trim("text")
@@ -100,8 +105,16 @@ def join_inner_dim(spark, d):
 
 @query("SELECT o_orderkey, l_linenumber, round(l_quantity, 4) AS qty FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 50 = 7")
 def join_left_detail(spark, d):
-    o, lines = table(spark, d, "orders").where("o_custkey % 50 = 7"), table(spark, d, "lineitem")
-    return o.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", "l_linenumber", F.round("l_quantity", 4).alias("qty"))
+    return left_detail(table(spark, d, "orders").where("o_custkey % 50 = 7"), table(spark, d, "lineitem"))
+
+
+@query("SELECT o_orderkey, l_linenumber, round(l_quantity, 4) AS qty FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey")
+def join_left_detail_whole(spark, d):
+    return left_detail(table(spark, d, "orders"), table(spark, d, "lineitem"))
+
+
+def left_detail(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    return orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("o_orderkey", "l_linenumber", F.round("l_quantity", 4).alias("qty"))
 
 
 @query("SELECT n_name, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS keys, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
@@ -122,8 +135,17 @@ def join_anti(spark, d):
 
 @query("SELECT o_orderkey, count(l_linenumber) AS n, string_agg(l_linenumber || ':' || l_partkey, ';' ORDER BY l_linenumber, l_partkey) AS items FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0 GROUP BY o_orderkey")
 def nested_assembly(spark, d):
-    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
-    joined = table(spark, d, "orders").where("o_orderkey % 10 = 0").join(items, F.col("l_orderkey") == F.col("o_orderkey"))
+    return assembled(table(spark, d, "orders").where("o_orderkey % 10 = 0"), table(spark, d, "lineitem"))
+
+
+@query("SELECT o_orderkey, count(l_linenumber) AS n, string_agg(l_linenumber || ':' || l_partkey, ';' ORDER BY l_linenumber, l_partkey) AS items FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def nested_assembly_whole(spark, d):
+    return assembled(table(spark, d, "orders"), table(spark, d, "lineitem"))
+
+
+def assembled(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    items = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
+    joined = orders.join(items, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select("o_orderkey", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ";").alias("items"))
 
 
@@ -402,7 +424,20 @@ def name_match_choice(spark, d):
 )
 def narrow_stages(spark, d):
     part = table(spark, d, "part")
-    facts = part.where("p_partkey % 40 = 1").select(F.col("p_partkey").alias("id"), "p_name", F.col("p_brand").alias("b"), F.col("p_type").alias("t"))
+    return stages_of(part.where("p_partkey % 40 = 1"), part)
+
+
+@query(
+    """WITH a AS (SELECT f.p_partkey AS id, count(*) AS n0, count(*) FILTER (p.p_brand = f.p_brand) AS n1, count(*) FILTER (p.p_brand = f.p_brand AND p.p_type = f.p_type) AS n2 FROM part f JOIN part p USING (p_name) GROUP BY f.p_partkey)
+    SELECT id, n0, n1, n2 FROM a"""
+)
+def narrow_stages_whole(spark, d):
+    part = table(spark, d, "part")
+    return stages_of(part, part)
+
+
+def stages_of(described: DataFrame, part: DataFrame) -> DataFrame:
+    facts = described.select(F.col("p_partkey").alias("id"), "p_name", F.col("p_brand").alias("b"), F.col("p_type").alias("t"))
     codes = facts.join(part, "p_name").groupBy("id").agg(
         F.array_sort(F.collect_list("p_partkey")).alias("codes"),
         F.collect_list(F.when(F.col("p_brand") == F.col("b"), F.col("p_partkey"))).alias("brand"),
