@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +55,25 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def python_ready(spark: SparkSession, rows: int = 512) -> None:
-    """Get ready to run Python on the executors: code there, and bounded rows in an Arrow batch."""
+def python_ready(spark: SparkSession) -> None:
+    """Get ready to run Python on the executors: the code goes there. Spark's own settings bound a batch in rows and bytes; tasks take it in slices."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some rows, so that a task holds the work of a slice."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+#: Rows of keys that travel to every executor at most (16 bytes each); more are joined by a shuffle.
+FEW = 500_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys``, a staged table of numbers, marked for broadcast if it is counted to be small."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys
 
 
 def n_words(text) -> F.Column:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from nomenclia.llm.common import python_ready, stage
+from nomenclia.llm.common import python_ready, slices, stage
 from nomenclia.llm.windows import mixed
 
 LEAST_COUNT = 4
@@ -63,7 +63,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["word", "n"]
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(tokens(text))
                 seen[END] += 1
@@ -131,7 +131,7 @@ def context_counts(docs: DataFrame) -> DataFrame:
                 n = np.diff(np.append(heads, len(context)))
                 yield pa.RecordBatch.from_arrays([pa.array(context[heads]), pa.nulls(len(heads), pa.int64()) if suffix is None else pa.array(suffix[order][heads]), pa.array(following[heads]), pa.array(n.astype(np.int64))], ["context", "suffix", "next", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 held.append(placed(batch.column(0), hashes)[1:])
             if sum(len(h[0]) for h in held) > 2_000_000:
@@ -167,7 +167,7 @@ def gains(docs: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 lengths, ids, before, longer, some = placed(batch.column("text"), hashes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("__row").to_numpy(), lengths)), pa.array(before), pa.array(longer, mask=~some), pa.array(ids)], ["__row", "before", "longer", "next"])
@@ -270,7 +270,7 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
         counts = common.value
         number: dict[bytes, int] = {}
         count, rare = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [[*tokens(t), END] for t in batch.column("text").to_pylist()]
             words = set().union(*texts)
             if len(number) > KEEP:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from nomenclia.llm.common import python_ready
+from nomenclia.llm.common import python_ready, slices
 
 FRAME = 576
 PAD = b"\xff"
@@ -154,7 +154,7 @@ def to_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataF
     arrow = to_arrow_schema(schema)
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             files = [write_media((t or "").encode()) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(arrow.field(c).type) for c in keep), pa.array(files, arrow.field(media).type)], schema=arrow)
 
@@ -179,7 +179,7 @@ def from_media(files: DataFrame, media: str = "media") -> DataFrame:
         return length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), ";".join(f"{k}={v}" for k, v in facts.items())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = list(zip(*(features(x.as_py()) for x in batch.column(media)), strict=True)) or [()] * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(arrow.field(c).type) for c in keep), *(pa.array(r, arrow.field(n).type) for r, (n, _) in zip(rows, FEATURES, strict=True))], schema=arrow)
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from nomenclia.llm.common import python_ready, stage
+from nomenclia.llm.common import python_ready, slices, stage
 from nomenclia.llm.tokens import MEMO, encoder
 
 LIMIT = 2048
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = E
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, memo)
         kind = f"<u{encode.width}"
-        for batch in batches:
+        for batch in slices(batches):
             of, out = [], []
             for row, ids in enumerate(encode.encode([t or "" for t in batch.column("text").to_pylist()])):
                 whole = np.append(np.frombuffer(ids, kind), [end_id]).astype("<u4")

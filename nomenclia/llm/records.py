@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nomenclia.llm.common import python_ready, stage
+from nomenclia.llm.common import python_ready, slices, stage
 from nomenclia.llm.tokens import encoder
 
 END_ID = 2
@@ -74,7 +74,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = END
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         end = end_id.to_bytes(encode.width, "little")
-        for batch in batches:
+        for batch in slices(batches):
             ids = encode.encode([t or "" for t in batch.column("text").to_pylist()])
             rows = [frame(struct.pack("<BqB", i is not None, i or 0, encode.width) + x + end) for i, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
@@ -94,7 +94,7 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
     schema = "doc_id long, file string, offset long, length long, before long, n_tokens long, ids_crc32 long"
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for file, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows, before = [], 0
                 for at, payload in frames(data.as_py()):
@@ -105,7 +105,7 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
                 names = ["doc_id", "file", "offset", "length", "before", "n_tokens", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names)
 
-    python_ready(spark, 2)
+    python_ready(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
     index = stage(files.mapInArrow(indexed, schema), "index")
     number = lambda p: F.regexp_extract("file", p, 1).cast("long")

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from nomenclia.llm.common import packed, python_ready, stage
-from nomenclia.llm.windows import BASES, mixed, run_hashes, slide, word_hashes
+from nomenclia.llm.common import packed, python_ready, slices, stage
+from nomenclia.llm.windows import mixed, run_hashes, slide, word_hashes
 
 WINDOW = 35
 #: Windows that a task gathers before it deals out their sums.
@@ -67,7 +67,7 @@ def anchors(texts: DataFrame, window: int) -> DataFrame:
     width = window - half + 1
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes, lengths = word_hashes(_bytes(batch.column("text")))
             rows, n = batch.column("row").to_numpy(), len(hashes)
             short = run_hashes(hashes, half)
@@ -131,7 +131,7 @@ def long_windows(texts: DataFrame, window: int) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         gathered = 0
-        for batch in batches:
+        for batch in slices(batches):
             hashes, lengths = word_hashes(_bytes(batch.column("text")))
             if not len(hashes):
                 continue
@@ -147,7 +147,7 @@ def long_windows(texts: DataFrame, window: int) -> DataFrame:
             if len(at):
                 some = copied[text] | (slide(marked, width)[at] == slide(short, width)[at])
                 at, text = at[some], text[some]
-                parts.append((run_hashes(hashes, window)[at], run_hashes(hashes, window, BASES[1])[at], rows[text], at - starts[text], copied[text]))
+                parts.append((run_hashes(hashes, window)[at], run_hashes(word_hashes(_bytes(batch.column("text")), 1)[0], window)[at], rows[text], at - starts[text], copied[text]))
                 gathered += len(at)
             if gathered > GATHER:
                 yield _dealt(*map(np.concatenate, zip(*parts, strict=True)), window)
@@ -169,7 +169,7 @@ def without(docs: DataFrame, window: int, kept_text: bool) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, whole, spans in zip(_bytes(batch.column("text")), batch.column("whole").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = text.split()

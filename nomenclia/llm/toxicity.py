@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from nomenclia.llm.common import python_ready
+from nomenclia.llm.common import python_ready, slices
 
 TRAIN_ROWS = 20_000
 LEARNED_WORDS = 100
@@ -173,7 +173,7 @@ def featured(docs: DataFrame, learned: frozenset[str]) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [text_features(t or "", learned) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(arrow.field(c).type) for c in keep), pa.array(x, arrow.field("features").type)], schema=arrow)
 
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([text_features(t or "", model.learned) for t in batch.column("text").to_pylist()], float).reshape(-1, len(NAMES))
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(arrow.field(c).type) for c in keep), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], schema=arrow)

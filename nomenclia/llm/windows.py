@@ -1,70 +1,21 @@
-"""Words, and hashes of runs of words, for whole batches of texts at once."""
+"""Words, and hashes of runs of words, for whole batches of texts at once.
+
+A word's hash is a polynomial of its bytes modulo 2^64 with a table of values,
+so that one pass over the bytes hashes all words; a run's hash is built from
+those of runs half as long. ``salt`` gives an independent second hash.
+"""
 
 from __future__ import annotations
 
-import ctypes
-import gc
-from collections.abc import Callable, Iterator
-from functools import wraps
-from itertools import chain, repeat
+from functools import cache
 
 import numpy as np
-import pyarrow as pa
-import xxhash
-
-#: Distinct words that a worker keeps before it starts afresh.
-KEEP = 150_000
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
-_MEMO: dict[bytes, int] = {}
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def released(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """A task body that hands its memory back when it ends: workers idle between stages beside the JVM's heap."""
-
-    @wraps(rows)
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from rows(batches)
-        finally:
-            _MEMO.clear()
-            _POWERS.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
-
-    return run
-
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, texts end to end, and the number of words of each text.
-
-    bytes.split() parts at space and ASCII 9-13 alone.
-    """
-    words = [t.split() for t in texts]
-    if len(_MEMO) > KEEP:
-        _MEMO.clear()
-    new = set().union(*words).difference(_MEMO)
-    _MEMO.update(zip(new, map(xxhash.xxh64_intdigest, new, repeat(7)), strict=True))
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    return np.fromiter(map(_MEMO.__getitem__, chain.from_iterable(words)), np.uint64, int(lengths.sum())), lengths
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _POWERS[base] = out[0], out[1]
-    return _POWERS[base]
+#: Bytes that are hashed at a time, which bounds memory for very long texts.
+PIECE = 1 << 19
+BASE, STEP = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -73,15 +24,58 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def run_hashes(hashes: np.ndarray, length: int, base: int = BASES[0]) -> np.ndarray:
-    """A hash of the ``length`` words from each place on; max(0, n - length + 1) of them."""
-    n = len(hashes)
-    if n < length:
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(base, n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mixed(hashes ^ np.uint64(base)) * power[:n], out=sums[1:])
-    return mixed((sums[length:] - sums[:-length]) * inverse[: n - length + 1])
+@cache
+def _values(salt: int) -> np.ndarray:
+    """One value for each byte."""
+    return mixed(mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(STEP)) + np.uint64(salt))
+
+
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2**64, and of its inverse."""
+    out = []
+    for b in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(size, b, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes of the words at ``starts`` to ``ends`` of ``data``."""
+    power, inverse = _powers(max(PIECE, 1 << (len(data) + 1).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_values(salt)[data] * power[: len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(texts: list[bytes], salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, texts end to end, and the number of words of each text."""
+    data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+    blank = SPACE[data]
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    last = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    lengths = np.diff(np.searchsorted(starts, last), prepend=0)
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        # Whole words of about PIECE bytes, one word at least.
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE)))
+        first = starts[at]
+        out[at:to] = _hashed(data[first : ends[to - 1]], starts[at:to] - first, ends[at:to] - first, salt)
+        at = to
+    return out, lengths
+
+
+def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` words from each place on, by doubling; max(0, n - length + 1) of them."""
+    have, size = hashes, 1
+    while size < length:
+        step = min(size, length - size)
+        n = max(0, len(have) - step)
+        have = mixed(have[:n] * np.uint64(STEP) + have[len(have) - n :])
+        size += step
+    return have
 
 
 def slide(values: np.ndarray, width: int, best=np.minimum) -> np.ndarray:

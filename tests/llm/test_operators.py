@@ -74,17 +74,32 @@ def test_ngram_join_around_copies(spark):
     assert [(got[k].n_shingles, got[k].component_id) for k in range(len(texts))] == brute.classes(texts)
 
 
-def test_resolve_with_a_pivot_twice(spark):
-    """Only b and c of three are linked, and a is the pivot of both star rounds."""
-    for k in range(100):
-        nodes = [k, 1000 + k, 2000 + k]
-        if spark.range(1).select(F.array_min(F.array(*[F.struct(F.xxhash64(F.lit(n).cast("long"), F.lit(1)), F.lit(n).alias("n")) for n in nodes]))["n"]).first()[0] == k:
-            break
-    own, shared = np.arange(100, 110, dtype=np.uint64), np.arange(10, dtype=np.uint64)
-    sets = spark.createDataFrame([(n, bytearray(m.tobytes())) for n, m in zip(nodes, (own, shared, shared), strict=True)], "node long, members binary")
-    groups = spark.createDataFrame([(5, n) for n in nodes], "sig long, node long")
-    got = {r.node: r.label for r in ngram_join.resolve(groups, sets).collect()}
-    assert got.get(nodes[1]) == got.get(nodes[2]) == nodes[1] and got.get(nodes[0], nodes[0]) == nodes[0]
+def around_passages(r):
+    """One passage in most of many sets that are not linked, some that are, and sets that are a passage for the most part."""
+    passage, texts = [f"p{k}" for k in range(60)], []
+    for k in range(120):
+        own = [f"o{r.randrange(10**6)}" for _ in range(r.choice((4, 9, 14, 30)))]
+        texts.append(" ".join(passage + own))
+        if k % 10 == 0:
+            texts.append(" ".join([*passage, *own[:-1], "z"]))
+    other = [f"q{k}" for k in range(50)]
+    return texts + [" ".join(passage + other[: 10 + k]) for k in range(40)] + [" ".join(other[:k]) for k in range(3, 50, 3)]
+
+
+def test_ngram_join_around_passages(spark):
+    texts = around_passages(random.Random(5))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 3), "doc_id long, text string")
+    got = by_id(ngram_join.classes(docs.repartition(5)))
+    assert [(got[k].n_shingles, got[k].component_id) for k in range(len(texts))] == brute.classes(texts)
+
+
+def test_one_of_each_with_repeated_rows(spark):
+    """Rows equal in all columns, or in doc_id and text alone: one stays."""
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "a b c d e f", "z"), (3, None, "n"), (3, None, "n"), (4, "other words of a text here", "o"), (None, "a b c d e f", "u"), (5, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = sorted(tuple(r) for r in ngram_join.one_of_each(docs).collect())
+    assert [g[0] for g in got] == [1, 3, 3, 4, 5] and got[0][2] in "xy"
+    assert {r.doc_id: r.component_id for r in ngram_join.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, None: 1}
 
 
 def test_repeated_passages(docs, empty):
