@@ -6,16 +6,19 @@ File format (little-endian). A file is a run of records::
 
 A payload is ``u8 has_id | i64 doc_id | u8 width | ids`` with ids of ``width``
 bytes. The mask is that of the common record formats: the CRC-32 rotated right
-by 15 bits plus 0xA282EAD8. Records ascend by doc_id within a file and over
-files in the order of their part numbers. The writer is Spark's own, so any
-store that Spark can write will do; every file is bounded in records.
+by 15 bits plus 0xA282EAD8. Records ascend by doc_id (equal ones by a digest of
+the text) within a file and over files in the order of their part numbers. The
+writer is Spark's own, so any store that Spark can write will do; every file is
+bounded in records, and in bytes by the longest text.
 
 The index is a Parquet table with one row a record: doc_id, file, byte offset
 and length, tokens before it and in it. ``fetch`` reads chosen records by it.
 
-Cases: a null doc_id is kept as null and sorts first; null and empty texts are
-a record of the end id alone; repeated rows are records of their own; an empty
-table gives an empty index; extra columns are not written.
+Cases: a null doc_id is kept as null and sorts first; rows of one doc_id are in
+the order of their texts' digests, so that reruns agree, and may be dealt to
+several tasks; null and empty texts are a record of the end id alone; repeated
+rows are records of their own; very long texts make files of fewer records; an
+empty table gives an empty index; extra columns are not written.
 """
 
 from __future__ import annotations
@@ -28,12 +31,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from nomenclia.llm.common import python_ready, slices, stage
 from nomenclia.llm.tokens import encoder
 
 END_ID = 2
 RECORDS_PER_FILE = 8192
+#: Bytes of a file at most, unless one record is larger; readers take files whole.
+FILE_BYTES = 1 << 28
 TAIL = b"\n"
 
 
@@ -80,7 +87,11 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = END
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 
     python_ready(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # A text has at most one id a byte, of four bytes at most.
+    longest = docs.agg(F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()[0]
+    records_per_file = max(1, min(records_per_file, FILE_BYTES // (4 * longest + 64)))
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("digest"))
+    ordered = keyed.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "text")
     framed = ordered.mapInArrow(encoded, "record binary").select(F.col("record").cast("string").alias("value"))
     framed.write.option("lineSep", TAIL.decode()).option("maxRecordsPerFile", records_per_file).text(path)
 
@@ -94,7 +105,7 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
     schema = "doc_id long, file string, offset long, length long, before long, n_tokens long, ids_crc32 long"
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 1):
             for file, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows, before = [], 0
                 for at, payload in frames(data.as_py()):
@@ -109,19 +120,30 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
     index = stage(files.mapInArrow(indexed, schema), "index")
     number = lambda p: F.regexp_extract("file", p, 1).cast("long")
-    order = Window.orderBy(number(r"part-(\d+)"), number(r"-c(\d+)[.]txt"), "file").rowsBetween(Window.unboundedPreceding, -1)
-    ends = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    files = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumns({"part": number(r"part-(\d+)"), "c": number(r"-c(\d+)[.]txt")})
+    # Sums of whole parts first, so that the one window over all has a row a part.
+    above = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(above.orderBy("part")), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("n").over(above.partitionBy("part").orderBy("c", "file")), F.lit(0))
+    ends = files.join(parts, "part").select("file", (F.col("first") + inside).alias("base"))
     return index.join(ends, "file").select("doc_id", "file", "offset", "length", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def fetch(chosen: DataFrame) -> DataFrame:
-    """The rows of an index (any subset, any order) with ``ids``, read from their files."""
+    """The rows of an index (any subset, any order) with ``ids``, each file of theirs read once and cut at the offsets."""
     spark = chosen.sparkSession
+    python_ready(spark)
     folders = {f.rsplit("/", 1)[0] for (f,) in chosen.select(F.regexp_replace("file", "[^/]*$", "x")).distinct().collect()}
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(sorted(folders)).select(F.col("path").alias("file"), "content")
-    cut = content.join(chosen, "file").withColumn("record", F.substring("content", (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))).drop("content")
-
-    def ids(records):
-        return records.map(lambda r: parse(next(frames(bytes(r)))[1])[1].tolist())
-
-    return cut.withColumn("ids", F.pandas_udf(ids, "array<long>")("record")).drop("record")
+    wanted = chosen.groupBy("file").agg(F.collect_list(F.struct(*chosen.columns)).alias("rows"))
+    schema = T.StructType([*chosen.schema.fields, T.StructField("ids", T.ArrayType(T.LongType()))])
+    arrow, names = to_arrow_schema(schema), chosen.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            data, rows = memoryview(batch.column("content")[0].as_buffer()), batch.column("rows").flatten()
+            at = zip(rows.field("offset").to_pylist(), rows.field("length").to_pylist(), strict=True)
+            ids = [parse(next(frames(bytes(data[start : start + length])))[1])[1] for start, length in at]
+            yield pa.RecordBatch.from_arrays([*(rows.field(c).cast(arrow.field(c).type) for c in names), pa.array(ids, arrow.field("ids").type)], schema=arrow)
+
+    return content.join(wanted, "file").select("content", "rows").mapInArrow(cut, schema)

@@ -3,7 +3,8 @@
 A tokenizer's pieces never cross white space, so a text's ids are the ids of
 its space-separated chunks, joined; each worker encodes a distinct chunk once
 and keeps it in a bounded memo. A text with anything that the cut does not
-cover exactly (other white space, runs of it) is encoded whole.
+cover exactly (other white space, runs of it, a token of the vocabulary's
+added list) is encoded whole.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path) as f:
             spec = json.load(f)
+        added = [t["content"] for t in spec.get("added_tokens", ())]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         pre, normal = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         spaced = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not normal
@@ -58,7 +60,7 @@ class Encoder:
         if self.kind == "whole":
             return self._ids(texts)
         first = "\0" if self.kind == "spaced" else ""
-        cut = [(first + t).replace("\n", " \n").split(" ") if t and "\0" not in t else [] for t in texts]
+        cut = [(first + t).replace("\n", " \n").split(" ") if t and "\0" not in t and not self.added.search(t) else [] for t in texts]
         missing = list(set().union(*cut).difference(self.memo))
         if len(self.memo) + len(missing) > self.most:
             missing = list(set().union(*cut))

@@ -163,7 +163,6 @@ def test_packing(docs, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     cut = packing.pieces(docs.drop("offset"), path, limit=256)
     rows = packing.pack(cut, limit=256, group_rows=40).collect()
     expected = {}
@@ -196,7 +195,6 @@ def test_records(spark, docs, empty, tmp_path):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     records.write_records(docs, str(tmp_path / "r"), path, records_per_file=16)
     index = records.build_index(spark, str(tmp_path / "r"))
     got = {r.doc_id: r for r in index.collect()}
@@ -209,6 +207,12 @@ def test_records(spark, docs, empty, tmp_path):
         assert r.ids == ids[r.doc_id]
     with pytest.raises(ValueError):
         list(records.frames(struct.pack("<QI", 1, 0) + b"x" * 6))
+    same = spark.createDataFrame([(5, "b"), (5, "a b"), (None, "x"), (5, "b"), (None, None)], "doc_id long, text string")
+    runs = []
+    for k in range(2):
+        records.write_records(same.repartition(3 + k), str(tmp_path / f"s{k}"), path, records_per_file=1)
+        runs.append(sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in records.build_index(spark, str(tmp_path / f"s{k}")).collect()))
+    assert runs[0] == runs[1] and [r[1] for r in runs[0]] == [None, None, 5, 5, 5]
     records.write_records(empty, str(tmp_path / "e"), path)
     assert records.build_index(spark, str(tmp_path / "e")).count() == 0
 
@@ -333,6 +337,23 @@ def test_bounds_hold():
         assert (topk.statistics(a, s) @ topk.statistics(b, s).T >= a @ b.T - 1e-9).all()
 
 
+def test_bounds_discard_pairs():
+    """On vectors in clusters most pairs go at the first level; on vectors without any, half at the finest one."""
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(20, 8)).repeat(8, 1)
+    for x, most in ((centres[r.integers(0, 20, 3000)] + 0.1 * r.normal(size=(3000, 64)), 0.2), (r.normal(size=(20_000, 64)), 0.5)):
+        x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+        ids, n = np.arange(len(x)), len(x)
+        found = topk.Search(x[:20], ids[:20], np.full(20, -math.inf), 5)
+        found.block(x[: n // 2], ids[: n // 2])
+        found.met = found.computed = 0
+        found.block(x[n // 2 :], ids[n // 2 :])
+        assert found.met == 20 * (n - n // 2) and found.computed < most * found.met
+        for q in range(20):
+            scored = sorted(((int(-(x[q] @ x[k])), k) for k in range(n) if k != q))[:5]
+            assert [(-s, k) for s, k in zip(found.scores[found.row == q].tolist(), found.ids[found.row == q].tolist(), strict=True)] == scored
+
+
 def test_toxicity(spark, tmp_path):
     r = np.random.default_rng(4)
     rows, labels = [], []
