@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from nomenclia.llm.common import drop_staged, few, python_ready, slices, stage
+from nomenclia.llm.common import drop_staged, few, keyed, python_ready, slices, stage
 from nomenclia.llm.components import components
 from nomenclia.llm.windows import mixed, run_hashes, word_hashes
 
@@ -400,11 +400,6 @@ def resolve(groups: DataFrame, sets: DataFrame) -> DataFrame:
 TEXT_KEY = ["__k1", "__k2"]
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` with a 128-bit digest of the columns; the seed comes first, for hashes of several columns are chained."""
-    return docs.withColumns({"__k1": F.xxhash64(*columns), "__k2": F.xxhash64(F.lit(1), *columns)})
-
-
 def grouped(docs: DataFrame) -> DataFrame:
     """``docs`` without text, with n_shingles and ``__label``, equal for linked documents and null without a set; staged.
 

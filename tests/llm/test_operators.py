@@ -102,6 +102,23 @@ def test_one_of_each_with_repeated_rows(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, None: 1}
 
 
+def test_window_levels():
+    assert substring.levels(35) == [9, 18, 35] and substring.levels(10) == [10] and substring.levels(16) == [8, 16]
+
+
+def test_repeated_passages_behind_a_shuffle(spark):
+    """Copies over many tasks, a passage of many texts, and one within a text; rows in no fixed place."""
+    r = random.Random(8)
+    some = lambda n: [f"w{r.randrange(10**5)}" for _ in range(n)]
+    passage, short = some(40), some(34)
+    texts = [" ".join(some(r.randrange(60)) + passage[r.randrange(6) :] + some(r.randrange(20))) for _ in range(60)]
+    texts += [" ".join(some(20) + short + some(20)) for _ in range(20)] + [texts[0]] * 30 + [" ".join(passage + some(9) + passage), " ".join(passage[:35]), " ".join(short)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 40), "doc_id long, text string").repartition(7, F.rand(3))
+    got = by_id(substring.remove_repeats(docs))
+    for k, kept in enumerate(brute.removed(texts)):
+        assert got[k].n_removed == len(texts[k].split()) - len(kept.split()) and got[k].kept_sha256 == hashlib.sha256(kept).hexdigest()
+
+
 def test_repeated_passages(docs, empty):
     got = by_id(substring.remove_repeats(docs, kept_text=True))
     for k, kept in enumerate(brute.removed(TEXTS)):
