@@ -12,15 +12,16 @@ segments by hash, so a linked pair disagrees in at most H of them:
    hash); both sets of a linked pair then have one of these in common. Segments
    of one set alone come first and meet nothing, so most sets are done here.
 2. Groups of sets with an allocated segment in common are joined as stars
-   around their least set; links become components, which settles large groups
-   of near copies at the cost of one pair a member.
+   around the set of which most segments are dear, as an original's among its
+   edited copies are; links become components, which settles large groups of
+   near copies at the cost of one pair a member.
 3. What is left are sets in groups that still hold several components: those
    around passages that many documents share. They are cut again, into
    neighbourhoods of one member: of the |r| - ceil(3|r| / 4) + 1 members that
-   the fewest of these sets have, a linked pair has one in common. Groups of a
-   member with up to ``POPULAR`` sets are paired. If a pair shares no such
-   member, its overlap lies within the dear members of both, so their number
-   must reach 3/7 of the sizes' sum; only those pairs of a dear group are left.
+   the fewest of these sets have, a linked pair has one in common. Sets that
+   share one are paired if, from that member on, both have enough members left
+   that others share, 3/7 of the sizes' sum: around a dear member that holds
+   for sets that are common text for the most part, and hardly else.
 
 Before two sets are compared, bitmaps of their members bound the difference
 from below: every bit that differs stands for a member that differs. What
@@ -154,17 +155,17 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 
 def _spare(members: np.ndarray, sizes: np.ndarray) -> list[list[dict]]:
-    """By band, the set's non-empty segments beyond those that it is allocated."""
+    """By band, the set's non-empty segments, and how many they are beyond those that it is allocated."""
     c = cut(members, sizes)
     pairs, count = np.unique(c["set"] * 64 + c["band"], return_counts=True)
     which, band = pairs >> 6, pairs & 63
     out: list[list[dict]] = [[] for _ in sizes]
     for k, b, n, h in zip(which.tolist(), band.tolist(), count.tolist(), differ(sizes[which], band).tolist(), strict=True):
-        out[k].append({"band": b, "spare": n - 1 - h})
+        out[k].append({"band": b, "full": n, "spare": n - 1 - h})
     return out
 
 
-SPARE = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("band", "spare")]))
+SPARE = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("band", "full", "spare")]))
 OWN = [("node", T.LongType()), ("n_shingles", T.LongType()), ("__spare", SPARE)]
 
 
@@ -278,11 +279,13 @@ def segment_rows(docs: DataFrame) -> DataFrame:
 
 
 def allocated(info: DataFrame, segments: DataFrame) -> DataFrame:
-    """(sig, node): of each set the segments that others have too and that are among its H + 1 rarest; staged."""
+    """(sig, node, core): of each set the segments that others have too and that are among its H + 1 rarest; staged. ``core`` is the share of its segments that are dear, then that others have."""
     spare = info.where("node is not null").groupBy("node").agg(F.first("__spare").alias("s")).select("node", F.inline("s"))
     own = Window.partitionBy("node", "band")
-    placed = segments.withColumn("band", F.expr(f"cast(sig & {BAND_MASK} as int)")).join(spare, ["node", "band"]).select("sig", "node", "spare", F.count("*").over(own).alias("all"), F.row_number().over(own.orderBy("df", "sig")).alias("place"))
-    return stage(placed.where("place <= all - spare").select("sig", "node"), "allocated")
+    count = F.count("*").over(own)
+    core = F.struct((F.count_if(F.col("df") > POPULAR).over(own) / F.col("full")).alias("dear"), (count / F.col("full")).alias("known"))
+    placed = segments.withColumn("band", F.expr(f"cast(sig & {BAND_MASK} as int)")).join(spare, ["node", "band"]).select("sig", "node", core.alias("core"), "spare", count.alias("all"), F.row_number().over(own.orderBy("df", "sig")).alias("place"))
+    return stage(placed.where("place <= all - spare").select("sig", "node", "core"), "allocated")
 
 
 def set_rows(texts: DataFrame) -> DataFrame:
@@ -334,9 +337,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def star_pairs(groups: DataFrame) -> DataFrame:
-    """(a, b): the least set of each group (sig, node) with the others."""
-    pivots = groups.groupBy("sig").agg(F.min("node").alias("a"), F.count("*").alias("all")).where("all > 1").select("sig", "a")
-    return groups.join(pivots, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    """(a, b): of each group (sig, node, core) the set with the largest core, with the others."""
+    first = F.max_by("node", F.struct("core", "node"))
+    pivots = groups.groupBy("sig").agg(first.alias("p"), F.count("*").alias("all")).where("all > 1").select("sig", "p")
+    return groups.join(pivots, "sig").where("node <> p").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
 
 def several(groups: DataFrame) -> DataFrame:
@@ -365,19 +369,20 @@ def close_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
     members = shared(member_rows(sets))
     own = Window.partitionBy("node")
     sized = members.join(sets.select("node", "n"), "node")
-    placed = sized.select("sig", "node", "df", "n", F.count_if(F.col("df") > POPULAR).over(own).alias("dear"), (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "sig"))).alias("place"))
-    first = placed.where("place <= n - ceil(3 * n / 4) + 1").withColumn("reach", F.expr("floor(7 * dear / 3) - n"))
-    # A dear member serves only sets that are dear for the most part.
-    rows = first.where(f"df <= {POPULAR} or 4 * dear >= 3 * n").join(labels, "node").select("sig", "node", "df", "n", "reach", "label")
+    rank, count = F.row_number().over(own.orderBy("df", "sig")), F.count("*").over(own)
+    placed = sized.select("sig", "node", "df", "n", (F.col("n") - count + rank).alias("place"), (count - rank + 1).alias("rest"))
+    # From the first member in common on, both need 3/7 of the sizes' sum; so many are left to a set at this one.
+    first = placed.where("place <= n - ceil(3 * n / 4) + 1 and 4 * rest >= 3 * n").withColumn("reach", F.expr("floor(7 * rest / 3) - n"))
+    rows = first.join(labels, "node").select("sig", "node", "df", "n", "reach", "label")
     rows = stage(several(rows), "prefixes")
-    fits = "x.label <> y.label and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"
-    usual = rows.where(f"df <= {POPULAR}").select("sig", "node", "n", "label")
+    fits = "x.label <> y.label and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) and x.n <= y.reach and y.n <= x.reach"
+    usual = rows.where(f"df <= {POPULAR}")
     rare = usual.alias("x").join(usual.alias("y"), F.expr(f"x.sig = y.sig and x.node < y.node and {fits}"))
     # Components first, so that sets of one component are not matched with each other.
     dear = rows.where(f"df > {POPULAR}")
     kinds = dear.select("sig", "label").distinct()
     across = kinds.alias("x").join(kinds.alias("y"), F.expr("x.sig = y.sig and x.label < y.label")).select(F.col("x.sig").alias("sig"), F.col("x.label").alias("label"), F.col("y.label").alias("other"))
-    met = across.join(dear, ["sig", "label"]).select("sig", "other", "label", "node", "n", "reach").alias("x").join(dear.alias("y"), F.expr(f"x.sig = y.sig and x.other = y.label and x.n <= y.reach and y.n <= x.reach and {fits}"))
+    met = across.join(dear, ["sig", "label"]).select("sig", "other", "label", "node", "n", "reach").alias("x").join(dear.alias("y"), F.expr(f"x.sig = y.sig and x.other = y.label and {fits}"))
     ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
     out = stage(rare.select(*ends).unionByName(met.select(*ends)).distinct(), "pairs")
     drop_staged(rows)
