@@ -1,308 +1,251 @@
-"""Language-model scoring by a probabilistic suffix tree over tokens.
+"""Language-model scoring by a probabilistic suffix tree.
 
 Tokens are words (A-Z lower-cased) and one end token a text; the base is their
-add-one unigram model, which is the tree's root. Contexts are the one or two
-tokens before a token (the text's start counts as one). A context with
-``LEAST_COUNT`` tokens after it, at any size of the corpus, is retained if its next-token
-distribution diverges from that of its suffix: its count times the
-Kullback-Leibler divergence reaches the number of its next tokens. A retained
-context keeps all its next tokens, absolutely discounted; the rest of its
-probability goes to the longest retained suffix, down to the root. So every
-state is a distribution over the vocabulary and one unknown token, and a text
-is scored by the states of its longest retained suffixes.
-
-The tree is a distributed table (context, next, gain over the root), joined
-with the places of the scored texts; neither words nor states are numbered,
-64-bit hashes tell them apart.
-
-The counts of all words are one distributed table. Words with at least
-``1 / FREQUENT`` of all tokens (so ``FREQUENT`` at most) travel to the
-workers; the counts of the others are joined, and only the root needs them.
+add-one unigram model. The tree models the same tokens as they are spelled:
+words parted by one space, then the end, so its symbols are bytes. A context
+is the last 1 to ``DEPTH`` symbols, and longer ones are looked at level by
+level. A context that the training texts hold ``LEAST_COUNT`` times is retained
+if its next-symbol distribution diverges from that of its suffix: its count
+times the Kullback-Leibler divergence reaches the number of its next symbols. A
+retained context keeps all its next symbols, absolutely discounted; the rest of
+its probability goes to its longest retained suffix, down to the root, an
+add-one model of all symbols. A text's score is the log10 of the product of its
+symbols' probabilities, each by the state of the longest retained suffix. Counts take all training texts, and no state or
+symbol is left out for room: more text retains more contexts.
+
+Scale: nothing of the model is collected or broadcast. Texts are dealt into
+chunks by a digest; a chunk's distinct contexts and words, a few in a hundred of
+its places, are counted by key over all chunks; the tree is built level by level
+as joins of tables; each chunk gets back the values of its own keys, which a
+task holds while the chunk's texts stream past. Work and traffic grow with the
+texts, a task's memory only with ``CHUNK``.
 
 Cases: null and empty texts are the end token alone; without training rows
-there is the root only, with N and V of 0; repeated rows count each time;
-extra columns pass through unless they carry a result's name.
+there is the root only, with N and V of 0; repeated rows count each time; equal
+scores are no case; very long texts are one row and are taken in slices; an
+empty table gives no rows; extra columns pass through unless they carry a
+result's name.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from nomenclia.llm.common import python_ready, slices, stage
-from nomenclia.llm.windows import mixed
+from nomenclia.llm.common import drop_staged, python_ready, slices, stage
+from nomenclia.llm.windows import word_hashes
 
+#: Symbols of a context at most; with the next symbol they are one 64-bit key.
+DEPTH = 5
 LEAST_COUNT = 4
-FREQUENT = 1 << 20
 DISCOUNT = 0.5
-#: The token before a text and none; with BITS, keys of a SuffixTree.
-BITS, OTHER, START = 19, 0, (1 << 19) - 1
+#: Bytes of text in a chunk.
+CHUNK = 32 << 20
+#: Distinct keys that a task merges at a time.
+MERGE = 2_000_000
 END = b"\n"
-#: Distinct words that a worker keeps before it hands on or starts afresh.
-KEEP = 400_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+SYMBOL, TOKEN, TEXT = 0, 1, 2
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words of a text, A-Z lower-cased; bytes.split() parts at space and ASCII 9-13 alone."""
-    return (text or "").encode().translate(LOWER).split()
+def spelled(text: str | None) -> bytes:
+    """A text's tokens as symbols; bytes.split() parts at space and ASCII 9-13 alone."""
+    return b" ".join((text or "").encode().translate(LOWER).split()) + END
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, n) over all texts, the end token included; staged."""
+def symbol_keys(texts: list[bytes], depth: int = DEPTH) -> np.ndarray:
+    """Of every symbol of the texts, end to end: the symbol (lowest byte) and the ``depth`` ones before it; a text follows an end, and nothing stands before that."""
+    data = np.frombuffer(END + b"".join(texts), np.uint8).astype(np.uint64)
+    out = data[1:].copy()
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    inside = np.arange(len(out)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    for d in range(1, depth + 1):
+        before = np.zeros(len(out), np.uint64)
+        before[d - 1 :] = data[: len(out) - d + 1]
+        before[inside < d - 1] = 0
+        out |= before << np.uint64(8 * d)
+    return out
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["word", "n"]
-        seen: Counter = Counter()
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                seen.update(tokens(text))
-                seen[END] += 1
-            if len(seen) > KEEP:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names)
-                seen = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names)
 
-    python_ready(docs.sparkSession)
-    return stage(docs.select("text").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[heads], np.add.reduceat(counts, heads) if len(keys) else counts
 
 
-def followers(numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of tokens by number, texts end to end: the token before each and the one before that (OTHER where none)."""
-    before = np.empty_like(numbers)
-    before[1:] = numbers[:-1]
-    first = np.cumsum(lengths) - lengths
-    before[first] = START
-    second = np.empty_like(before)
-    second[1:] = before[:-1]
-    second[first] = OTHER
-    return before, second
+def _counted(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how many of them are ``of`` training texts."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for chosen, weight in ((keys[of], 1), (keys[~of], 0)):
+        ordered = np.sort(chosen)
+        heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+        parts.append((ordered[heads], weight * np.diff(heads, append=len(ordered))))
+    return _merged(parts)
 
 
-class Hashes:
-    """Hashes of words as Spark's xxhash64 gives them, those seen kept up to a bound."""
+class Counts:
+    """A chunk's distinct keys so far, and how often training texts hold them."""
 
     def __init__(self) -> None:
-        self.of: dict[bytes, int] = {}
-
-    def __call__(self, texts: list[list[bytes]], size: int) -> np.ndarray:
-        if len(self.of) > KEEP:
-            self.of = {}
-        for w in set().union(*texts).difference(self.of):
-            self.of[w] = xxhash.xxh64_intdigest(w, 42)
-        return np.fromiter((x for text in texts for x in map(self.of.__getitem__, text)), np.uint64, size).view(np.int64)
-
-
-def placed(column: pa.Array, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts end to end: each one's length, and of each token its hash, its context of one token and of two, and whether there is one of two."""
-    texts = [[*tokens(t), END] for t in column.to_pylist()]
-    lengths = np.array(list(map(len, texts)), np.int64)
-    ids = hashes(texts, int(lengths.sum()))
-    before, second = followers(ids, lengths)
-    longer = mixed(mixed(second.view(np.uint64)) + before.view(np.uint64)).view(np.int64)
-    some = np.ones(len(ids), bool)
-    some[np.cumsum(lengths) - lengths] = False
-    return lengths, ids, before, longer, some
-
-
-def context_counts(docs: DataFrame) -> DataFrame:
-    """(context, suffix, next, n, total, kinds) of contexts of one token (suffix null) and two that have LEAST_COUNT; staged."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = Hashes(), []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            ids, before, longer, some = map(np.concatenate, zip(*held, strict=True))
-            for context, suffix, following in ((before, None, ids), (longer[some], before[some], ids[some])):
-                order = np.lexsort((following, context))
-                context, following = context[order], following[order]
-                new = np.ones(len(context), bool)
-                new[1:] = (context[1:] != context[:-1]) | (following[1:] != following[:-1])
-                heads = np.nonzero(new)[0]
-                n = np.diff(np.append(heads, len(context)))
-                yield pa.RecordBatch.from_arrays([pa.array(context[heads]), pa.nulls(len(heads), pa.int64()) if suffix is None else pa.array(suffix[order][heads]), pa.array(following[heads]), pa.array(n.astype(np.int64))], ["context", "suffix", "next", "n"])
-
-        for batch in slices(batches):
-            if batch.num_rows:
-                held.append(placed(batch.column(0), hashes)[1:])
-            if sum(len(h[0]) for h in held) > 2_000_000:
-                yield from flush()
-                held = []
-        if held:
-            yield from flush()
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        self.held = 0
 
-    python_ready(docs.sparkSession)
-    of = Window.partitionBy("context")
-    each = docs.select("text").mapInArrow(counted, "context long, suffix long, next long, n long").repartition("context")
-    counts = each.groupBy("context", "suffix", "next").agg(F.sum("n").alias("n"))
-    return stage(counts.select("*", F.sum("n").over(of).alias("total"), F.count("*").over(of).alias("kinds")).where(F.col("total") >= LEAST_COUNT), "contexts")
+    def add(self, keys: np.ndarray, of: np.ndarray) -> None:
+        self.parts.append(_counted(keys, of))
+        self.held += len(self.parts[-1][0])
+        if self.held > MERGE:
+            self.parts, self.held = [self.total()], 0
 
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        return _merged(self.parts)
 
-def states(counts: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(context, next, p, q, left, kept) of all counted contexts of one token and of the retained ones of two; staged.
 
-    ``p`` is the token's probability, that of the suffix taken in, ``q`` that of the root and ``left`` the share for the suffix.
-    """
-    n, total = F.col("n"), F.col("total")
-    gain = lambda against: F.sum(n * F.log(n / total / F.col(against))).over(Window.partitionBy("context"))
-    left = DISCOUNT * F.col("kinds") / total
-    one = counts.where("suffix is null").drop("suffix").join(root, "next").withColumn("kept", gain("q") >= F.col("kinds"))
-    one = stage(one.select("context", "next", F.when(F.col("kept"), (n - DISCOUNT) / total + left * F.col("q")).otherwise(F.col("q")).alias("p"), "q", left.alias("left"), "kept", (n / total).alias("share")), "states")
-    shorter = one.select(F.col("context").alias("suffix"), "next", "share", F.col("p").alias("below"), "q")
-    two = counts.where("suffix is not null").join(shorter, ["suffix", "next"]).withColumn("kept", gain("share") >= F.col("kinds")).where("kept")
-    return one, stage(two.select("context", "next", ((n - DISCOUNT) / total + left * F.col("below")).alias("p"), "q", left.alias("left"), "kept"), "states")
+def runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The batches cut where one of the columns, by which they are sorted, changes."""
+    for batch in batches:
+        if batch.num_rows:
+            values = np.stack([batch.column(c).to_numpy() for c in columns], 1)
+            cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield tuple(values[a].tolist()), batch.slice(a, b - a)
 
 
-def gains(docs: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
-    """(__row, __gain): the sum over a text's tokens of log10 of the probability over the root's."""
+def chunk_keys(texts: DataFrame) -> DataFrame:
+    """(chunk, kind, key, n) of ``texts`` (chunk, text, train): the distinct symbols in context and tokens of each chunk; staged."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in slices(batches):
-            if batch.num_rows:
-                lengths, ids, before, longer, some = placed(batch.column("text"), hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("__row").to_numpy(), lengths)), pa.array(before), pa.array(longer, mask=~some), pa.array(ids)], ["__row", "before", "longer", "next"])
-
-    python_ready(docs.sparkSession)
-    out = docs.select("__row", "text").mapInArrow(found, "__row long, before long, longer long, next long")
-    for level, key, k in ((two, "longer", 2), (one.where("kept"), "before", 1)):
-        listed = level.select(F.col("context").alias(key), "next", F.log10(F.col("p") / F.col("q")).alias(f"g{k}"))
-        rest = level.groupBy(F.col("context").alias(key)).agg(F.log10(F.first("left")).alias(f"l{k}"))
-        out = out.join(listed, [key, "next"], "left").join(rest, key, "left")
-    gain = F.coalesce("g2", F.coalesce("l2", F.lit(0.0)) + F.coalesce("g1", "l1", F.lit(0.0)))
-    return out.groupBy("__row").agg(F.sum(gain).alias("__gain"))
-
-
-class Lookup:
-    """Open addressing over 64-bit keys, filled and read a whole array at a time."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys.astype(np.uint64)
-        self.bits = max(4, int(len(keys) * 3).bit_length())
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        left, step = np.arange(len(keys)), 0
-        while len(left):
-            place = (self._hash(self.keys[left]) + step) & ((1 << self.bits) - 1)
-            free = self.slots[place] < 0
-            self.slots[place[free]] = left[free]
-            left = left[self.slots[place] != left]
-            step += 1
-        self.steps = step
-
-    def _hash(self, keys: np.ndarray) -> np.ndarray:
-        mixed = keys * np.uint64(0x9E3779B97F4A7C15)
-        return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, or -1."""
-        keys = keys.astype(np.uint64)
-        out, left, base = np.full(len(keys), -1, np.int32), np.arange(len(keys)), self._hash(keys)
-        for step in range(self.steps):
-            got = self.slots[(base[left] + step) & ((1 << self.bits) - 1)]
-            hit = (got >= 0) & (self.keys[got] == keys[left])
-            out[left[hit]] = got[hit]
-            left = left[(got >= 0) & ~hit]
-            if not len(left):
-                break
-        return out
-
-
-class SuffixTree:
-    """A small tree in one process, tokens by number: what each state keeps for its suffix, and the share of each of its next tokens."""
-
-    def __init__(self, rows: dict[str, np.ndarray]):
-        rest = rows["next"] == OTHER
-        self.states, self.left = rows["context"][rest].astype(np.int64), rows["p"][rest]
-        self.entries, self.share = (rows["context"][~rest].astype(np.int64) << BITS) | rows["next"][~rest].astype(np.int64), rows["p"][~rest]
-
-    def ready(self) -> SuffixTree:
-        self.of_state, self.of_entry = Lookup(self.states), Lookup(self.entries)
-        return self
-
-    def gains(self, ids: np.ndarray, lengths: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability over that of the root, ``root``."""
-        before, second = followers(ids, lengths)
-        p, kept = root.copy(), np.ones(len(ids))
-        for context, valid in ((before, before != OTHER), (second << BITS | before, (before != OTHER) & (second != OTHER))):
-            some = np.nonzero(valid)[0]
-            at = self.of_state.find(context[some])
-            some, at = some[at >= 0], at[at >= 0]
-            if not len(some):
-                continue
-            entry = self.of_entry.find(context[some] << BITS | ids[some])
-            listed = (entry >= 0) & (ids[some] != OTHER)
-            p[some] *= self.left[at]
-            kept[some] *= self.left[at]
-            p[some[listed]] += self.share[entry[listed]]
-        return np.where(ids == OTHER, np.log10(kept), np.log10(p / root))
+        def given(chunk: int, counts: tuple[Counts, Counts]) -> Iterator[pa.RecordBatch]:
+            for kind, c in zip((SYMBOL, TOKEN), counts, strict=True):
+                keys, n = c.total()
+                for s in range(0, len(keys), 1 << 16):
+                    k = keys[s : s + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk, np.int32)), pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(n[s : s + (1 << 16)])], ["chunk", "kind", "key", "n"])
+
+        at, counts = None, (Counts(), Counts())
+        for (chunk,), run in runs(batches, "chunk"):
+            if chunk != at:
+                if at is not None:
+                    yield from given(at, counts)
+                at, counts = chunk, (Counts(), Counts())
+            for part in slices([run]):
+                texts = [spelled(t) for t in part.column("text").to_pylist()]
+                train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
+                counts[0].add(symbol_keys(texts), np.repeat(train, [len(t) for t in texts]))
+                hashes, lengths = token_hashes(texts)
+                counts[1].add(hashes, np.repeat(train, lengths))
+        if at is not None:
+            yield from given(at, counts)
+
+    dealt = texts.repartition("chunk").sortWithinPartitions("chunk")
+    return stage(dealt.mapInArrow(found, "chunk int, kind byte, key long, n long"), "keys")
+
+
+def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all tokens of spelled texts, the end (hash 0) after each text's words, and their numbers."""
+    hashes, lengths = word_hashes(texts)
+    ends = np.cumsum(lengths)
+    return np.insert(hashes, ends, np.uint64(0)), lengths + 1
+
+
+def states(counts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> list[DataFrame]:
+    """By level, from the root on: (key, n, total, p, kept) of every symbol in context of ``counts`` (key, n), n being 0 where only texts that are scored have it; each staged.
+
+    ``kept`` tells whether the context is a state, and ``p`` is the symbol's
+    probability by the longest suffix of the context that is one.
+    """
+    levels = [counts]
+    for d in range(depth - 1, -1, -1):
+        mask = (1 << (8 * (d + 1))) - 1
+        levels.insert(0, levels[0].groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")))
+    n, total = F.col("n"), F.col("total")
+    whole = Window.partitionBy()
+    out = [stage(levels[0].withColumn("total", F.sum("n").over(whole)).select("key", "n", "total", ((n + 1) / (total + 256)).alias("p"), F.lit(True).alias("kept")), "states")]
+    for d in range(1, depth + 1):
+        of = Window.partitionBy("context")
+        level = levels[d].withColumn("context", F.shiftrightunsigned("key", 8)).select("*", F.sum("n").over(of).alias("total"), F.count_if(n > 0).over(of).alias("kinds"), F.col("key").bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("suffix"))
+        shorter = out[-1].select(F.col("key").alias("suffix"), F.try_divide(n, total).alias("share"), F.col("p").alias("below"))
+        gain = F.sum(F.when(n > 0, n * F.log(n / total / F.col("share")))).over(of)
+        met = level.join(shorter, "suffix").withColumn("kept", (total >= least) & (gain >= F.col("kinds")))
+        own = F.when(n > 0, (n - DISCOUNT) / total).otherwise(0.0) + F.try_divide(DISCOUNT * F.col("kinds"), total) * F.col("below")
+        out.append(stage(met.select("key", "n", "total", F.when(F.col("kept"), own).otherwise(F.col("below")).alias("p"), F.coalesce("kept", F.lit(False)).alias("kept")), "states"))
+    return out
 
 
 ADDED = [("train_tokens", T.LongType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
 
 
-def score(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """``docs`` without text, with the scores of a model learned from ``train`` (a column text)."""
-    spark = docs.sparkSession
-    vocabulary = word_counts(train)
-    sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, kinds = int(sums["n"]), int(sums["v"])
-    root = vocabulary.select(F.xxhash64("word").alias("next"), ((F.col("n") + 1) / F.lit(float(total + kinds + 1))).alias("q"))
-    one, two = states(context_counts(train), root)
-    least = max(1, math.ceil(total / FREQUENT))
-    usual = vocabulary.where(F.col("n") >= least).toArrow()
-    common = spark.sparkContext.broadcast(dict(zip(usual["word"].to_pylist(), usual["n"].to_pylist(), strict=True)))
+def _scores(texts: list[bytes], values: dict[int, tuple[np.ndarray, np.ndarray]], total: int, unit: float) -> list[tuple]:
+    """The added columns of up to 256 texts, by the chunk's values."""
+    keys, logs = values[SYMBOL]
+    # Sorted lookups are near each other; the text's number is in the lowest byte.
+    of = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) for t in texts])
+    asked = np.sort(symbol_keys(texts) << np.uint64(8) | of)
+    gains = np.bincount((asked & np.uint64(255)).astype(np.int64), logs[np.searchsorted(keys, asked >> np.uint64(8))], len(texts))
+    hashes, lengths = token_hashes(texts)
+    keys, counts = values[TOKEN]
+    c = counts[np.searchsorted(keys, hashes)]
+    of = np.repeat(np.arange(len(texts)), lengths)
+    known, base = np.bincount(of, c > 0, len(texts)), np.bincount(of, np.log10(c + 1.0) - unit, len(texts))
+    return list(zip([total] * len(texts), lengths.tolist(), known.astype(np.int64).tolist(), base.tolist(), gains.tolist(), strict=True))
 
+
+def score(docs: DataFrame, train: Column) -> DataFrame:
+    """``docs`` without text, with the scores of a model learned from those of its rows where ``train`` holds."""
+    python_ready(docs.sparkSession)
     keep = [c for c in docs.columns if c != "text" and c not in dict(ADDED)]
-    part = [("__n", T.LongType()), ("__known", T.LongType()), ("__log", T.DoubleType()), ("__rare", T.ArrayType(T.LongType()))]
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("__row", T.LongType()), *[T.StructField(n, t) for n, t in part]])
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunk = F.pmod(F.xxhash64("text", *[c for c in keep if docs.schema[c].dataType.typeName() in ("long", "integer", "string")]), F.lit(1 + size // CHUNK)).cast("int")
+    texts = docs.select(*keep, "text", chunk.alias("__chunk"), F.coalesce(train, F.lit(False)).alias("__train"))
+
+    keys = chunk_keys(texts.select(F.col("__chunk").alias("chunk"), "text", F.col("__train").alias("train")))
+    symbols, tokens = keys.where(f"kind = {SYMBOL}"), keys.where(f"kind = {TOKEN}")
+    counts = stage(symbols.groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    tree = states(counts)
+    words = stage(tokens.groupBy("key").agg(F.sum("n").alias("n")), "words")
+    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    total, unit = int(sums["n"]), math.log10(int(sums["n"]) + int(sums["v"]) + 1)
+
+    # Every chunk's keys with their values, then its texts.
+    value = tree[-1].select("key", F.log10("p").alias("value")).withColumn("kind", F.lit(SYMBOL).cast("byte"))
+    value = value.unionByName(words.select("key", F.col("n").cast("double").alias("value"), F.lit(TOKEN).cast("byte").alias("kind")))
+    known = keys.select("chunk", "kind", "key").join(value, ["kind", "key"])
+    rest = T.StructType([docs.schema[c] for c in keep])
+    asked = known.select(F.col("chunk").alias("__chunk"), F.col("kind").alias("__kind"), F.col("key").alias("__key"), F.col("value").alias("__value"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(rest).alias("__rest"))
+    given = texts.select("__chunk", F.lit(TEXT).cast("byte").alias("__kind"), F.lit(0).cast("long").alias("__key"), F.lit(0.0).alias("__value"), "text", F.struct(*keep).alias("__rest"))
+    schema = T.StructType([*rest.fields, *[T.StructField(n, t) for n, t in ADDED]])
     arrow = to_arrow_schema(schema)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = common.value
-        number: dict[bytes, int] = {}
-        count, rare = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in slices(batches):
-            texts = [[*tokens(t), END] for t in batch.column("text").to_pylist()]
-            words = set().union(*texts)
-            if len(number) > KEEP:
-                number, count, rare = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if new := list(words.difference(number)):
-                number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-                count = np.append(count, np.array([counts.get(w, 0) for w in new], np.int64))
-                rare = np.append(rare, np.array([0 if w in counts else xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64).view(np.int64))
-            lengths = np.array(list(map(len, texts)), np.int64)
-            at = np.fromiter((x for text in texts for x in map(number.__getitem__, text)), np.int64, int(lengths.sum()))
-            c = count[at]
-            logs = np.log10(c + 1.0)
-            out, start = [], 0
-            for n in lengths.tolist():
-                own = slice(start, start + n)
-                start += n
-                out.append((n, int(np.count_nonzero(c[own])), float(logs[own].sum()), rare[at[own]][c[own] == 0]))
-            columns = list(zip(*out, strict=True)) or [()] * len(part)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(arrow.field(c).type) for c in [*keep, "__row"]), *(pa.array(c, arrow.field(n).type) for c, (n, _) in zip(columns, part, strict=True))], schema=arrow)
-
-    python_ready(spark)
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    scores = stage(rows.select(*keep, "__row", "text").mapInArrow(scored, schema), "scores")
-    others = vocabulary.where(F.col("n") < least).select(F.xxhash64("word").alias("__hash"), "n")
-    rare = scores.select("__row", F.explode("__rare").alias("__hash")).join(others, "__hash").groupBy("__row").agg(F.count("*").alias("__k"), F.sum(F.log10(F.col("n") + 1.0)).alias("__l"))
-    base = F.col("__log") + F.coalesce("__l", F.lit(0.0)) - F.col("__n") * F.lit(math.log10(total + kinds + 1))
-    gained = stage(gains(rows, one, two), "gains")
-    return scores.drop("__rare").join(rare, "__row", "left").join(gained, "__row", "left").select(
-        *keep,
-        F.lit(total).cast("long").alias("train_tokens"),
-        F.col("__n").alias("n_tokens"),
-        (F.col("__known") + F.coalesce("__k", F.lit(0))).alias("n_known"),
-        base.alias("base_score"),
-        (base + F.coalesce("__gain", F.lit(0.0))).alias("score"),
-    )
+        at, parts, values = None, {}, {}
+        for (chunk, kind), run in runs(batches, "__chunk", "__kind"):
+            if chunk != at:
+                at, parts, values = chunk, {SYMBOL: [], TOKEN: []}, {}
+            if kind != TEXT:
+                parts[kind].append((run.column("__key").to_numpy().view(np.uint64), run.column("__value").to_numpy()))
+                continue
+            if not values:
+                for k, part in parts.items():
+                    key, value = (np.concatenate(x) for x in zip(*part, strict=True))
+                    order = np.argsort(key)
+                    values[k] = key[order], value[order]
+                parts = {}
+            for part in slices([run]):
+                out = _scores([spelled(t) for t in part.column("text").to_pylist()], values, total, unit)
+                own = part.column("__rest").flatten()
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(own, arrow, strict=False)), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(arrow)[len(own) :], strict=True))], schema=arrow)
+
+    met = asked.unionByName(given).repartition("__chunk").sortWithinPartitions("__chunk", "__kind")
+    out = stage(met.mapInArrow(scored, schema), "scores")
+    for staged in (keys, counts, words, *tree):
+        drop_staged(staged)
+    return out

@@ -43,7 +43,7 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (toxicity.fold(folds=7) == 2).alias("held_out"), "text")
-    return lm.score(docs, docs.where("not held_out"))
+    return lm.score(docs, ~F.col("held_out"))
 
 
 def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

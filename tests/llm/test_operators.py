@@ -261,64 +261,76 @@ def test_ogg_pages():
         ogg.read_pages(data[:40] + b"?" + data[41:])
 
 
+def plain_tree(trained, depth, least):
+    """score(text) by a suffix tree of dictionaries; texts are spelled bytes."""
+    count = [{} for _ in range(depth + 1)]
+    # A text follows an end; what stands before that is byte 0.
+    context = lambda t, k, d: (bytes(depth) + b"\n" + t)[k + depth + 1 - d : k + depth + 1]
+    for t in trained:
+        for k in range(len(t)):
+            for d in range(depth + 1):
+                own = count[d].setdefault(context(t, k, d), Counter())
+                own[t[k]] += 1
+    kept = set()
+    for d in range(1, depth + 1):
+        for c, own in count[d].items():
+            total, shorter = sum(own.values()), count[d - 1][c[1:]]
+            gain = sum(n * math.log(n / total / (shorter[x] / sum(shorter.values()))) for x, n in own.items())
+            if total >= least and gain >= len(own):
+                kept.add(c)
+
+    def p(c, x):
+        if not c:
+            root = count[0].get(b"", Counter())
+            return (root[x] + 1) / (sum(root.values()) + 256)
+        if c not in kept:
+            return p(c[1:], x)
+        own = count[len(c)][c]
+        total = sum(own.values())
+        return max(0.0, own[x] - lm.DISCOUNT) / total + lm.DISCOUNT * len(own) / total * p(c[1:], x)
+
+    return lambda t: sum(math.log10(p(context(t, k, depth), t[k])) for k in range(len(t))), len(kept)
+
+
 def test_language_model(docs, empty):
     marked = docs.select("doc_id", (F.col("doc_id") % 7 == 2).alias("held_out"), "text", "score")
-    got = by_id(lm.score(marked, marked.where("not held_out")))
+    got = by_id(lm.score(marked, ~F.col("held_out")))
     tokens = {k: [*brute.lower_words(t), b"\n"] for k, t in enumerate(TEXTS)}
     counts = Counter(w for k, ws in tokens.items() if k % 7 != 2 for w in ws)
     total, kinds = sum(counts.values()), len(counts)
+    spelled = {k: b" ".join(brute.lower_words(t)) + b"\n" for k, t in enumerate(TEXTS)}
+    plain, retained = plain_tree([t for k, t in spelled.items() if k % 7 != 2], lm.DEPTH, lm.LEAST_COUNT)
+    assert retained > 500
     better = 0.0
     for k, ws in tokens.items():
         base = sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in ws)
         r = got[k]
         assert (r.train_tokens, r.n_tokens, r.n_known) == (total, len(ws), sum(counts[w] > 0 for w in ws)) and math.isclose(r.base_score, base, rel_tol=1e-9)
-        assert r.score < 0
+        assert math.isclose(r.score, plain(spelled[k]), rel_tol=1e-9)
         better += (r.score - r.base_score) * r.held_out
     assert better > 0
-    none = lm.score(marked.where("doc_id < 3"), marked.limit(0)).collect()
-    assert len(none) == 3 and none[0].train_tokens == 0
-    assert lm.score(empty, docs).count() == 0
-
-
-def test_language_model_keeps_whole_states(spark):
-    """Against a plain tree: contexts of any share of the tokens, followers that a context makes rarer, and shares under 0.2%."""
-    r = random.Random(5)
-    texts = [" ".join(r.choice("abcdefgh") + str(r.choice([1, 1, 1, 2])) for _ in range(60)) for _ in range(60)]
-    texts += [" ".join(f"the {r.choice('abcdefgh')}1 {'x' if k % 40 else 'y'}" for k in range(400))] * 3 + [f"the n{k}" for k in range(900)] + ["rare pair here"] * 5
-    train = [[*brute.lower_words(t), b"\n"] for t in texts]
-    unigram = Counter(w for ws in train for w in ws)
-    n, v = sum(unigram.values()), len(unigram)
-    seen = [{}, {}]
-    for ws in train:
-        full = ["start", *ws]
-        for k in range(1, len(full)):
-            for length in (1, 2):
-                if k >= length:
-                    seen[length - 1].setdefault(tuple(full[k - length : k]), Counter())[full[k]] += 1
-    kept = {}
-    for length in (1, 2):
-        for context, c in seen[length - 1].items():
-            total = sum(c.values())
-            q = (lambda w: (unigram[w] + 1) / (n + v + 1)) if length == 1 else (lambda w, s=seen[0][context[1:]]: s[w] / sum(s.values()))
-            if total >= lm.LEAST_COUNT and sum(x * math.log(x / total / q(w)) for w, x in c.items()) >= len(c):
-                kept[context] = c
-
-    def chance(context, w):
-        if not context:
-            return (unigram[w] + 1) / (n + v + 1)
-        if context not in kept:
-            return chance(context[1:], w)
-        c = kept[context]
-        total = sum(c.values())
-        return max(0, c[w] - lm.DISCOUNT) / total + lm.DISCOUNT * len(c) / total * chance(context[1:], w)
-
-    asked = [texts[0], texts[60], "the n5 the n899", "rare pair here", "the unseen a1 x y", "", "the y the x"]
-    train_df, ask_df = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
-    got = by_id(lm.score(ask_df, train_df))
-    for k, t in enumerate(asked):
-        full = ["start", *brute.lower_words(t), b"\n"]
-        expected = sum(math.log10(chance(tuple(full[max(0, i - 2) : i]), full[i])) for i in range(1, len(full)))
-        assert math.isclose(got[k].score, expected, rel_tol=1e-9)
+    none = lm.score(marked.where("doc_id < 3"), F.lit(False)).collect()
+    assert len(none) == 3 and none[0].train_tokens == 0 and math.isclose(none[0].score, -math.log10(256) * len(spelled[none[0].doc_id]))
+    assert lm.score(empty, F.lit(True)).count() == 0
+
+
+def test_language_model_grows(spark):
+    """More text, more retained contexts; chunks of any size give the same scores."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(("ba", "na", "ne", "bi", "so")) * r.randint(1, 3) + str(r.randrange(50)) for _ in range(60)) for _ in range(80)]
+    retained, scores = [], []
+    for n, size in ((20, 1 << 25), (80, 1 << 25), (80, 4096)):
+        docs = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")
+        keys = lm.chunk_keys(docs.select(F.lit(0).alias("chunk"), "text", F.lit(True).alias("train")))
+        tree = lm.states(keys.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")))
+        retained.append(sum(level.where("kept and n > 0").select(F.shiftrightunsigned("key", 8)).distinct().count() for level in tree[1:]))
+        before, lm.CHUNK = lm.CHUNK, size
+        try:
+            scores.append({x.doc_id: x.score for x in lm.score(docs, F.col("doc_id") % 5 > 0).collect()})
+        finally:
+            lm.CHUNK = before
+    assert retained[0] < retained[1] and retained[0] == plain_tree([lm.spelled(t) for t in texts[:20]], lm.DEPTH, lm.LEAST_COUNT)[1]
+    assert all(math.isclose(scores[1][k], scores[2][k], rel_tol=1e-9) for k in range(80))
 
 
 def test_suffix_tree_is_a_distribution():
