@@ -373,18 +373,14 @@ def close_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
     placed = sized.select("sig", "node", "df", "n", (F.col("n") - count + rank).alias("place"), (count - rank + 1).alias("rest"))
     # From the first member in common on, both need 3/7 of the sizes' sum; so many are left to a set at this one.
     first = placed.where("place <= n - ceil(3 * n / 4) + 1 and 4 * rest >= 3 * n").withColumn("reach", F.expr("floor(7 * rest / 3) - n"))
-    rows = first.join(labels, "node").select("sig", "node", "df", "n", "reach", "label")
-    rows = stage(several(rows), "prefixes")
+    rows = first.join(labels, "node").select("sig", "node", "n", "reach", "label")
+    # Of every group the component with the most sets; its sets are not matched with each other.
+    sizes = rows.groupBy("sig", "label").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("sig").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("sig", "top")
+    rows = stage(rows.join(tops, "sig"), "prefixes")
     fits = "x.label <> y.label and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) and x.n <= y.reach and y.n <= x.reach"
-    usual = rows.where(f"df <= {POPULAR}")
-    rare = usual.alias("x").join(usual.alias("y"), F.expr(f"x.sig = y.sig and x.node < y.node and {fits}"))
-    # Components first, so that sets of one component are not matched with each other.
-    dear = rows.where(f"df > {POPULAR}")
-    kinds = dear.select("sig", "label").distinct()
-    across = kinds.alias("x").join(kinds.alias("y"), F.expr("x.sig = y.sig and x.label < y.label")).select(F.col("x.sig").alias("sig"), F.col("x.label").alias("label"), F.col("y.label").alias("other"))
-    met = across.join(dear, ["sig", "label"]).select("sig", "other", "label", "node", "n", "reach").alias("x").join(dear.alias("y"), F.expr(f"x.sig = y.sig and x.other = y.label and {fits}"))
-    ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    out = stage(rare.select(*ends).unionByName(met.select(*ends)).distinct(), "pairs")
+    met = rows.where("label <> top").alias("x").join(rows.alias("y"), F.expr(f"x.sig = y.sig and (y.label = y.top or x.node < y.node) and {fits}"))
+    out = stage(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
     drop_staged(rows)
     drop_staged(members)
     return out
