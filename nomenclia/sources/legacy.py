@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from nomenclia.shipping import ship
 from nomenclia.sources.catalog_xml import SCHEMA, tidy, truth
-from nomenclia.sources.supplier_xlsx import plain, plain_column, sheet_rows
+from nomenclia.sources.supplier_xlsx import plain_column, sheet_rows, under_headers
 
 
 def name_filter(names: DataFrame, targets: DataFrame, mode: str = "exact") -> DataFrame:
@@ -93,30 +93,7 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def find_column(header: list[str | None], target: str) -> int | None:
-    """The column whose name equals the target, else the first that contains it."""
-    names, wanted = [plain(h) for h in header], plain(target)
-    exact = [k for k, n in enumerate(names) if n == wanted]
-    return (exact or [k for k, n in enumerate(names) if wanted in n] or [None])[0]
-
-
 def read_sheets(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
-    """Rows of all sheets under ``path``: the first row that has the first of ``columns`` (name to header) is the header."""
-    ship(spark)
-    fields = ["file", *columns]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                places: dict[str, int | None] = {}
-                out = []
-                for row in sheet_rows(content.as_py()):
-                    if not places:
-                        found = {c: find_column(row, h) for c, h in columns.items()}
-                        places = found if next(iter(found.values())) is not None else {}
-                    else:
-                        out.append((file, *(row[p] if p is not None and p < len(row) else None for p in places.values())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string()) for _ in fields], fields)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(rows, ", ".join(f"`{f}` string" for f in fields))
+    """Rows of all sheets under ``path``: the first row that has the first of ``columns`` (name to header) is the header; a column whose name contains the header will do."""
+    found = under_headers(sheet_rows(spark, path), {c: " ".join(h.lower().replace("ё", "е").replace(".", "").split()) for c, h in columns.items()}, 1, again=False, within=True)
+    return found.select("file", *columns)

@@ -101,7 +101,19 @@ def test_legacy(spark, tmp_path):
     names = spark.createDataFrame([("Стул ученический",), ("Стол",)], "name string")
     target = spark.createDataFrame([("стул",)], "target string")
     assert legacy.name_filter(names, target).count() == 0 and legacy.name_filter(names, target, "contains").count() == 1
-    assert legacy.find_column(["Название", "Единица измерения (ОКЕИ)"], "единица измерения") == 1
-    xlsx(tmp_path / "t.xlsx", [["x"], ["Категория", "Название"], ["Стулья", "Длина"]])
-    got = legacy.read_sheets(spark, str(tmp_path), {"category": "категория", "name": "название"}).collect()
-    assert [(r.category, r.name) for r in got] == [("Стулья", "Длина")]
+    xlsx(tmp_path / "t.xlsx", [["x"], ["Категория", "Название", "Единица измерения (ОКЕИ)"], ["Стулья", "Длина", "мм"], ["Категория", "Название"]])
+    got = legacy.read_sheets(spark, str(tmp_path), {"category": "категория", "name": "название", "unit": "единица измерения"}).collect()
+    assert sorted((r.category, r.name, r.unit) for r in got) == [("Категория", "Название", None), ("Стулья", "Длина", "мм")]
+
+
+def test_sheets_in_order(spark, tmp_path):
+    """Two sheets, shared and rich strings, cells without a reference, a number, and a second header row."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="b" sheetId="1" r:id="rB"/><sheet name="a" sheetId="2" r:id="rA"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rA" Target="/xl/worksheets/s1.xml"/><Relationship Id="rB" Target="worksheets/s2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst {ns}><si><t>Конечная категория ПП</t></si><si><r><t>Название </t></r><r><t xml:space="preserve">характеристики</t></r></si><si><t>Стулья</t></si></sst>')
+        z.writestr("xl/worksheets/s2.xml", f'<worksheet {ns}><sheetData><row><c t="s"><v>0</v></c><c t="s"><v>1</v></c></row><row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2"><v>12</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/s1.xml", f'<worksheet {ns}><sheetData><row><c r="AA1" t="s"><v>2</v></c><c r="B1" t="inlineStr"><is><t>Вес</t></is></c></row><row><c r="AA2" t="s"><v>0</v></c><c r="C2" t="s"><v>1</v></c></row><row><c r="AA3" t="s"><v>2</v></c><c r="C3" t="inlineStr"><is><t> Цвет </t></is></c></row></sheetData></worksheet>')
+    got = supplier_xlsx.read_supplier(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(r.category, r.name) for r in got] == [("Стулья", "12"), ("Стулья", "Цвет")]
