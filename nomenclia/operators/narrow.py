@@ -10,7 +10,7 @@ ABSENT = "no remaining position has it"
 CONFLICT = "contradicts other characteristics"
 
 
-def _stage(kind: str, title: Column, before: Column, after: Column, applied: Column, note: Column) -> Column:
+def stage(kind: str, title: Column, before: Column, after: Column, applied: Column, note: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), title.cast("string").alias("title"), before.cast("bigint").alias("before"), after.cast("bigint").alias("after"), applied.alias("applied"), note.cast("string").alias("note"))
 
 
@@ -27,11 +27,27 @@ def narrow_facts(candidates: Column, facts: Column) -> Column:
         applied = has & (F.size(ok) > 0)
         kept = F.when(applied, ok).otherwise(s["remaining"])
         note = F.when(~has, ABSENT).when(F.size(ok) == 0, CONFLICT)
-        return F.struct(kept.alias("remaining"), F.concat(s["stages"], F.array(_stage("characteristic", f["title"], F.size(s["remaining"]), F.size(kept), applied, note))).alias("stages"))
+        return F.struct(kept.alias("remaining"), F.concat(s["stages"], F.array(stage("characteristic", f["title"], F.size(s["remaining"]), F.size(kept), applied, note))).alias("stages"))
 
     return F.aggregate(facts, start, step)
 
 
+def around(stages: Column, total: Column, names: Column, found: Column, spoken: Column, spoken_names: Column, chosen: Column, code: Column, left: Column) -> Column:
+    """The stages of facts with those before (catalogue of ``total`` positions, names with ``found``) and after them.
+
+    ``spoken``: how many the free words' groups leave, ``chosen`` the user's
+    code, ``left`` the number that remains at the end.
+    """
+    yes, none = F.lit(True), F.lit(None)
+    facts_left = F.coalesce(F.try_element_at(stages, F.lit(-1))["after"], found.cast("bigint"))
+    first = F.array(stage("catalog", F.lit("catalogue"), none, total, yes, none), stage("name", F.array_join(F.slice(names, 1, 4), "; "), total, found, yes, none))
+    group = F.when(spoken < facts_left, F.array(stage("okpd2", F.array_join(F.slice(spoken_names, 1, 2), "; "), facts_left, spoken, yes, none)))
+    user = F.when(chosen.isNotNull(), F.array(stage("user", chosen, spoken, F.lit(1), yes, none)))
+    final = F.when(code.isNotNull() & (left > 1), F.array(stage("final", code, left, F.lit(1), yes, F.lit("no template"))))
+    empty = F.array().cast(f"array<{STAGE}>")
+    return F.concat(first, stages, *[F.coalesce(x, empty) for x in (group, user, final)])
+
+
 def prefer_group(remaining: DataFrame) -> DataFrame:
     """Of (id, code, overlap) the rows with the most overlap, if it is above zero."""
     return remaining.withColumn("most", F.max("overlap").over(Window.partitionBy("id"))).where("most = 0 or overlap = most").drop("most")

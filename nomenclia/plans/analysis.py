@@ -11,15 +11,18 @@ import math
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nomenclia.functions import similarity
 from nomenclia.functions import text as X
 from nomenclia.functions import units as U
 from nomenclia.operators import index, kernel, match, narrow, spelling
 from nomenclia.shipping import ship
 from nomenclia.staging import staged
 
+DETAILED = 3000  # positions of a description that are looked at, templates last
+CUTOFF, ALTERNATIVES = 70, 5
 OPTION_COLUMNS = ("code", "char", "required", "kind", "char_type", "choice_type", "option_kind", "label", "unit", "number", "lower", "upper", "lower_inc", "upper_inc")
 FACTS = (
     "id long, ord int, key string, name string, source string, status string, value_kind string, value_text string, normalized string, unit string, "
@@ -125,10 +128,22 @@ def _kernel(docs: pd.DataFrame, options: pd.DataFrame) -> pd.DataFrame:
     facts = run.run()
     by_name = {c.key: c for c in schema.chars.values()}
     excluded = {X.plain_phrase(x) for x in (d["excluded"] if d["excluded"] is not None else ())}
-    given = {X.plain_phrase(o["name"]): o["value"] for o in (d["overrides"] if d["overrides"] is not None else ())}
-    given = {(kernel.best_matches(k, sorted(by_name), 1, 92.0) or [(k, 0)])[0][0] if k not in by_name else k: v for k, v in given.items()}
+    given, before = {}, {f.key: f for f in facts if f.key}
+    for o in d["overrides"] if d["overrides"] is not None else ():
+        name = X.plain_phrase(o["name"])
+        near = name if name in by_name else (kernel.best_matches(name, sorted(by_name), 1, 92.0) or [(None, 0)])[0][0]
+        given[near or name] = (near, o["name"], o["value"])
     facts = [f for f in facts if f.key not in given and X.plain_phrase(f.name) not in excluded]
-    facts += [kernel.user_fact(by_name[k], v) for k, v in given.items() if k in by_name and v]
+    for near, name, value in given.values():
+        if near:
+            fact = kernel.user_fact(by_name[near], value)
+            if near in before:
+                fact.start, fact.end = before[near].start, before[near].end
+        else:
+            known = find([t.stem for t in X.plain_tokens(X.plain_text(name)) if t.kind == "word"])
+            fact = kernel.given_fact(name, value, known)
+            facts = [f for f in facts if X.plain_phrase(f.name) != X.plain_phrase(fact.name)]
+        facts.append(fact)
     free = sorted({t.stem for i, t in enumerate(run.tokens) if i not in run.taken and t.content and len(t.norm) > 2} - name_stems)
     out = [
         (d["id"], n, f.key, f.name, f.source, f.status, f.value_kind, f.value_text, f.normalized, f.unit, f.matched, f.confidence, f.start, f.end, sorted(f.accepted), sorted(f.has), f.notes, f.suggestions, f.alternatives, free)
@@ -145,7 +160,9 @@ def extract(docs: DataFrame, chosen: DataFrame, scores: DataFrame, idx: Index, c
     options = candidates.select("id", "code").join(catalog.options.select(*OPTION_COLUMNS), "code")
     groups = chosen.join(idx.postings.select("norm", "stem"), "norm").groupBy("id").agg(F.collect_set("stem").alias("name_stems"))
     evidence = chosen.where("place = 1").join(scores.select("id", "norm", "evidence"), ["id", "norm"]).select("id", "evidence")
-    stems = match.description_stems(docs).select("id", "stem").distinct()
+    # Words of the text, and of the names that the user has given values for.
+    names = docs.select("id", F.explode(X.words_of(F.concat_ws(" ", F.transform("overrides", lambda o: o["name"])))).alias("word")).select("id", X.word_stem(F.col("word")).alias("stem"))
+    stems = match.description_stems(docs).select("id", "stem").unionByName(names).distinct()
     known = idx.phrase_stems.groupBy("phrase", "source").agg(F.collect_set("stem").alias("stems")).join(idx.phrases.select("phrase", "source", "is_flag", "n"), ["phrase", "source"])
     near = stems.join(idx.phrase_stems.select("stem", "phrase", "source"), "stem").select("id", "phrase", "source").distinct().join(known, ["phrase", "source"])
     phrases = near.groupBy("id").agg(F.collect_list(F.struct("phrase", "source", "is_flag", "n", "stems")).alias("phrases"))
@@ -157,15 +174,41 @@ def extract(docs: DataFrame, chosen: DataFrame, scores: DataFrame, idx: Index, c
 
 
 def _candidates(chosen: DataFrame, catalog: Catalog) -> DataFrame:
+    """The positions of the chosen names, the first DETAILED of a description, templates last."""
     named = catalog.positions.withColumn("norm", X.normalize_phrase(F.col("name")))
-    return chosen.select("id", "norm").join(named, "norm")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("is_template", "code"))
+    return chosen.select("id", "norm").join(named, "norm").withColumn("__place", place).where(F.col("__place") <= DETAILED).drop("__place")
+
+
+def alike(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, alternatives): names like the first four content words of ``docs`` (id, text), best first, 70 or more of 100.
+
+    Only names that share a run of three characters with those words are compared.
+    """
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda k: F.substring(c, k, F.lit(3))))
+    words = F.array_join(F.slice(F.filter(X.words_of(F.col("text")), lambda w: ~w.isin(*sorted(X.STOPWORDS))), 1, 4), " ")
+    asked = docs.select("id", words.alias("query")).where("query <> ''")
+    near = asked.select("id", "query", F.explode(runs(F.col("query"))).alias("run")).join(groups.select("norm", "name", F.explode(runs(F.col("norm"))).alias("run")), "run").select("id", "query", "norm", "name").distinct()
+    scored = near.withColumn("score", similarity.wratio_column(F.col("query"), F.col("norm"))).where(F.col("score") >= CUTOFF)
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "norm"))
+    best = scored.withColumn("place", place).where(F.col("place") <= ALTERNATIVES)
+    return best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "name")))["name"].alias("alternatives"))
+
+
+def other_names(scores: DataFrame, chosen: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, others): of the eight best names those that are not chosen, five at most."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy(*match.by_rank()))
+    left = scores.withColumn("place", place).where("place <= 8").join(chosen.select("id", "norm"), ["id", "norm"], "left_anti").join(groups.select("norm", "name"), "norm")
+    return left.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "name")))["name"], 1, ALTERNATIVES).alias("others"))
 
 
 def analyze(docs: DataFrame, catalog: Catalog, idx: Index | None = None) -> DataFrame:
     """``docs`` (id, text and optionally overrides array<struct<name,value>>, excluded array<string>, selected_code) resolved.
 
     Returns id, status, code (only if resolved), confidence, remaining codes,
-    stages, facts, specification counts, suggestions and refinements.
+    stages, facts, suggestions, names (those of the remaining positions first),
+    alternatives (other names), and refinements: by name, or by group where one
+    name is left. Suggestions and refinements are given unless it is resolved.
     """
     idx = idx or build_index(catalog)
     for name, kind in (("overrides", "array<struct<name:string,value:string>>"), ("excluded", "array<string>"), ("selected_code", "string")):
@@ -191,9 +234,13 @@ def analyze(docs: DataFrame, catalog: Catalog, idx: Index | None = None) -> Data
     group_words = rows.select("okpd2_name").distinct().select("okpd2_name", F.explode(X.words_of(F.col("okpd2_name"))).alias("word")).withColumn("stem", X.word_stem(F.col("word"))).withColumn("root", X.root(F.col("stem")))
     spoken = _overlap(free, group_words)
     preferred = narrow.prefer_group(rows.join(spoken, ["id", "okpd2_name"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0))))
-    kept = preferred.groupBy("id").agg(F.array_sort(F.collect_set("code")).alias("remaining"), F.collect_set(F.when(F.col("is_template"), F.col("code"))).alias("templates"), F.collect_set("norm").alias("norms"))
+    kept = preferred.groupBy("id").agg(F.array_sort(F.collect_set("code")).alias("remaining"), F.array_sort(F.collect_set("okpd2_name")).alias("group_names"), F.collect_set(F.when(F.col("is_template"), F.col("code"))).alias("templates"), F.collect_set("norm").alias("norms"))
     chosen_code = docs.select("id", "selected_code").join(catalog.positions.select(F.col("code").alias("selected_code")), "selected_code", "left_semi")
-    result = folded.join(kept, "id").join(chosen_code, "id", "left")
+    groups = idx.groups.select("norm", "name")
+    titles = chosen.join(groups, "norm").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "name")))["name"].alias("chosen_names"))
+    total = catalog.positions.agg(F.count("*").alias("total"))  # one row
+    result = folded.join(kept, "id").join(chosen_code, "id", "left").join(titles, "id").join(codes.select("id", F.size("codes").alias("found")), "id").crossJoin(F.broadcast(total))
+    result = result.withColumn("spoken", F.size("remaining"))
     result = result.withColumn("code", narrow.final_code(F.col("remaining"), F.col("templates"), F.col("selected_code"))).withColumn("remaining", F.when(F.col("selected_code").isNotNull(), F.array("selected_code")).otherwise(F.col("remaining")))
 
     # Confidence over the surviving groups; a filter or evidence lifts a head match.
@@ -204,27 +251,56 @@ def analyze(docs: DataFrame, catalog: Catalog, idx: Index | None = None) -> Data
     result = result.join(levels, "id").withColumn("confidence", narrow.final_confidence(F.col("levels"), F.col("code")))
     unexplained = F.exists("free_stems", lambda s: s.rlike("^[а-я]"))
     found = ~((F.col("confidence") == "low") & (F.size("used") == 0) & unexplained)
+    c = F.col
+    whole = narrow.around(c("stages"), c("total"), c("chosen_names"), c("found"), c("spoken"), c("group_names"), c("selected_code"), c("code"), F.size("remaining"))
+    result = result.withColumn("final", c("code")).withColumn("stages", F.when(found, whole).otherwise(_not_found(c("total"), "matched in part")))
     result = result.withColumn("status", narrow.status(found, F.col("code"), F.col("confidence"))).withColumn("code", F.when(F.col("status") == "resolved", F.col("code")))
 
     result = staged(result, "resolved")
 
     # What to ask next.
-    remaining = result.select("id", F.explode("remaining").alias("code")).join(catalog.positions.select("code", "is_template", "name", "okpd2_code", "okpd2_name"), "code")
+    open_rows = result.where("status <> 'resolved'")
+    remaining = open_rows.select("id", F.explode("remaining").alias("code")).join(catalog.positions.select("code", "is_template", "name", "okpd2_code", "okpd2_name"), "code")
     values = catalog.options.select("code", X.normalize_phrase(F.col("char")).alias("char"), "label").join(remaining.select("code").distinct(), "code", "left_semi")
     about = catalog.options.groupBy(X.normalize_phrase(F.col("char")).alias("char")).agg(F.min_by("char", "code").alias("name"), F.min("kind").alias("kind"), F.bool_or("required").alias("required"))
-    asked = narrow.suggest(narrow.pool(remaining), values, about.drop("name"), result.select("id", F.explode("used.key").alias("char")))
+    asked = narrow.suggest(narrow.pool(remaining), values, about.drop("name"), open_rows.select("id", F.explode("used.key").alias("char")))
     questions = asked.join(about.select("char", "name"), "char").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "name", "options"))).alias("suggestions"))
-    out = result.join(questions, "id", "left").select("id", "status", "code", "confidence", "remaining", "stages", "facts", "suggestions")
-    missing = docs.select("id").join(out.select("id"), "id", "left_anti")
-    none = missing.select("id", F.lit("name_not_found").alias("status"), *[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns[2:]])
-    return out.unionByName(none)
+    named = remaining.drop("name").join(catalog.positions.select("code", X.normalize_phrase(F.col("name")).alias("norm")), "code").join(groups, "norm")
+    listed = lambda df, code: df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", code.alias("code"), "name", "n"))).alias("listed"))
+    by_name = listed(narrow.refinements(named, ["name"], 10), F.lit(None).cast("string")).withColumnRenamed("listed", "by_name")
+    blank = remaining.select("id", F.coalesce("okpd2_code", F.lit("")).alias("code"), F.coalesce("okpd2_name", F.lit("")).alias("name"))
+    by_group = listed(narrow.refinements(blank, ["code", "name"], 8), F.col("code")).withColumnRenamed("listed", "by_group")
+
+    # Names by what remains of them, then the other chosen ones; names like an unknown one.
+    counted = result.select("id", "final", F.explode("remaining").alias("code")).join(catalog.positions.select("code", X.normalize_phrase(F.col("name")).alias("norm")), "code").join(groups, "norm").groupBy("id", "name").agg(F.max((F.col("code") == F.col("final")).cast("int")).alias("last"), F.count("*").alias("n"))
+    leading = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("last", F.lit(0))).alias("a"), (-F.col("n")).alias("b"), "name")))["name"].alias("leading"))
+    missing = docs.join(result.select("id"), "id", "left_anti").select("id", "text")
+    unknown = missing.unionByName(result.where("status = 'name_not_found'").select("id").join(docs.select("id", "text"), "id"))
+    ship(docs.sparkSession)
+    near = staged(alike(unknown, idx.groups), "alike")
+    joined = result
+    for part in (questions, by_name, by_group, leading, other_names(scores, chosen, idx.groups), near):
+        joined = joined.join(part, "id", "left")
+    names = F.array().cast("array<string>")
+    others = F.when(F.col("status") == "name_not_found", F.concat(F.slice("chosen_names", 1, ALTERNATIVES), F.coalesce("alternatives", names))).otherwise(F.coalesce("others", names))
+    out = joined.select(
+        "id", "status", "code", "confidence", "remaining", "stages", "facts", "suggestions", F.array_union(F.coalesce("leading", names), "chosen_names").alias("names"), others.alias("alternatives"), F.coalesce("by_name", "by_group").alias("refinements"),
+    )
+    given = {"status": F.lit("name_not_found"), "stages": _not_found(F.col("total"), "not in the catalogue"), "alternatives": F.coalesce("alternatives", names)}
+    rows = missing.join(near, "id", "left").crossJoin(F.broadcast(total))
+    return out.unionByName(rows.select("id", *[given.get(c, F.lit(None).cast(out.schema[c].dataType)).alias(c) for c in out.columns[1:]]))
+
+
+def _not_found(total: Column, note: str) -> Column:
+    none, yes = F.lit(None), F.lit(True)
+    return F.array(narrow.stage("catalog", F.lit("catalogue"), none, total, yes, none), narrow.stage("name", F.lit(""), total, F.lit(0), yes, F.lit(note)))
 
 
 def analyze_schema() -> str:
     """The schema of ``analyze``'s rows."""
     fact = "ord:int,title:string,has:array<string>,accepted:array<string>,key:string,status:string,normalized:string,unit:string,matched:string,source:string,confidence:double,notes:array<string>"
     option = "place:int,label:string,n:bigint"
-    return f"id long, status string, code string, confidence string, remaining array<string>, stages array<{narrow.STAGE}>, facts array<struct<{fact}>>, suggestions array<struct<place:int,name:string,options:array<struct<{option}>>>>"
+    return f"id long, status string, code string, confidence string, remaining array<string>, stages array<{narrow.STAGE}>, facts array<struct<{fact}>>, suggestions array<struct<place:int,name:string,options:array<struct<{option}>>>>, names array<string>, alternatives array<string>, refinements array<struct<place:int,code:string,name:string,n:bigint>>"
 
 
 def _overlap(free: DataFrame, words: DataFrame) -> DataFrame:

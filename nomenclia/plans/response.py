@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from nomenclia.functions import text as X
 from nomenclia.operators import kernel
+from nomenclia.operators.narrow import CONFLICT
 
-CANDIDATES, OPTIONS, DETAILED = 20, 60, 3000
+CANDIDATES, OPTIONS = 20, 60
 # The better of two analyses is the one further up.
-STATUS_RANK = ("name_not_found", "need_more_info", "low_confidence", "resolved")
+STATUS_RANK = ("name_not_found", "low_confidence", "need_more_info", "resolved")
+NOT_RECOGNIZED = ("unrecognized", "no_value", "missing")
+ERRORS = ("invalid", "unit_mismatch")
+NONE_REMAIN = 10**6
+
 
 
 def usable_facts(facts: Column) -> Column:
@@ -69,10 +74,22 @@ def messages(results: DataFrame) -> DataFrame:
 
 
 def choose(results: DataFrame) -> DataFrame:
-    """Of the analyses of an id from ``text`` and ``rewriter`` (column source) the better one; the text's own wins a tie."""
+    """Of the analyses of an id from ``text`` and ``rewriter`` (column source) the better one; the text's own wins a tie.
+
+    By status, confirmed facts less errors, fewer remaining positions, fewer
+    unrecognised facts, more recognised ones. A fact that contradicts others is
+    an error and not confirmed.
+    """
+    facts = F.coalesce("facts", F.array().cast(results.schema["facts"].dataType))
+    of = lambda test: F.size(F.filter(facts, test))
+    conflicts = F.size(F.filter(F.coalesce("stages", F.array().cast(results.schema["stages"].dataType)), lambda s: s["note"] == CONFLICT))
+    confirmed = of(lambda f: f["status"].isin(*kernel.USABLE)) - conflicts
+    errors = of(lambda f: f["status"].isin(*ERRORS)) + conflicts
+    remaining = F.when(F.col("status") == "name_not_found", NONE_REMAIN).otherwise(F.size("remaining"))
+    unrecognized, recognized = of(lambda f: f["status"] == "unrecognized"), of(lambda f: ~f["status"].isin(*NOT_RECOGNIZED))
     ranks = F.array(*[F.lit(s) for s in STATUS_RANK])
-    rank = F.struct(F.array_position(ranks, F.col("status")).alias("a"), F.size(usable_facts(F.col("facts"))).alias("b"), (-F.size("remaining")).alias("c"), (F.col("source") == "text").alias("d"))
-    best = results.groupBy("id").agg(F.max_by("source", rank).alias("source"))
+    parts = (F.array_position(ranks, F.col("status")), confirmed - errors, -remaining, -unrecognized, recognized, F.col("source") == "text")
+    best = results.groupBy("id").agg(F.max_by("source", F.struct(*[x.alias(f"k{n}") for n, x in enumerate(parts)])).alias("source"))
     return results.join(best, ["id", "source"])
 
 
