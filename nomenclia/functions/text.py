@@ -35,16 +35,16 @@ SEQUENCES = ((("кол", "-", "во"), "количество"), (("к", "-", "в
 # Stems of words that mean the same.
 SYNONYMS = {"вес": "масс", "расцветк": "цвет", "матрас": "матрац", "емкост": "емкост"}
 
-# Endings of the Snowball stemmer for Russian.
+# Endings of the Snowball stemmer for Russian, in its published order.
 VOWELS = "аеиоуыэюя"
-GERUND_A, GERUND = ("вшись", "вши", "в"), ("ившись", "ывшись", "ивши", "ывши", "ив", "ыв")
+GERUND_A, GERUND = ("в", "вши", "вшись"), ("ив", "ивши", "ившись", "ыв", "ывши", "ывшись")
+ADJECTIVE = tuple("ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею".split())
+PARTICIPLE_A, PARTICIPLE = ("ем", "нн", "вш", "ющ", "щ"), ("ивш", "ывш", "ующ")
 REFLEXIVE = ("ся", "сь")
-ADJECTIVE = tuple("ими ыми его ого ему ому ее ие ые ое ей ий ый ой ем им ым ом их ых ую юю ая яя ою ею".split())
-PARTICIPLE_A, PARTICIPLE = ("нн", "вш", "ющ", "ем", "щ"), ("ующ", "ивш", "ывш")
-VERB_A = tuple("ешь нно ете йте ла на ли ем ло но ет ют ны ть й л н".split())
-VERB = tuple("уйте ейте ила ыла ена ите или ыли ило ыло ено ует уют ены ить ыть ишь ей уй ил ыл им ым ен ят ит ыт ую ю".split())
-NOUN = tuple("иями ями ами ией иям ием иях ев ов ие ье еи ии ей ой ий ям ем ам ом ах ях ию ью ия ья а е и й о у ы ь ю я".split())
-SUPERLATIVE, DERIVED = ("ейше", "ейш"), ("ость", "ост")
+VERB_A = tuple("ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно".split())
+VERB = tuple("ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю".split())
+NOUN = tuple("а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я".split())
+SUPERLATIVE, DERIVED = ("ейш", "ейше"), ("ост", "ость")
 
 # Suffixes of adjectives that leave a root of three letters or more.
 ROOT_SUFFIXES = ("ическ", "ичн", "овн", "енн", "янн", "анн", "ьн", "ан", "ян", "ов", "ев", "ск", "н", "я", "ь")
