@@ -3,8 +3,8 @@
 ``scan`` adds to every row the spans of four kinds. ``assign``, ``access`` and
 ``hex`` are fixed patterns. ``markov`` spans are runs of token characters whose
 log-likelihood ratio between two first-order character models, one of random
-strings and one of ordinary identifiers, is high; runs that overlap a rule's
-span are left to the rule.
+strings and one of ordinary identifiers, is high. A run is judged whole, also
+where a rule has found a part of it; one that a rule's span covers adds nothing.
 
 Cases: a null or empty text has no span; overlapping kinds are all reported;
 repeated rows each get their own result; extra columns pass through unless
@@ -130,7 +130,7 @@ def scan(docs: DataFrame, text: str = "text", least: float = LEAST_MEAN_LLR) ->
     placed = cut.select(*keep, "__v", *[F.when(some(k), _placed(F.col(f"__h{k}"), F.col(f"__p{k}"), k)).otherwise(none).alias(f"__s{k}") for k in range(4)])
     long_enough = F.filter("__s0", lambda s, i: F.length(F.element_at(F.col("__v"), (i + 1).cast("int"))) >= ASSIGN_LEAST)
     based = placed.select(*keep, "__s3", F.array_sort(F.concat(F.when(F.size("__s0") > 0, long_enough).otherwise(none), "__s1", "__s2")).alias("base_spans"))
-    free = F.filter("__s3", lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = F.filter("__s3", lambda s: ~F.exists("base_spans", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     judged = based.select(*keep, "base_spans", F.when(F.size("__s3") > 0, F.filter(free, lambda s: mean_llr(s["hit"], table) >= least)).otherwise(none).alias("__m"))
     return judged.select(*keep, "base_spans", F.when(F.size("__m") > 0, F.array_sort(F.concat("base_spans", "__m"))).otherwise(F.col("base_spans")).alias("all_spans"))
 
