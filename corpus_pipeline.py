@@ -3,6 +3,23 @@
 Every stage is a function of (spark, docs, sf_dir); its result is written as
 Parquet and read again as the docs of the next one. All but the last return
 the columns of documents.
+
+Cases, by stage (long texts are whole rows in all of them, and an empty table
+stays empty):
+
+* toxicity: null and empty texts are scored and stay if the model has them
+  below 0.5; rows are judged one by one, equal texts alike.
+* ngram_jaccard_join: the row with the smallest doc_id of a class stays, null
+  ids last; of rows equal in doc_id and text one stays; rows without words all
+  stay.
+* secret_scan: all rows stay; a null text stays null; n_chars follows a text
+  that is masked.
+* mix_sources: rows without words are not taken; a null source is a source of
+  its own; a document may be taken twice.
+* best_fit_packing: every taken copy is packed as a row of its own.
+
+Extra columns pass through up to the last stage, under the operators' rules for
+names that clash.
 """
 
 from __future__ import annotations

@@ -18,8 +18,9 @@ source's window, one row per source in the single window of the targets.
 
 Cases: null source is a source of its own, last in order; null or empty text
 has size 0 and takes nothing; repeated rows are distinct documents that share
-a place order; an empty table gives an empty result. Columns of the input that
-carry a result's name are replaced.
+a place order; of a very long text only the number of its words is used; an
+empty table gives an empty result. Columns of the input that carry a result's
+name are replaced.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ from those.
 
 Cases: null and empty texts are one frame of padding; equal texts give equal
 bytes; a page with a wrong checksum, sequence or continuation raises; repeated
-rows are stored apart; an empty table gives no rows; extra columns pass
-through unless they carry a result's name.
+rows are stored apart; a very long text is many pages of one stream, held by
+its task as one row; an empty table gives no rows; extra columns pass through
+unless they carry a result's name.
 """
 
 from __future__ import annotations

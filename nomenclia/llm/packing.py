@@ -10,8 +10,10 @@ What the groups give up is exchanged: dealt anew over fewer groups and packed
 again, until one group holds the rest or the rounds end.
 
 Cases: a null text is an empty one, and an empty text is one piece of the end
-id alone; repeated rows are packed as rows of their own; an empty table gives
-no pieces; extra columns are carried along unless they have a result's name.
+id alone; a very long text is one row while it is encoded and many pieces after
+that; repeated rows, and pieces of equal length, are packed as rows of their
+own in any order; an empty table gives no pieces; extra columns are carried
+along unless they have a result's name.
 """
 
 from __future__ import annotations

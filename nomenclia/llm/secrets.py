@@ -6,8 +6,10 @@ log-likelihood ratio between two first-order character models, one of random
 strings and one of ordinary identifiers, is high. A run is judged whole, also
 where a rule has found a part of it; one that a rule's span covers adds nothing.
 
-Cases: a null or empty text has no span; overlapping kinds are all reported;
-repeated rows each get their own result; extra columns pass through unless
+Cases: a null or empty text has no span; a very long text is scanned whole, as
+one row; overlapping kinds are all reported, those of one start in the order of
+their kinds; repeated rows each get their own result; an empty table gives no
+rows; extra columns pass through unless
 they carry one of the result's names, which the result replaces.
 """
 

@@ -14,8 +14,9 @@ most k rows a query, of which the best k are ranked. Nothing is broadcast.
 
 Cases: vectors that are null or hold null or non-finite components, and rows
 without an id, take no part; only vectors of equal length meet; equal scores
-rank by id; scores beyond 64 bits count as the largest (or smallest) long; a repeated query row is answered once for each; an empty table
-gives no rows; other columns are not read.
+rank by id; scores beyond 64 bits count as the largest (or smallest) long; a
+repeated query row is answered once for each; an empty table gives no rows;
+other columns, texts of any length among them, are not read.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ digests; the trees see three quarters of them, the calibration the rest.
 
 Cases: null and empty texts have all-zero features and a score of their own;
 without usable labels every score is 0; repeated and contradictory labels
-count as rows of their own; extra columns pass through unless they carry a
-result's name.
+count as rows of their own; features are rates, so a very long text is scored
+as any other; equal texts have equal scores, and 0.5 counts as toxic; an empty
+table gives no rows; extra columns pass through unless they carry a result's
+name.
 """
 
 from __future__ import annotations

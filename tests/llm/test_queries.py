@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
@@ -129,3 +130,35 @@ def test_op10(spark, folder):
         assert (got[k].n_assign, got[k].n_access, got[k].n_hex) == tuple(sum(s[1] == n for s in spans) for n in range(3))
         assert got[k].base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert set(said.split(",")) <= set(got[k].spans.split(",")) or not spans
+
+
+@pytest.fixture(scope="module")
+def odd(spark, folder, tmp_path_factory):
+    """Folders with empty tables, and with rows that repeat, null ids, texts and labels."""
+    paths = {}
+    for kind in ("empty", "repeated"):
+        paths[kind] = str(tmp_path_factory.mktemp(kind))
+        for name in ("documents", "labels", "embeddings"):
+            df = spark.read.parquet(f"{folder}/{name}.parquet").limit(30 if kind == "repeated" else 0)
+            key = df.columns[0]
+            if kind == "repeated":
+                first = df.where(f"{key} < 3")
+                nulls = df.limit(1).select(*[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+                same = first.withColumn("text", F.lit("other words of one id")) if name == "documents" else first
+                df = df.unionByName(first).unionByName(first).unionByName(same).unionByName(nulls).unionByName(nulls)
+            df.write.parquet(f"{paths[kind]}/{name}.parquet")
+    return paths
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_odd_tables(spark, odd, name):
+    assert QUERIES[name](spark, odd["empty"]).count() == 0
+    got = QUERIES[name](spark, odd["repeated"])
+    n = spark.read.parquet(f"{odd['repeated']}/documents.parquet").count()
+    rows = got.collect()
+    if name in ("pipeline", "op5_topk_search"):
+        assert rows
+    elif name == "op2_pack_documents":
+        assert sum(r.start == 0 for r in rows) == n
+    else:
+        assert len(rows) == n and sum(r.doc_id is None for r in rows) == 2
