@@ -59,6 +59,12 @@ def test_supplier(spark, tmp_path):
     units = supplier_xlsx.units_map(spark, str(tmp_path / "map.txt")), supplier_xlsx.forbidden_units(spark, str(tmp_path / "bad.txt"))
     got = sorted((r.category, r.name, r.unit) for r in supplier_xlsx.deduplicated(supplier_xlsx.unify(rows, *units)).collect())
     assert got == [("Стулья", "Вес", None), ("Стулья", "Длина", "мм")]
+    ids = []
+    for _ in range(2):
+        table = supplier_xlsx.ingest_supplier(spark, str(tmp_path), str(tmp_path / "map.txt"), str(tmp_path / "bad.txt"), str(tmp_path / "supplier"))
+        assert sorted((r.category, r.name, r.unit) for r in table.collect()) == got
+        ids.append(sorted(r.id for r in table.collect()))
+    assert ids[0] == ids[1] and len(set(ids[0])) == 2
     assert [r.name for r in supplier_xlsx.strict_rows(rows, *units).collect()] == ["Длина", "ДЛИНА"]
 
 
