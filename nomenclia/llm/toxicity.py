@@ -7,8 +7,8 @@ Training takes at most ``TRAIN_ROWS`` labelled rows, those of the smallest id
 digests; the trees see three quarters of them, the calibration the rest.
 
 Cases: null and empty texts have all-zero features and a score of their own;
-without usable labels every score is 0; repeated and contradictory labels
-count as rows of their own; features are rates, so a very long text is scored
+without usable labels every score is 0; a document counts once for each value
+that its labels have, however often its row or its labels repeat; features are rates, so a very long text is scored
 as any other; equal texts have equal scores, and 0.5 counts as toxic; an empty
 table gives no rows; extra columns pass through unless they carry a result's
 name.
@@ -190,6 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     chosen = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"), digest.alias("digest")).orderBy("digest", "toxic").limit(rows)
     chosen = spark.createDataFrame(chosen.collect(), chosen.schema)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` narrow rows
+    sample = sample.dropDuplicates(["doc_id", "toxic"])  # ids that repeat add nothing, so the bound holds for texts too
     learned = learn_words(sample.select("toxic", "text"))
     got = featured(sample.select("toxic", "digest", "text"), learned).orderBy("digest").collect()
     y = np.array([r["toxic"] for r in got], float)
