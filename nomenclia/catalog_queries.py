@@ -173,6 +173,35 @@ def phrase_division(spark, d):
     return q.join(p, "stem").groupBy("id", "phrase", "wanted").agg(F.count("*").alias("hits")).where("hits = wanted").select("id", "phrase", "hits")
 
 
+@query(
+    """WITH p AS (SELECT lower(p_name) AS phrase, count(*) AS n FROM part GROUP BY lower(p_name)), w AS (SELECT DISTINCT phrase, n, unnest(string_split(phrase, ' ')) AS stem FROM p),
+    s AS (SELECT *, count(*) OVER (PARTITION BY phrase) AS n_stems FROM w), q AS (SELECT p_partkey AS id, string_split(lower(p_name), ' ')[1] AS stem FROM part),
+    k AS (SELECT id, phrase, row_number() OVER (PARTITION BY id ORDER BY n_stems, n DESC, phrase) AS r FROM q JOIN s USING (stem))
+    SELECT id, phrase FROM k WHERE r = 1"""
+)
+def phrase_best(spark, d):
+    """Of the names that hold the first word of a part's name the one that it covers best."""
+    part = table(spark, d, "part")
+    phrases = index.phrases(part.select(F.col("p_name").alias("name"), F.lit(1).alias("n")), spark.createDataFrame([], "category string, name string, kind string, unit string"))
+    asked = part.select(F.col("p_partkey").alias("id"), F.split(F.lower("p_name"), " ")[0].alias("stem"))
+    return index.find_phrases(asked, index.phrase_stems(phrases), phrases).select("id", "phrase")
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT p_type AS category, lower(p_type) AS l FROM part), t AS (SELECT category, unnest(string_split(l, ' ')) AS stem, generate_subscripts(string_split(l, ' '), 1) - 1 AS place FROM c),
+    n AS (SELECT category, count(DISTINCT stem) AS n FROM t GROUP BY category), q AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(lower(p_type || ' ' || p_name), ' ')) AS stem FROM part),
+    o AS (SELECT id, category, count(DISTINCT place) AS overlap, min(place) AS head FROM q JOIN t USING (stem) GROUP BY id, category),
+    k AS (SELECT id, category, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, n, category) AS r FROM o JOIN n USING (category) WHERE head = 0)
+    SELECT id, category FROM k WHERE r = 1"""
+)
+def category_best(spark, d):
+    """The category with most words of a part's type and name."""
+    part = table(spark, d, "part")
+    words = part.select(F.col("p_type").alias("category")).distinct().select("category", F.posexplode(F.split(F.lower("category"), " ")).alias("place", "stem")).withColumn("root", X.root(F.col("stem")))
+    asked = part.select(F.col("p_partkey").alias("id"), F.explode(F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " ")).alias("stem"))
+    return index.best_category(asked, words)
+
+
 # ------------------------------------------------------------ aggregates
 @query("SELECT p_name, count(*) AS n FROM part GROUP BY p_name")
 def group_count(spark, d):

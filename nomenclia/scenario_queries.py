@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from nomenclia.plans import analysis, response
 from nomenclia.sources import catalog_xml
-from nomenclia.staging import folder
+from nomenclia.staging import folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,6 +144,22 @@ def analyze_specification(spark, d):
     return response.specification(got.where("facts is not null"), known.options).select("id", "name", "value", "status")
 
 
+@query(
+    """SELECT id, 'candidate' AS what, 1 AS place, 'P' || k || '-' || (m + CASE WHEN kind = 'full' AND mm >= 200 THEN 2 ELSE 0 END) AS value FROM d WHERE kind <> 'none' UNION ALL SELECT id, 'candidate', 2, 'P' || k || '-' || (m + 2) FROM d WHERE kind = 'open'
+    UNION ALL SELECT id, 'ok facts', 0, CASE kind WHEN 'full' THEN '2 of 2' ELSE '1 of 1' END FROM d WHERE kind <> 'none'
+    UNION ALL SELECT id, 'message', 0, CASE kind WHEN 'none' THEN 'name_not_found' WHEN 'open' THEN 'need_more_info' ELSE 'resolved' END FROM d"""
+)
+def analyze_outputs(spark, d):
+    """Candidates, counts of facts and messages of the analyses."""
+    got, known = analyzed(spark, d)
+    got = staged(got, "analyses")
+    found = got.where("facts is not null")
+    candidates = response.candidates(found, known.positions).select("id", F.lit("candidate").alias("what"), "place", F.col("code").alias("value"))
+    quality = response.quality(found).select("id", F.lit("ok facts").alias("what"), F.lit(0).alias("place"), F.concat_ws(" of ", F.col("ok").cast("string"), F.col("facts").cast("string")).alias("value"))
+    messages = response.messages(got).select("id", F.lit("message").alias("what"), F.lit(0).alias("place"), F.col("kind").alias("value"))
+    return candidates.unionByName(quality).unionByName(messages)
+
+
 @query("SELECT id, name AS corrected FROM d")
 def typo_corrections(spark, d):
     """Names whose first word lacks its fourth letter where it has six or more."""
