@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nomenclia.llm import mixing, ngram_join, packing, secrets, toxicity
-from nomenclia.llm.common import stage, table
+from nomenclia.llm.common import few, keyed, stage, table
 from nomenclia.llm.queries import vocabulary
 
 
@@ -38,7 +38,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; it learns from the labels of the fold that op4 trains on."""
     labels = table(spark, sf_dir, "labels").where(toxicity.fold() != 0)
     model = toxicity.train(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    # The score is the text's alone, so texts go to Python and their digests come back.
+    texts = keyed(docs.select("text"), "text")
+    toxic = stage(toxicity.score(texts, model, ["__k1", "__k2"]).where("predicted = 1").select("__k1", "__k2").distinct(), "toxic")
+    return keyed(docs, "text").join(few(toxic), ["__k1", "__k2"], "left_anti").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and offset; a smaller memo, as earlier stages' memory is still held."""
-    return packing.pack(packing.pieces(docs.select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), memo=500_000))
+    return packing.pack(packing.pieces(docs.select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), memo=100_000))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

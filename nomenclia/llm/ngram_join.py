@@ -58,7 +58,7 @@ N = 5
 #: Sets with one signature beyond which it is dear.
 POPULAR = 32
 #: Signatures that a task gathers before it deals them out.
-GATHER = 1_000_000
+GATHER = 400_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BAND_MASK = 63
 

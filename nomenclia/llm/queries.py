@@ -33,7 +33,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(toxicity.fold() != 0))
-    return toxicity.score(docs, model).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model, ["doc_id"]).select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ WINDOW = 35
 #: Length of the first level's windows at least.
 SHORTEST = 8
 #: Places that a task gathers before it deals out their sums.
-GATHER = 1_000_000
+GATHER = 500_000
 KEY = ["__k1", "__k2"]
 SPANS = "array<struct<start:int,end:int>>"
 NONE = np.iinfo(np.uint64).max

@@ -205,9 +205,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(learned, trees, isotonic(trees.margin(x[use]), y[use]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) of every whole text and ``predicted`` (score >= 0.5)."""
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or the columns ``keep`` of it, with ``score`` (0 to 1) of every whole text and ``predicted`` (score >= 0.5)."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     arrow = to_arrow_schema(schema)
 
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(arrow.field(c).type) for c in keep), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], schema=arrow)
 
     python_ready(docs.sparkSession)
-    return docs.select(*keep).mapInArrow(rows, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(rows, schema)
 
 
 def fold(column: str = "doc_id", folds: int = 5):
