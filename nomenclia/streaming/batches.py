@@ -2,18 +2,21 @@
 
 A row's key is its upload's path and row number, so a micro-batch that is run
 again after a crash adds nothing: done keys are anti-joined first. The state of
-an upload is the latest of its log.
+an upload is the latest of its log: processing, then done, or error. Rows that
+make the analysis fail are found by halves and become errors of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from nomenclia.sources.csv_lines import MOST_BYTES, read_uploads, valid_input
+from nomenclia.staging import staged
 
 ITEMS = "path string, row_number int, description string, status string, result_status string, code string, candidates int, error string, at timestamp"
 STATES = "path string, status string, total long, error string, at timestamp"
@@ -22,12 +25,28 @@ STATES = "path string, status string, total long, error string, at timestamp"
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception as e:  # the table does not exist before the first batch
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:  # the table does not exist before the first batch
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
+RESULTS = "id long, result_status string, code string, candidates int"
+
+
+def resolved(rows: DataFrame, analyze: Callable[[DataFrame], DataFrame], turn: int = 0) -> DataFrame:
+    """(RESULTS) of ``rows`` (id, text), without those that make ``analyze`` fail; staged."""
+    try:
+        found = analyze(rows).select("id", F.col("status").alias("result_status"), "code", F.size("remaining").alias("candidates"))
+        return staged(found, "results")
+    except PySparkException:
+        if rows.limit(2).count() < 2:
+            return rows.sparkSession.createDataFrame([], RESULTS)
+        half = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2))
+        one, two = (resolved(rows.where(half == k), analyze, turn + 1) for k in (0, 1))
+        return one.unionByName(two)
+
+
 def run_batches(spark: SparkSession, uploads: str, target: str, analyze: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Process what is under ``uploads`` now and stop; run again for what came since.
 
@@ -37,17 +56,21 @@ def run_batches(spark: SparkSession, uploads: str, target: str, analyze: Callabl
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(uploads)
 
     def each(batch: DataFrame, _: int) -> None:
-        rows = read_uploads(batch.where(F.col("length") <= MOST_BYTES))
-        rows.where("error is not null").select("path", F.lit("error").alias("status"), F.lit(0).cast("long").alias("total"), "error", F.current_timestamp().alias("at")).write.mode("append").parquet(f"{target}/states")
+        rows = staged(read_uploads(batch.where(F.col("length") <= MOST_BYTES)), "uploads")
+        now, none = F.current_timestamp().alias("at"), F.lit(None).cast("string").alias("error")
         good = rows.where("error is null")
+        totals = good.groupBy("path").agg(F.count("*").alias("total"))
+        state = lambda name: totals.select("path", F.lit(name).alias("status"), "total", none, now)
+        failed = rows.where("error is not null").select("path", F.lit("error").alias("status"), F.lit(0).cast("long").alias("total"), "error", now)
+        failed.unionByName(state("processing")).write.mode("append").parquet(f"{target}/states")
         todo = good.join(_table(spark, f"{target}/items", ITEMS).select("path", "row_number"), ["path", "row_number"], "left_anti")
-        keyed = todo.withColumn("id", F.xxhash64("path", "row_number"))
-        sound = keyed.where(valid_input(F.col("description")))
-        results = analyze(sound.select("id", F.col("description").alias("text")))
-        done = keyed.join(results.select("id", F.col("status").alias("result_status"), "code", F.size("remaining").alias("candidates")), "id", "left")
+        keyed = staged(todo.withColumn("id", F.xxhash64("path", "row_number")).withColumn("sound", valid_input(F.col("description"))), "rows")
+        results = resolved(keyed.where("sound").select("id", F.col("description").alias("text")), analyze)
+        done = keyed.join(results, "id", "left")
         ok = F.col("result_status").isNotNull()
-        done.select("path", "row_number", "description", F.when(ok, "done").otherwise("error").alias("status"), "result_status", "code", "candidates", F.when(~ok, "invalid description").alias("error"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{target}/items")
-        good.groupBy("path").agg(F.count("*").alias("total")).select("path", F.lit("done").alias("status"), "total", F.lit(None).cast("string").alias("error"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{target}/states")
+        error = F.when(~F.col("sound"), "invalid description").when(~ok, "the analysis failed")
+        done.select("path", "row_number", "description", F.when(ok, "done").otherwise("error").alias("status"), "result_status", "code", "candidates", error.alias("error"), now).write.mode("append").parquet(f"{target}/items")
+        state("done").write.mode("append").parquet(f"{target}/states")
 
     return files.writeStream.foreachBatch(each).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
 

@@ -90,6 +90,18 @@ def test_batches_resume(spark, tmp_path):
     assert batches.unfinished(spark, target).isEmpty()
 
 
+def test_batches_isolate_a_failing_row(spark, tmp_path):
+    uploads, target = tmp_path / "in", str(tmp_path / "out")
+    uploads.mkdir()
+    (uploads / "a.csv").write_text("Описание\nСтул ученический\nМолоток сломанный\nСтол письменный\n", encoding="utf-8")
+    checked = F.when(F.contains("text", F.lit("слом")), F.raise_error(F.lit("broken")).cast("string")).otherwise(F.upper("text"))
+    analyze = lambda df: df.select("id", F.lit("resolved").alias("status"), checked.alias("code"), F.array(F.lit("x")).alias("remaining"))
+    batches.run_batches(spark, str(uploads), target, analyze).awaitTermination()
+    assert [(r.row_number, r.status, r.code, r.error) for r in batches.batch_items(spark, target).collect()] == [(1, "done", "СТУЛ УЧЕНИЧЕСКИЙ", None), (2, "error", None, "the analysis failed"), (3, "done", "СТОЛ ПИСЬМЕННЫЙ", None)]
+    assert [r.status for r in batches.batch_status(spark, target).collect()] == ["done"]
+    assert {r.status for r in spark.read.parquet(f"{target}/states").collect()} == {"processing", "done"}
+
+
 def test_legacy(spark, tmp_path):
     from nomenclia.sources import legacy
 
