@@ -27,7 +27,11 @@ def name_filter(names: DataFrame, targets: DataFrame, mode: str = "exact") -> Da
     if mode == "exact":
         return keyed.join(wanted, F.col("__n") == F.col("__t"), "left_semi").drop("__n")
     if mode == "contains":
-        return keyed.join(wanted, F.contains("__n", "__t"), "left_semi").drop("__n")
+        # A name that contains a target has the target's first three characters (or all of a shorter one).
+        grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("__n") - n + 1), lambda k: F.substring(F.col("__n"), k, F.lit(n)))
+        held = F.array_distinct(F.concat(*[F.when(F.length("__n") >= n, grams(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+        near = keyed.select("__n").distinct().select("__n", F.explode(held).alias("__g")).join(wanted.withColumn("__g", F.substring("__t", 1, 3)), "__g")
+        return keyed.join(near.where(F.contains("__n", "__t")).select("__n").distinct(), "__n", "left_semi").drop("__n")
     raise ValueError(f"unknown mode {mode}")
 
 
