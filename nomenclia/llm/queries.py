@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomenclia.llm import lm, mixing, ngram_join, ogg, packing, records, secrets, substring, topk, toxicity
+from nomenclia.llm import exact_dedup, filter_audit, lm, mixing, ngram_join, ogg, packing, records, secrets, substring, topk, toxicity
 from nomenclia.llm.common import n_words, stage, staging_path, table
 
 
@@ -66,6 +66,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.spans_text(F.col("base_spans")), 256).alias("base_sha256"), secrets.spans_text(F.col("all_spans")).alias("spans"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = filter_audit.masks(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return filter_audit.audit(filter_audit.counters(failed, table(spark, sf_dir, "labels")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +93,8 @@ QUERIES = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_token_records": op9_token_records,
     "op10_secret_scan": op10_secret_scan,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 OP5_SQL = """
 WITH v AS (
@@ -131,4 +142,51 @@ f AS (
 SELECT doc_id, size, source_size, target, taken, round(position, 9) AS position, round(repeat_position, 9) AS repeat_position FROM f
 """
 
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op5_topk_search": OP5_SQL}
+OP11_SQL = """
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM t),
+m AS (
+  SELECT doc_id, part,
+    CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM w
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask
+), f(letter, own) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.own, b.own, c.own, d.own, e.own] AS owns
+  FROM f a, f b, f c, f d, f e WHERE a.own + b.own + c.own + d.own + e.own = 31 AND a.own | b.own | c.own | d.own | e.own = 31
+), s AS (SELECT filter_order, step, owns[step] AS own, coalesce(list_sum(owns[1:step - 1]), 0)::INTEGER AS before FROM o, range(1, 6) r(step)),
+g AS (
+  SELECT c.part, s.filter_order, CAST(s.step AS INTEGER) AS step, s.own,
+    sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & before <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY c.part, s.filter_order, s.step, s.own
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM g
+"""
+
+OP13_SQL = """
+WITH t AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm, len(coalesce(text, '')) AS size FROM documents
+), g AS (
+  SELECT doc_id, sha256(norm) AS text_sha256, count(*) OVER (PARTITION BY norm) AS group_size,
+    first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place
+  FROM t WINDOW w AS (PARTITION BY norm ORDER BY size DESC, doc_id NULLS LAST)
+)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g
+"""
+
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op5_topk_search": OP5_SQL, "op11_filter_audit": OP11_SQL, "op13_exact_dedup": OP13_SQL}
