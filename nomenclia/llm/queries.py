@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomenclia.llm import exact_dedup, filter_audit, lm, mixing, ngram_join, ogg, packing, records, secrets, substring, topk, toxicity
+from nomenclia.llm import exact_dedup, filter_audit, lm, mixing, ngram_join, ogg, packing, records, secrets, substring, topk, toxicity, variants
 from nomenclia.llm.common import n_words, stage, staging_path, table
 
 
@@ -71,6 +71,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.counters(failed, table(spark, sf_dir, "labels")))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.forms(variants.words(table(spark, sf_dir, "documents").select("doc_id", "text"), variants.one_lost))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -94,6 +98,7 @@ QUERIES = {
     "op9_token_records": op9_token_records,
     "op10_secret_scan": op10_secret_scan,
     "op11_filter_audit": op11_filter_audit,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_exact_dedup": op13_exact_dedup,
 }
 OP5_SQL = """
@@ -178,6 +183,40 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM g
 """
 
+#: Near words are joined by the word with one place left out: the same place in both, or the whole of the shorter word.
+OP12_SQL = """
+WITH RECURSIVE tab AS (
+  SELECT list(v ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))) AS v FROM range(256) r(i))
+), r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run
+  FROM documents
+), c AS (SELECT d, run, count(*) AS n FROM r WHERE len(run) >= 5 GROUP BY d, run),
+b AS (SELECT *, hex(d || ':' || run) AS bytes FROM c),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(len(bytes) // 2), lambda k: ('0x' || substr(bytes, 2 * k + 1, 2))::BIGINT)),
+    lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1]))) AS h
+  FROM b, tab
+), w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % len(run))::BIGINT) || substr(run, (h % len(run))::BIGINT + 2) ELSE run END AS word FROM h
+  ) WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), p AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM w)),
+e AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM p x JOIN p y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT p.word, w.word, w.n FROM p JOIN w ON w.word = p.rest
+  UNION SELECT w.word, p.word, p.n FROM p JOIN w ON w.word = p.rest
+), f AS (
+  SELECT w.word, w.n, coalesce(q.n_near, 0) AS n_near, CASE WHEN q.near_n >= 2 * w.n THEN q.near END AS form, CASE WHEN q.near_n >= 2 * w.n THEN q.near_n END AS form_n
+  FROM w LEFT JOIN (
+    SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM e
+  ) q ON q.word = w.word AND q.place = 1
+), walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN walk ON walk.word = f.word JOIN f e ON e.word = walk.at WHERE e.form IS NULL
+"""
+
 OP13_SQL = """
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm, len(coalesce(text, '')) AS size FROM documents
@@ -189,4 +228,4 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g
 """
 
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op5_topk_search": OP5_SQL, "op11_filter_audit": OP11_SQL, "op13_exact_dedup": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op5_topk_search": OP5_SQL, "op11_filter_audit": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_exact_dedup": OP13_SQL}

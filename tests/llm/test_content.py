@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import sys
+import zlib
 from collections import Counter
 from itertools import permutations
 from pathlib import Path
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from nomenclia.llm import exact_dedup, filter_audit
+from nomenclia.llm import exact_dedup, filter_audit, variants
 from nomenclia.llm.common import settings
 
 #: Partitions as small as possible, so that runs are cut.
@@ -96,6 +98,78 @@ def test_filter_audit(spark, rows, conf):
     assert got == plain_audit(rows, labels)
 
 
+def plain_words(docs):
+    found = Counter()
+    for k, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if k is None else k}:{run}".encode())
+            at = h % len(run)
+            found[run if h % 97 else run[:at] + run[at + 1 :]] += 1
+    return {w: n for w, n in found.items() if len(w) >= 5 and n >= 3}
+
+
+def one_edit(a, b):
+    a, b = sorted((a, b), key=len)
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def plain_forms(n):
+    near = {w: [v for v in n if one_edit(v, w)] for w in n}
+    best = {w: min(vs, key=lambda v: (-n[v], v)) for w, vs in near.items() if vs}
+    form = {w: v for w, v in best.items() if n[v] >= 2 * n[w]}
+    out = {}
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out[w] = (form.get(w), root, n[w], len(near[w]), n.get(form.get(w)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def spellings():
+    """Words with edits of each kind at each end, letters of two bytes, a very long one, and many that share all but their end or start."""
+    r = random.Random(8)
+    letters = "abcdefghij" + "éÀÿ×"
+    base = ["".join(r.choice(letters) for _ in range(r.randint(5, 9))) for _ in range(25)] + ["aaaaa", "aaaaaa", "aaaaaaa", "abababab", "x" * 200]
+    some = []
+    for w in base:
+        some += [w] * r.randint(1, 40)
+        for _ in range(6):
+            k, c = r.randrange(len(w) + 1), r.choice(letters)
+            some += [r.choice((w[:k] + c + w[k:], w[: k - 1] + w[k:] if k else w, w[:k] + c + w[k + 1 :]))] * r.randint(1, 12)
+    some += ["shared" + "".join(r.choice("abc") for _ in range(4)) for _ in range(300)] + ["".join(r.choice("abc") for _ in range(4)) + "shared" for _ in range(300)]
+    some = [w.upper() if r.random() < 0.1 and w.isascii() else w for w in some]
+    r.shuffle(some)
+    docs = [(k, " ".join(some[k::97]) + "; 1234 four") for k in range(97)]
+    return docs + [(None, docs[0][1]), (5, docs[5][1]), (200, None), (201, ""), (202, "..., -")]
+
+
+@pytest.mark.parametrize("dear", [variants.DEAR, 30])
+def test_spelling_variants(spark, spellings, dear):
+    docs = spark.createDataFrame(spellings, "doc_id long, text string").withColumns({"word": F.lit(1), "run": F.lit("x"), "n": F.lit("y")})
+    counted = variants.words(docs, variants.one_lost)
+    n = {x.word: x.n for x in counted.collect()}
+    assert n == plain_words(spellings) and len(n) > 150
+    pairs = variants.near_pairs(counted, dear).collect()
+    assert len({frozenset((x.word, x.near)) for x in pairs}) == len(pairs)
+    assert {frozenset((x.word, x.near)) for x in pairs} == {frozenset((v, w)) for v in n for w in n if v < w and one_edit(v, w)}
+    if dear == variants.DEAR:
+        got = variants.forms(counted).collect()
+        assert {x.word: tuple(x)[1:] for x in got} == plain_forms(n) and len(got) == len(n)
+        assert any(x.form not in (None, x.root) for x in got)
+
+
+def test_large_groups_are_parted(spark):
+    """Words that share their first half are not paired within it."""
+    words = ["prefix" + a + b + c + d for a in "abcdef" for b in "abcdef" for c in "abcdef" for d in "abcdef"]
+    counted = spark.createDataFrame([(w, 3) for w in words], "word string, n long")
+    assert variants.near_pairs(counted, 200).count() == len(words) * 20 // 2
+
+
 def test_runs_of_one_partition_and_many(spark):
     """A group of identical rows is cut over partitions, and so is a text longer than a splitter."""
     long = "long opening " * 200

@@ -156,7 +156,7 @@ def test_odd_tables(spark, odd, name):
     got = QUERIES[name](spark, odd["repeated"])
     n = spark.read.parquet(f"{odd['repeated']}/documents.parquet").count()
     rows = got.collect()
-    if name in ("pipeline", "op5_topk_search"):
+    if name in ("pipeline", "op5_topk_search", "op12_spelling_variants"):
         assert rows
     elif name == "op11_filter_audit":
         parts = {r.source or "" for r in spark.read.parquet(f"{odd['repeated']}/documents.parquet").collect()}
