@@ -441,26 +441,51 @@ def dimension(unit: Column) -> Column:
     return _lookup({k: u.dimension for k, u in UNITS.items()}, unit)
 
 
+def factor(unit: Column) -> Column:
+    return _lookup({k: u.factor for k, u in UNITS.items()}, unit)
+
+
+def symbol(unit: Column) -> Column:
+    return _lookup({k: u.symbol for k, u in UNITS.items()}, unit)
+
+
 def convert(value: Column, source: Column, target: Column) -> Column:
     """``value`` in another unit, null if the dimensions differ."""
-    factor = lambda u: _lookup({k: x.factor for k, x in UNITS.items()}, u)
     return F.when(dimension(source) == dimension(target), value * factor(source) / factor(target))
 
 
+def spellings(pattern: str) -> set[str]:
+    """What a spelling's pattern stands for, without spaces and dots: each choice of its groups and classes."""
+    text = pattern.replace(r"\s", " ")
+    inner = re.search(r"\(\?:([^()]*)\)(\??)|\[([^]]*)\](\??)", text)
+    if inner is None:
+        return {re.sub(r"\\.\??| [?+*]?", "", text)}
+    choices = list(inner[3]) if inner[1] is None else inner[1].split("|")
+    if inner[2] or inner[4]:
+        choices.append("")
+    return set().union(*(spellings(text[: inner.start()] + c + text[inner.end() :]) for c in choices))
+
+
+#: Unit and weakness by spelling without spaces and dots.
+SPELT = {s: (key, weak) for pattern, key, weak in reversed(ALIASES) for s in spellings(pattern)}
+#: One alternation of all spellings, the longer first; nothing that would make a word of it may follow.
+SPELLING = rf"(?:{'|'.join(sorted((a[0] for a in ALIASES), key=lambda p: (-max(map(len, spellings(p))), p)))})(?![a-zа-я0-9])"
+
+
+def unit_of(spelling: Column) -> Column:
+    """Key of the unit that a text matched by ``SPELLING`` stands for, else null."""
+    return _lookup({s: key for s, (key, _) in SPELT.items()}, F.regexp_replace(F.lower(spelling), r"[\s.]", ""))
+
+
+def is_weak(spelling: Column) -> Column:
+    """Whether a unit's spelling is a letter that may well be none."""
+    return F.regexp_replace(F.lower(spelling), r"[\s.]", "").isin(*[s for s, (_, weak) in SPELT.items() if weak])
+
+
 def unit_after(text: Column) -> Column:
-    """(unit, weak, length) of the longest spelling at the start of ``text``, after one space at most; null if none.
-
-    Spellings are grouped by unit, so that one alternation a unit is tried.
-    """
-    by_unit: dict[tuple[str, bool], list[str]] = {}
-    for pattern, key, weak in ALIASES:
-        by_unit.setdefault((key, weak), []).append(pattern)
-    tried = []
-    for (key, weak), patterns in by_unit.items():
-        hit = F.regexp_extract(text, rf"(?iu)^ ?(?:{'|'.join(sorted(patterns, key=len, reverse=True))})(?![a-zа-я0-9])", 0)
-        tried.append(F.struct(F.length(hit).alias("length"), F.lit(key).alias("unit"), F.lit(weak).alias("weak")))
-    best = F.array_max(F.array(*tried))
-    return F.when(best["length"] > 0, best)
+    """(unit, weak, length) of the longest spelling at the start of ``text``, after one space at most; null if none."""
+    hit = F.regexp_extract(text, f"(?iu)^ ?{SPELLING}", 0)
+    return F.when(hit != "", F.struct(unit_of(hit).alias("unit"), is_weak(hit).alias("weak"), F.length(hit).alias("length")))
 
 
 # ------------------------------------------------------------- kernel twins
