@@ -52,8 +52,9 @@ def pieces(spans: DataFrame, rank: Column) -> DataFrame:
     ends = sound.select("id", F.explode(F.array("start", "end")).alias("start")).distinct()
     by = Window.partitionBy("id").orderBy("start")
     between = ends.withColumn("end", F.lead("start").over(by)).where("end is not null")
-    # A piece lies within one block of each level that has any of its characters, so its first one tells.
-    asked = between.select("id", "start", "end", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda k: F.floor(F.col("start") / F.pow(F.lit(2.0), k)).cast("long"))).alias("level", "block"))
+    # A piece lies within one block of each level that has any of its characters, so its first one tells; only levels that the text's spans have are asked.
+    levels = held.groupBy("id").agg(F.collect_set("level").alias("levels"))
+    asked = between.join(levels, "id").select("id", "start", "end", F.explode("levels").alias("level")).withColumn("block", F.floor(F.col("start") / F.pow(F.lit(2.0), F.col("level"))).cast("long"))
     shown = asked.join(held, ["id", "level", "block"]).groupBy("id", "start", "end").agg(F.min("show").alias("show"))
     shown_as = F.struct("show.span", "show.kind")
     new = F.coalesce((F.lag("end").over(by) != F.col("start")) | (F.lag(shown_as).over(by) != shown_as), F.lit(True))

@@ -1,8 +1,10 @@
 """Descriptions to catalogue codes: the whole plan, set at a time.
 
-Every step up to the choice of names is joins and folds; one grouped kernel
-binds facts to characteristics document by document; narrowing, status and
-next questions are built-in expressions again.
+Every step up to the choice of names is joins and folds. Descriptions with the
+same names share a pool of positions: one kernel call binds the words of many of
+them to the pool's characteristics, and what they claim is judged by joins, each
+distinct claim once a pool. Narrowing, status and next questions are built-in
+expressions again.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nomenclia.functions import numbers as N
 from nomenclia.functions import similarity
 from nomenclia.functions import text as X
 from nomenclia.functions import units as U
-from nomenclia.operators import index, kernel, match, narrow, spelling
+from nomenclia.operators import index, kernel, match, narrow, offers, spelling
 from nomenclia.shipping import ship
 from nomenclia.staging import staged
 
@@ -103,81 +106,169 @@ def name_matches(docs: DataFrame, idx: Index, catalog: Catalog) -> tuple[DataFra
     return scores, staged(match.choose_groups(scores, match.rerank(short, long_words, numbers, explained, dimensions)), "chosen")
 
 
-def _kernel(docs: pd.DataFrame, options: pd.DataFrame) -> pd.DataFrame:
-    columns = [c.split()[0] for c in FACTS.split(", ")]
-    if docs.empty:
-        return pd.DataFrame(columns=columns)
-    d = docs.iloc[0]
-    rows = options.astype(object).where(options.notna(), None).to_dict("records")
-    schema = kernel.Schema(rows)
-    weights = dict(d["weights"]) if d["weights"] is not None else {}
-    other = math.log(max(1, int(d["n_phrases"])) + 1) + 1.0
-    phrases = [(p["phrase"], p["source"], bool(p["is_flag"]), list(p["stems"]), int(p["n"])) for p in (d["phrases"] if d["phrases"] is not None else ())]
-
-    def find(stems: list[str]):
-        content = list(dict.fromkeys(s for s in stems if s not in X.STOPWORDS and len(s) > 1))
-        fits = [p for p in phrases if content and set(content) <= set(p[3])]
-        best = min(fits, key=lambda p: (-len(content) / len(p[3]), p[1] != "catalogue", -p[4], p[0]), default=None)
-        return best and best[:4]
-
-    text = X.plain_text(d["text"])
-    name_stems = set(d["name_stems"])
-    content = [i for i, t in enumerate(X.plain_tokens(text)) if t.content]
-    name_tokens = {content[k] for k in d["evidence"] if k < len(content)}
-    run = kernel.Extraction(text, schema, name_tokens, name_stems, lambda s: weights.get(s, other), find)
-    facts = run.run()
-    by_name = {c.key: c for c in schema.chars.values()}
-    excluded = {X.plain_phrase(x) for x in (d["excluded"] if d["excluded"] is not None else ())}
-    given, before = {}, {f.key: f for f in facts if f.key}
-    for o in d["overrides"] if d["overrides"] is not None else ():
-        name = X.plain_phrase(o["name"])
-        near = name if name in by_name else (kernel.best_matches(name, sorted(by_name), 1, 92.0) or [(None, 0)])[0][0]
-        given[near or name] = (near, o["name"], o["value"])
-    facts = [f for f in facts if f.key not in given and X.plain_phrase(f.name) not in excluded]
-    for near, name, value in given.values():
-        if near:
-            fact = kernel.user_fact(by_name[near], value)
-            if near in before:
-                fact.start, fact.end = before[near].start, before[near].end
-        else:
-            known = find([t.stem for t in X.plain_tokens(X.plain_text(name)) if t.kind == "word"])
-            fact = kernel.given_fact(name, value, known)
-            facts = [f for f in facts if X.plain_phrase(f.name) != X.plain_phrase(fact.name)]
-        facts.append(fact)
-    free = sorted({t.stem for i, t in enumerate(run.tokens) if i not in run.taken and t.content and len(t.norm) > 2} - name_stems)
-    out = [
-        (d["id"], n, f.key, f.name, f.source, f.status, f.value_kind, f.value_text, f.normalized, f.unit, f.matched, f.confidence, f.start, f.end, sorted(f.accepted), sorted(f.has), f.notes, f.suggestions, f.alternatives, free)
-        for n, f in enumerate(facts)
-    ]
-    out.append((d["id"], -1, None, None, None, None, None, None, None, None, None, None, None, None, [], [], [], [], [], free))
+#: What the kernel gives: claims of a text, and a row -1 with the stems that nothing took.
+CLAIMS = (
+    "id long, pool string, ord int, key string, name string, source string, status string, judge string, value_kind string, value_text string, normalized string, unit string, "
+    "number double, low double, high double, confidence double, start int, end int, notes array<string>, alternatives array<string>, free_stems array<string>"
+)
+#: Descriptions of a pool that one task takes.
+TOGETHER = 5000
+#: Likeness from which a name that a user gives stands for a characteristic.
+SAME_NAME = 92.0
+
+
+def _kernel(docs: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
+    """Claims of the descriptions of a pool."""
+    columns = [c.split()[0] for c in CLAIMS.split(", ")]
+    listed = lambda x: () if x is None else x
+    row = None if pool.empty else pool.iloc[0]
+    schema = kernel.Schema(() if row is None else row["chars"])
+    weights = {} if row is None else {w["stem"]: w["weight"] for w in listed(row["weights"])}
+    out = []
+    for d in docs.to_dict("records"):
+        other = math.log(max(1, int(d["n_phrases"])) + 1) + 1.0
+        phrases = [(p["phrase"], p["source"], bool(p["is_flag"]), list(p["stems"]), int(p["n"])) for p in listed(d["phrases"])]
+
+        def find(stems: list[str], phrases=phrases):
+            content = list(dict.fromkeys(s for s in stems if s not in X.STOPWORDS and len(s) > 1))
+            fits = [p for p in phrases if content and set(content) <= set(p[3])]
+            best = min(fits, key=lambda p: (-len(content) / len(p[3]), p[1] != "catalogue", -p[4], p[0]), default=None)
+            return best and best[:4]
+
+        text, name_stems = X.plain_text(d["text"]), set(d["name_stems"])
+        content = [i for i, t in enumerate(X.plain_tokens(text)) if t.content]
+        name_tokens = {content[k] for k in d["evidence"] if k < len(content)}
+        run = kernel.Extraction(text, schema, d["numbers"], name_tokens, name_stems, lambda s, other=other: weights.get(s, other), find)
+        facts = run.run()
+        free = sorted({t.stem for i, t in enumerate(run.tokens) if i not in run.taken and t.content and len(t.norm) > 2} - name_stems)
+        for n, f in enumerate(facts):
+            out.append((d["id"], d["pool"], n, f.key, f.name, f.source, f.status, f.judge, f.value_kind, f.value_text, f.normalized, f.unit, f.number, f.low, f.high, f.confidence, f.start, f.end, f.notes, f.alternatives, free))
+        out.append((d["id"], d["pool"], -1, *[None] * 15, [], [], free))
     return pd.DataFrame(out, columns=columns).astype({"start": "Int32", "end": "Int32", "ord": "int32"})
 
 
+def pools(chosen: DataFrame) -> DataFrame:
+    """(id, pool): descriptions with the same chosen names share a pool of positions, known by the names."""
+    return chosen.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("norm")), "\n").alias("pool"))
+
+
+def pool_positions(of: DataFrame, catalog: Catalog) -> DataFrame:
+    """(pool, norm, positions' columns) of ``pools``: the positions of the names, the first DETAILED, templates last."""
+    named = catalog.positions.withColumn("norm", X.normalize_phrase(F.col("name")))
+    names = of.select("pool").distinct().select("pool", F.explode(F.split("pool", "\n")).alias("norm"))
+    place = F.row_number().over(Window.partitionBy("pool").orderBy("is_template", "code"))
+    return names.join(named, "norm").withColumn("__place", place).where(F.col("__place") <= DETAILED).drop("__place")
+
+
 def extract(docs: DataFrame, chosen: DataFrame, scores: DataFrame, idx: Index, catalog: Catalog) -> DataFrame:
     """Facts of ``docs`` (id, text, overrides, excluded) given their chosen groups; row -1 of each holds its free stems."""
     ship(docs.sparkSession)
-    candidates = _candidates(chosen, catalog)
-    options = candidates.select("id", "code").join(catalog.options.select(*OPTION_COLUMNS), "code")
-    groups = chosen.join(idx.postings.select("norm", "stem"), "norm").groupBy("id").agg(F.collect_set("stem").alias("name_stems"))
+    of = staged(pools(chosen), "pools")
+    options = pool_positions(of, catalog).select("pool", "code").join(catalog.options.select(*OPTION_COLUMNS), "code")
+    positions = staged(offers.by_position(options), "positions")
+    offered = staged(offers.offers(positions), "offers")
+    chars = staged(offers.characteristics(positions, offered), "characteristics")
+    claims = staged(_claims(docs, of, chosen, scores, idx, chars), "claims")
+    given = _given(docs, of, chars, idx)
+    return _judged(docs, claims, given, offered, chars)
+
+
+def _claims(docs: DataFrame, of: DataFrame, chosen: DataFrame, scores: DataFrame, idx: Index, chars: DataFrame) -> DataFrame:
+    """(CLAIMS) of the texts: the kernel over descriptions grouped by pool, large pools in parts."""
+    names = of.select("pool").distinct().select("pool", F.explode(F.split("pool", "\n")).alias("norm"))
+    groups = names.join(idx.postings.select("norm", "stem"), "norm").groupBy("pool").agg(F.collect_set("stem").alias("name_stems"))
     evidence = chosen.where("place = 1").join(scores.select("id", "norm", "evidence"), ["id", "norm"]).select("id", "evidence")
-    # Words of the text, and of the names that the user has given values for.
-    names = docs.select("id", F.explode(X.words_of(F.concat_ws(" ", F.transform("overrides", lambda o: o["name"])))).alias("word")).select("id", X.word_stem(F.col("word")).alias("stem"))
-    stems = match.description_stems(docs).select("id", "stem").unionByName(names).distinct()
+    stems = match.description_stems(docs).select("id", "stem").distinct()
     known = idx.phrase_stems.groupBy("phrase", "source").agg(F.collect_set("stem").alias("stems")).join(idx.phrases.select("phrase", "source", "is_flag", "n"), ["phrase", "source"])
     near = stems.join(idx.phrase_stems.select("stem", "phrase", "source"), "stem").select("id", "phrase", "source").distinct().join(known, ["phrase", "source"])
     phrases = near.groupBy("id").agg(F.collect_list(F.struct("phrase", "source", "is_flag", "n", "stems")).alias("phrases"))
-    char_stems = options.select("id", "char").distinct().select("id", F.explode(X.words_of(F.col("char"))).alias("word")).withColumn("stem", X.word_stem(F.col("word"))).select("id", "stem").distinct()
-    weights = char_stems.join(idx.char_weights, "stem").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("stem", "weight"))).alias("weights"))
+    char_stems = chars.select("pool", F.explode(X.words_of(F.col("name"))).alias("word")).withColumn("stem", X.word_stem(F.col("word"))).select("pool", "stem").distinct()
+    weights = char_stems.join(idx.char_weights, "stem").groupBy("pool").agg(F.collect_list(F.struct("stem", "weight")).alias("weights"))
+    whole = chars.groupBy("pool").agg(F.collect_list(F.struct("key", "name", "numeric", "single", "boolean", "all", "labels", "units", "discrimination")).alias("chars")).join(weights, "pool", "left")
+    parts = of.groupBy("pool").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
     size = idx.phrases.where("source = 'catalogue'").agg(F.count("*").alias("n_phrases"))
-    left = docs.join(groups, "id").join(evidence, "id").join(phrases, "id", "left").join(weights, "id", "left").crossJoin(F.broadcast(size))
-    return left.groupBy("id").cogroup(options.withColumnRenamed("id", "doc").groupBy("doc")).applyInPandas(_kernel, FACTS)
+    left = docs.select("id", "text", N.numbers_of(X.normalize_text(F.col("text"))).alias("numbers")).join(of, "id").join(groups, "pool").join(evidence, "id").join(phrases, "id", "left").crossJoin(F.broadcast(size))
+    left = left.join(parts, "pool").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    right = whole.join(parts, "pool").select(F.col("pool").alias("of"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of_part"), "chars", "weights")
+    return left.groupBy("pool", "part").cogroup(right.groupBy("of", "of_part")).applyInPandas(_kernel, CLAIMS)
+
+
+def _given(docs: DataFrame, of: DataFrame, chars: DataFrame, idx: Index) -> DataFrame:
+    """Claims of what users gave: by characteristic where the name stands for one, else as what else has the name; the last of a name counts."""
+    each = docs.select("id", F.posexplode("overrides").alias("place", "o")).select("id", "place", F.col("o.name").alias("name"), F.col("o.value").alias("value")).join(of, "id")
+    each = each.join(offers.nearest_names(each.select("pool", "name"), chars, SAME_NAME), ["pool", "name"], "left")
+    last = F.row_number().over(Window.partitionBy("id", F.coalesce("key", X.normalize_phrase(F.col("name")))).orderBy(F.desc("place")))
+    each = each.withColumn("last", last).where("last = 1").drop("last")
+    # What else has a name: the phrase of the catalogue or of suppliers that holds all its stems.
+    stems = each.where("key is null").select("id", "place", F.explode(X.words_of(F.col("name"))).alias("word")).select(F.struct("id", "place").alias("id"), X.word_stem(F.col("word")).alias("stem"))
+    found = index.find_phrases(stems, idx.phrase_stems, idx.phrases).select("id.id", "id.place", "phrase", F.col("source").alias("of"))
+    met = each.join(found, ["id", "place"], "left").join(chars.select("pool", "key", F.col("name").alias("title"), "numeric", "boolean"), ["pool", "key"], "left")
+    met = met.withColumn("n", F.when(F.col("numeric"), F.get(N.numbers_of(X.normalize_text(F.col("value"))), F.lit(0))))
+    kind, known = F.col("n.kind"), F.col("key").isNotNull()
+    number = F.when(kind == "dims", F.col("n.dims")[0]).when(kind == "number", F.col("n.value"))
+    status = F.when(F.col("of") == "supplier", "supplier_only").when(F.col("of").isNotNull(), "other_catalogue").otherwise("unrecognized")
+    none = F.array().cast("array<string>")
+    return met.select(
+        "id", "pool", (F.col("place") + 10_000).cast("int").alias("ord"), "key", F.when(known, F.col("title")).otherwise(F.coalesce("phrase", "name")).alias("name"), F.lit("user").alias("source"),
+        F.when(~known, status).alias("status"), F.when(~known, "").when(kind.isNotNull(), kernel.NUMBER).otherwise(kernel.TEXT).alias("judge"),
+        F.when(~known, "none").when(number.isNotNull(), "number").when(kind.isNotNull(), "interval").when(F.col("boolean"), "boolean").otherwise("quality").alias("value_kind"),
+        F.col("value").alias("value_text"), F.col("value").alias("normalized"), F.col("n.unit").alias("unit"), number.alias("number"), F.when(number.isNull(), F.col("n.low")).alias("low"), F.when(number.isNull(), F.col("n.high")).alias("high"),
+        F.lit(1.0).alias("confidence"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), none.alias("notes"), none.alias("alternatives"), none.alias("free_stems"),
+    )
+
+
+def _judged(docs: DataFrame, claims: DataFrame, given: DataFrame, offered: DataFrame, chars: DataFrame) -> DataFrame:
+    """(FACTS): claims of texts that no user's value replaces and none leaves out, then those of users, all judged."""
+    given = staged(given, "given")
+    title = X.normalize_phrase(F.col("name"))
+    texts = claims.where("ord >= 0").withColumn("title", title)
+    replaced = given.select("id", F.coalesce("key", F.lit("")).alias("key"), F.when(F.col("key").isNull(), title).alias("title"))
+    out = docs.select("id", F.explode("excluded").alias("x")).select("id", X.normalize_phrase(F.col("x")).alias("title"))
+    kept = texts.join(replaced.where("key <> ''").select("id", "key"), ["id", "key"], "left_anti").join(replaced.where("title is not null").select("id", "title").unionByName(out), ["id", "title"], "left_anti").drop("title")
+    places = texts.where("key is not null").groupBy("id", "key").agg(F.max_by(F.struct("start", "end"), "ord").alias("place"))
+    users = given.join(places, ["id", "key"], "left").withColumns({"start": F.col("place.start"), "end": F.col("place.end")}).drop("place")
+    whole = staged(kept.unionByName(users), "said")
+
+    # Words that may be a label become one, or stay what they are.
+    claim = lambda *columns: F.to_json(F.struct(*columns))
+    words = whole.where(F.col("judge") == kernel.TEXT).select("pool", "key", F.col("value_text").alias("text")).distinct().withColumn("claim", claim("pool", "key", "text"))
+    near = staged(offers.nearest_labels(words, chars), "labels").select("claim", F.col("label").alias("near_label"), "hints")
+    is_text, user = F.col("judge") == kernel.TEXT, F.col("source") == "user"
+    met = whole.withColumn("claim", F.when(is_text, claim("pool", "key", F.col("value_text").alias("text")))).join(near, "claim", "left").drop("claim")
+    found = is_text & F.col("near_label").isNotNull()
+    met = met.withColumns({"normalized": F.when(found, F.col("near_label")).otherwise(F.col("normalized")), "confidence": F.when(found & ~user, 0.75).otherwise(F.col("confidence")), "label": F.when((F.col("judge") == kernel.LABEL) | found, F.when(found, F.col("near_label")).otherwise(F.col("normalized")))})
+    # A label that words before it already stood for is no second value.
+    said_before = F.max(found.cast("int")).over(Window.partitionBy("id", "key", "normalized").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    met = met.withColumn("again", F.coalesce(said_before, F.lit(0))).where((F.col("again") == 0) | (F.col("judge") != kernel.LABEL)).drop("again", "near_label")
+
+    numbers = met.where(F.col("judge") == kernel.NUMBER).select("pool", "key", "number", "low", "high", "unit", F.col("value_text").alias("said")).distinct()
+    numbers = numbers.withColumn("claim", claim("pool", "key", "number", "low", "high", "unit", "said"))
+    labels = met.where("label is not null").select("pool", "key", "label").distinct().withColumn("claim", claim("pool", "key", "label"))
+    judged = staged(offers.check_numbers(numbers, offered, chars).unionByName(offers.check_labels(labels, offered, chars)), "judged")
+    asked = F.when(F.col("judge") == kernel.NUMBER, claim("pool", "key", "number", "low", "high", "unit", F.col("value_text").alias("said"))).when(F.col("label").isNotNull(), claim("pool", "key", "label"))
+    result = judged.select("claim", F.struct(*offers.RESULT).alias("r"))
+    rows = met.withColumn("claim", asked).join(result, "claim", "left").join(chars.select("pool", "key", "all", "codes", (F.size("labels") > 0).alias("labelled"), F.col("numeric").alias("counts")), ["pool", "key"], "left")
+    none = F.array().cast("array<string>")
+    lost, r = is_text & F.col("label").isNull(), F.col("r")
+    open_ = lost & user & ~F.col("labelled") & ~F.col("counts")
+    status = F.coalesce(r["status"], F.when(open_, "no_constraints").when(lost, "invalid"), F.col("status"))
+    hints = F.when(lost & (F.size("hints") > 0), F.col("hints")).when((lost & ~open_) | (status == "no_value"), offers.suggested(F.col("all")))
+    facts = rows.select(
+        "id", F.row_number().over(Window.partitionBy("id").orderBy("ord")).alias("ord"), "key", "name", "source", status.alias("status"), "value_kind", "value_text",
+        F.coalesce(r["normalized"], "normalized").alias("normalized"), F.coalesce(r["unit"], U.symbol(F.col("unit")), F.lit("")).alias("unit"), r["matched"].alias("matched"), "confidence", "start", "end",
+        F.coalesce(r["accepted"], F.when(open_, F.col("codes")), none).alias("accepted"), F.coalesce(r["has"], "codes", none).alias("has"), F.concat("notes", F.coalesce(r["notes"], none)).alias("notes"),
+        F.coalesce(r["suggestions"], hints, none).alias("suggestions"), "alternatives",
+    )
+    facts = facts.withColumn("ord", F.col("ord") - 1)
+    free = claims.where("ord = -1").select("id", "free_stems")
+    ends = free.select("id", F.lit(-1).alias("ord"), "free_stems")
+    return facts.join(free, "id").unionByName(ends, allowMissingColumns=True).select(*[c.split()[0] for c in FACTS.split(", ")])
 
 
 def _candidates(chosen: DataFrame, catalog: Catalog) -> DataFrame:
     """The positions of the chosen names, the first DETAILED of a description, templates last."""
-    named = catalog.positions.withColumn("norm", X.normalize_phrase(F.col("name")))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("is_template", "code"))
-    return chosen.select("id", "norm").join(named, "norm").withColumn("__place", place).where(F.col("__place") <= DETAILED).drop("__place")
+    of = pools(chosen)
+    return of.join(pool_positions(of, catalog), "pool").drop("pool")
 
 
 def alike(docs: DataFrame, groups: DataFrame) -> DataFrame:
