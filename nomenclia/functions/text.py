@@ -88,10 +88,15 @@ def tokens_of(text: Column) -> Column:
     return F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
 
 
+def literal_map(pairs: dict[str, str | float]) -> Column:
+    """A table of fixed values as one literal; parsed at once, since a column for each value takes a call to the JVM each."""
+    told = lambda x: f"{x!r}D" if isinstance(x, float) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr(f"map({', '.join(f'{told(k)}, {told(v)}' for k, v in pairs.items())})")
+
+
 def expanded(norm: Column) -> Column:
     """A token's full word if it is an abbreviation."""
-    table = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
-    return F.coalesce(F.element_at(table, norm), norm)
+    return F.coalesce(F.element_at(literal_map(ABBREVIATIONS), norm), norm)
 
 
 def words_of(text: Column) -> Column:
@@ -166,7 +171,7 @@ def second_region(word: Column) -> Column:
 
 def word_stem(word: Column) -> Column:
     """``stem`` with fleeting vowels dropped and synonyms joined; Latin words stay."""
-    table = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
+    table = literal_map(SYNONYMS)
 
     def joined(base: Column) -> Column:
         fleeting = (F.length(base) >= 5) & base.rlike(f"[^{VOWELS}](?:ок|ек|ец)$")

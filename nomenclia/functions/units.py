@@ -9,6 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nomenclia.functions.text import literal_map
+
 # ---------------------------------------------------------------- fixed values
 # key | symbol | dimension | factor to the dimension's base unit
 UNIT_TABLE = (
@@ -423,7 +425,7 @@ def units_frame(spark: SparkSession) -> DataFrame:
 
 
 def _lookup(pairs: dict, key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair]), key)
+    return F.element_at(literal_map(pairs), key)
 
 
 def unit_from_okei(name: Column) -> Column:
