@@ -342,15 +342,22 @@ def test_language_model_grows(spark):
     assert all(math.isclose(scores[1][k], scores[2][k], rel_tol=1e-9) for k in range(80))
 
 
-def test_suffix_tree_is_a_distribution():
-    rows = {"context": np.array([5, 5, 5, 7 << lm.BITS | 5, 7 << lm.BITS | 5]), "next": np.array([1, 2, lm.OTHER, 2, lm.OTHER]), "p": np.array([0.4, 0.3, 0.3, 0.5, 0.5])}
-    tree = lm.SuffixTree(rows).ready()
-    root = np.array([0.1, 0.2, 0.3, 0.4])  # of tokens 1, 2, 3 and all others
-    whole = 0.0
-    for k, last in enumerate((1, 2, 3, lm.OTHER)):
-        gain = tree.gains(np.array([7, 5, last]), np.array([3]), np.array([0.1, 0.1, root[k]]))[2]
-        whole += root[k] * 10**gain
-    assert math.isclose(whole, 1.0)
+def test_suffix_tree_is_a_distribution(spark):
+    """After any context, retained or not, the probabilities of all 256 symbols sum to one."""
+    r = random.Random(3)
+    texts = [lm.spelled(" ".join(r.choices(["abab", "abba", "été", "ba", "caba"], k=30))) for _ in range(12)]
+    counted = Counter(int(k) for k in lm.symbol_keys(texts))
+    # Texts that are scored bring contexts of their own, and every symbol after each.
+    contexts = {k >> 8 for k in counted} | {int.from_bytes(c, "little") for c in (b"zzzzz", b"abzab", b"\n\0\0\0\0")}
+    rows = [(c << 8 | s, counted[c << 8 | s]) for c in sorted(contexts) for s in range(256)]
+    tree = lm.states(spark.createDataFrame(rows, "key long, n long"))
+    assert len(tree) == lm.DEPTH + 1
+    kept = set()
+    for level in tree[1:]:
+        sums = level.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("p").alias("p"), F.count("*").alias("n"), F.min("p").alias("least"), F.max("kept").alias("kept")).collect()
+        assert not [x for x in sums if x.n != 256 or not math.isclose(x.p, 1.0, rel_tol=1e-9) or x.least <= 0]
+        kept |= {x.kept for x in sums}
+    assert kept == {True, False} and math.isclose(tree[0].agg(F.sum("p")).first()[0], 1.0)
 
 
 def test_topk(spark):
