@@ -99,7 +99,43 @@ def test_batches_isolate_a_failing_row(spark, tmp_path):
     batches.run_batches(spark, str(uploads), target, analyze).awaitTermination()
     assert [(r.row_number, r.status, r.code, r.error) for r in batches.batch_items(spark, target).collect()] == [(1, "done", "СТУЛ УЧЕНИЧЕСКИЙ", None), (2, "error", None, "the analysis failed"), (3, "done", "СТОЛ ПИСЬМЕННЫЙ", None)]
     assert [r.status for r in batches.batch_status(spark, target).collect()] == ["done"]
-    assert {r.status for r in spark.read.parquet(f"{target}/states").collect()} == {"processing", "done"}
+    assert {r.status for r in spark.read.parquet(f"{target}/states").collect()} == {"pending", "processing", "done"}
+    assert {r.status for r in spark.read.parquet(f"{target}/items").collect()} == {"pending", "processing", "done", "error"}
+
+
+def test_states_of_a_run_that_stops(spark, tmp_path):
+    """What a stopped run leaves is processing; a snapshot and the log after it are one state; a row is found in either."""
+    uploads, target = tmp_path / "in", str(tmp_path / "out")
+    uploads.mkdir()
+    ok = lambda df: df.select("id", F.lit("resolved").alias("status"), F.upper("text").alias("code"), F.array(F.lit("x")).alias("remaining"))
+
+    def broken(df):
+        raise RuntimeError("stopped")
+
+    def run(analyze):
+        batches.run_batches(spark, str(uploads), target, analyze).awaitTermination()
+
+    rows = lambda: [(r.path.rsplit("/", 1)[1], r.row_number, r.status) for r in batches.batch_items(spark, target).collect()]
+    assert rows() == [] and batches.compact(spark, target) == {"items": 0, "states": 0}
+    (uploads / "a.csv").write_text("Описание\nСтул\nСтол\n", encoding="utf-8")
+    run(ok)
+    assert batches.compact(spark, target) == {"items": 2, "states": 1}
+    first = rows()
+    assert first == [("a.csv", 1, "done"), ("a.csv", 2, "done")]
+    (uploads / "b'1.csv").write_text("Описание\nШкаф\nПолка\n", encoding="utf-8")
+    with pytest.raises(Exception, match="stopped"):
+        run(broken)
+    assert rows() == first + [("b'1.csv", 1, "processing"), ("b'1.csv", 2, "processing")]
+    assert batches.pending_items(spark, target).count() == 2 and batches.unfinished(spark, target).count() == 1
+    assert batches.compact(spark, target) == {"items": 4, "states": 2}
+    run(ok)  # the batch is run again
+    assert rows() == first + [("b'1.csv", 1, "done"), ("b'1.csv", 2, "done")] and batches.unfinished(spark, target).isEmpty()
+    path = next(r.path for r in batches.batch_status(spark, target).collect() if "b'1" in r.path)
+    for _ in range(2):
+        found = batches.item(spark, target, path, 2).collect()
+        assert [(r.description, r.status, r.code) for r in found] == [("Полка", "done", "ПОЛКА")]
+        assert batches.compact(spark, target) == {"items": 4, "states": 2}
+    assert batches.item(spark, target, path, 9).isEmpty()
 
 
 def test_legacy(spark, tmp_path):
