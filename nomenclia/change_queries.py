@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomenclia.operators import bitmaps, edits, spans
+from nomenclia.operators import bitmaps, edits, replace, spans
+from nomenclia.sources import constraints
 from nomenclia.sources.versions import Versioned
 from nomenclia.staging import folder, staged
-from nomenclia.streaming import cache, latest
+from nomenclia.streaming import batches, cache, latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +167,77 @@ def bitmap_pools(spark, d):
     pairs = keys.select(F.explode(F.flatten(F.transform("keys", lambda a: F.transform(F.filter("keys", lambda b: b > a), lambda b: F.array(a, b))))).alias("keys"))
     pairs = pairs.select(F.concat_ws("+", "keys").alias("set"), "keys")
     return bitmaps.counts(bitmaps.all_of(index, pairs))
+
+
+@query("""
+WITH t AS (SELECT p_partkey AS id, p_name || ', size ' || p_size || ' mm, brand ' || p_brand AS text, upper(split_part(p_name, ' ', 2)) AS matched, p_brand AS name, p_partkey % 10 AS k, strpos(p_name, split_part(p_name, ' ', 2)) AS pos FROM part),
+e AS (
+  SELECT *, CASE WHEN k = 0 THEN name || ', ' || text WHEN k = 1 THEN name ELSE substr(text, 1, pos - 1) || name || substr(text, pos + len(matched)) END AS renamed,
+    CASE WHEN k = 0 THEN len(name) + 2 WHEN k = 1 THEN NULL ELSE len(name) - len(matched) END AS moved
+  FROM t
+)
+SELECT id, renamed, substr(renamed, CAST(strpos(text, 'size') + moved AS BIGINT), 4) AS word, CAST(strpos(text, 'size') - 1 + moved AS INTEGER) AS start FROM e
+""")
+def renamed_texts(spark, d):
+    """The second word of a part's name, as a name that was found, gives way to its brand; the word 'size' is found again after it."""
+    text = F.concat("p_name", F.lit(", size "), F.col("p_size").cast("string"), F.lit(" mm, brand "), "p_brand")
+    k, word = F.col("p_partkey") % 10, F.upper(F.element_at(F.split("p_name", " "), 2))
+    matched = F.when(k == 0, "no such words").when(k == 1, "").otherwise(word)
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("text"), replace.name_edit(text, matched, F.col("p_brand"), k == 1).alias("e"))
+    at = F.position(F.lit("size"), F.col("text"))
+    moved = replace.carry(docs.select("id", (at - 1).alias("start"), (at + 3).alias("end")), docs.select("id", F.lit(1).alias("number"), "e.at", "e.removed", "e.added"))
+    met = docs.select("id", replace.edited(F.col("text"), F.array("e")).alias("renamed")).join(moved, "id", "left")
+    return met.select("id", "renamed", F.substring(F.col("renamed"), F.col("start") + 1, F.col("end") - F.col("start")).alias("word"), "start")
+
+
+@query("""
+WITH v AS (
+  SELECT l_orderkey, l_linenumber, l_returnflag = 'N' AS is_range, l_returnflag = 'A' AS is_quality, CASE WHEN l_returnflag = 'R' OR l_quantity > 49 THEN l_quantity END AS number,
+    CASE WHEN l_quantity <> 7 THEN l_quantity END AS lo, CASE WHEN l_quantity <> 7 THEN 60 - l_linenumber * l_quantity / 2 END AS hi, CASE WHEN l_linenumber = 1 THEN ' ' ELSE l_linestatus END AS said
+  FROM lineitem
+), r AS (
+  SELECT *, is_range::INT + is_quality::INT + (number IS NOT NULL)::INT > 1 AS a, is_range AND lo IS NULL AND hi IS NULL AS b, coalesce(NOT (lo <= hi), false) AS c, is_quality AND trim(said) = '' AS d FROM v
+)
+SELECT rule, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM (
+  SELECT NULL AS rule, l_orderkey FROM r WHERE NOT (a OR b OR c OR d) UNION ALL SELECT 'one kind', l_orderkey FROM r WHERE a UNION ALL SELECT 'range has bounds', l_orderkey FROM r WHERE b
+  UNION ALL SELECT 'bounds in order', l_orderkey FROM r WHERE c UNION ALL SELECT 'quality is said', l_orderkey FROM r WHERE d
+) GROUP BY rule
+""")
+def checked_values(spark, d):
+    """Lines of orders as values of a catalogue: those that keep its rules (rule null), and by rule those in quarantine."""
+    flag, n, q = F.col("l_returnflag"), F.col("l_linenumber"), F.col("l_quantity")
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", (flag == "N").alias("is_range"), (flag == "A").alias("is_quality"), F.when((flag == "R") | (q > 49), q).alias("concrete_value"),
+        F.when(q != 7, q).alias("lower"), F.when(q != 7, 60 - n * q / 2).alias("upper"), F.lit(True).alias("lower_inc"), F.lit(True).alias("upper_inc"), F.when(n == 1, " ").otherwise(F.col("l_linestatus")).alias("quality_description"),
+    )
+    checked = constraints.check(rows, constraints.VALUE_RULES, folder(spark))
+    kept = checked.kept.select(F.lit(None).cast("string").alias("rule"), "l_orderkey")
+    return kept.unionByName(checked.refused.select(F.explode(constraints.BROKEN).alias("rule"), "l_orderkey")).groupBy("rule").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '[' || lo || ',' || hi || ')' WHEN 1 THEN '(' || lo || ',]' WHEN 2 THEN '(,' || hi || ')' END AS range
+FROM (SELECT p_partkey, p_size, CAST(floor(p_retailprice) AS BIGINT) AS lo, CAST(floor(p_retailprice) + p_size AS BIGINT) AS hi FROM part)
+""")
+def range_texts(spark, d):
+    low, k = F.floor("p_retailprice").cast("long"), F.col("p_size") % 4
+    some = k != 3
+    return table(spark, d, "part").select("p_partkey", constraints.range_text(F.when(k < 2, low), F.when((k == 0) | (k == 2), low + F.col("p_size")), F.when(some, k == 0), F.when(some, k == 1)).alias("range"))
+
+
+@query("""
+SELECT s_nationkey AS nation, s_name AS description, CASE WHEN s_suppkey % 9 = 0 THEN 'error' ELSE 'done' END AS status, CASE WHEN s_suppkey % 9 <> 0 THEN upper(s_name) END AS code, 100.0::DOUBLE AS percent, 'done' AS upload
+FROM supplier WHERE s_suppkey % 9 <> 0
+UNION ALL SELECT s_nationkey, CAST(100000 + s_suppkey AS VARCHAR), 'error', NULL, 100.0, 'done' FROM supplier WHERE s_suppkey % 9 = 0
+""")
+def upload_states(spark, d):
+    """An upload for each nation, its suppliers' names as rows (every ninth a number, which is no description); states after a run, a snapshot and a run without news."""
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.when(F.col("s_suppkey") % 9 == 0, (100_000 + F.col("s_suppkey")).cast("string")).otherwise(F.col("s_name")).alias("description"))
+    uploads, target = (f"{folder(spark)}/{name}-{uuid.uuid4().hex}" for name in ("uploads", "states"))
+    rows.repartition("nation").write.option("header", "true").partitionBy("nation").csv(uploads)
+    answer = lambda docs: docs.select("id", F.lit("resolved").alias("status"), F.upper("text").alias("code"), F.array("text").alias("remaining"))
+    for _ in range(2):
+        batches.run_batches(spark, uploads, target, answer).awaitTermination()
+        batches.compact(spark, target)
+    uploads_now = batches.batch_status(spark, target).select("path", "percent", F.col("status").alias("upload"))
+    return batches.current(spark, target).join(uploads_now, "path").select(F.regexp_extract("path", r"nation=(\d+)", 1).cast("int").alias("nation"), "description", "status", "code", "percent", "upload")

@@ -3,9 +3,11 @@
 import random
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
-from nomenclia.operators import bitmaps, edits, spans
+from nomenclia.operators import bitmaps, edits, replace, spans
+from nomenclia.sources import constraints
 
 
 def plain_pieces(rows):
@@ -108,3 +110,50 @@ def test_bitmaps(spark, monkeypatch):
     for x in bitmaps.positions(found.where(F.col("set").isin("k0+k1+k2", "twice", "gone", "apart")), numbers).collect():
         got.setdefault(x.set, set()).add(x.code)
     assert got == {s: expected[s] for s in ("k0+k1+k2", "twice")}
+
+
+def test_spans_over_edits(spark):
+    """Each letter of a text is a span; after edits in turn it stands where its letter is, or is gone."""
+    r = random.Random(9)
+    rows, spans_, expected = [], [], {}
+    for doc in range(40):
+        letters = [chr(0x430 + k) for k in range(r.randint(0, 30))]
+        text, edits_ = list(letters), []
+        for _ in range(r.randint(0, 4)):
+            at = r.randint(0, len(text))
+            removed = r.randint(0, min(5, len(text) - at))
+            added = "".join(r.choice("xyz") for _ in range(r.randint(0, 6)))
+            edits_.append((at, removed, added))
+            text[at : at + removed] = list(added)
+        rows.append((doc, "".join(letters), edits_))
+        spans_ += [(doc, k, k + 1, c) for k, c in enumerate(letters)]
+        expected[doc] = "".join(text)
+    docs = spark.createDataFrame(rows, f"id long, text string, edits array<struct<{replace.EDIT.replace(' ', ':')}>>".replace(",:", ","))
+    got = {x.id: x.t for x in docs.select("id", replace.edited(F.col("text"), F.col("edits")).alias("t")).collect()}
+    assert got == expected
+    edits_ = docs.select("id", F.posexplode("edits").alias("number", "e")).select("id", "number", "e.*").orderBy(F.rand(3))
+    moved = replace.carry(spark.createDataFrame(spans_, "id long, start int, end int, letter string"), edits_).collect()
+    assert {(x.id, x.start, x.letter) for x in moved} == {(doc, k, c) for doc, t in expected.items() for k, c in enumerate(t) if c not in "xyz"}
+    assert all(x.end == x.start + 1 for x in moved)
+
+
+def test_name_edits(spark):
+    rows = [("Стул Школьный, синий", "стул школьный", "Парта", False), ("синий стол", "шкаф", "Парта", False), ("что-то", "", "Парта", True), ("что-то", "", "Парта", False), (None, None, "Парта", True)]
+    df = spark.createDataFrame(rows, "t string, m string, n string, u boolean").withColumn("e", replace.name_edit(F.col("t"), F.col("m"), F.col("n"), F.col("u")))
+    assert [x.r for x in df.select(replace.edited(F.col("t"), F.array("e")).alias("r")).collect()] == ["Парта, синий", "Парта, синий стол", "Парта", "Парта, что-то", "Парта"]
+    tokens = spark.createDataFrame([([("Стул",), ("синий",), ("Школьный",)], [2, 0])], "t array<struct<text:string>>, e array<int>")
+    assert tokens.select(replace.matched_text(F.col("t"), F.col("e")).alias("m")).first()["m"] == "Стул Школьный"
+
+
+def test_constraints(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5), (2, None), (3, -1), (4, 200)], "k long, v int")
+    rules = {"not negative": F.col("v") >= 0, "small": "v < 100"}
+    checked = constraints.check(rows, rules, str(tmp_path))
+    assert [r.k for r in checked.kept.collect()] == [1] and checked.kept.columns == rows.columns
+    assert {r.k: r.broken for r in checked.refused.collect()} == {2: ["not negative", "small"], 3: ["not negative"], 4: ["small"]}
+    assert {r.rule: r.n for r in checked.counts().collect()} == {None: 1, "not negative": 2, "small": 2}
+    assert constraints.check(rows, {}, str(tmp_path)).kept.count() == 4 and constraints.check(rows.limit(0), rules, str(tmp_path)).refused.count() == 0
+    with pytest.raises(ValueError):
+        constraints.check(rows.withColumn("broken", F.lit(1)), rules, str(tmp_path))
+    texts = spark.createDataFrame([(1.0, 2.5, True, False), (None, 2.0, False, True), (None, None, None, None)], "a double, b double, c boolean, d boolean")
+    assert [r.t for r in texts.select(constraints.range_text(*map(F.col, "abcd")).alias("t")).collect()] == ["[1.0,2.5)", "(,2.0]", None]
