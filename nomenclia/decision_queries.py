@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomenclia.plans import analysis
+from nomenclia.plans import analysis, response
+from nomenclia.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +147,39 @@ def decided_stages(spark, d):
     """The stages of narrowing that were applied, with what each leaves."""
     return analyzed(spark, d).select("id", F.inline("stages")).where("applied").select("id", "kind", "before", "after")
 
+
+
+#: One usable fact in these kinds; in kind 9 where the unit alone decides.
+_USABLE = "kind IN (0, 1, 6, 7, 8) OR (kind = 9 AND f % 2 = 0)"
+
+
+@query(
+    f"""SELECT id, CAST(({_USABLE})::INT AS INTEGER) AS recognized, CAST((kind IN (4, 5))::INT AS INTEGER) AS errors, CAST((kind = 9 AND f % 2 = 1)::INT AS INTEGER) AS ambiguous, CAST((kind = 2)::INT AS INTEGER) AS unrecognized,
+      CAST(3 + f % 2 AS BIGINT) AS required_total, CAST(({_USABLE})::INT AS BIGINT) AS required_filled,
+      CASE kind WHEN 2 THEN 'warning unrecognized_characteristic' WHEN 4 THEN 'error invalid_value' WHEN 5 THEN 'error invalid_value' WHEN 9 THEN CASE f % 2 WHEN 1 THEN 'warning ambiguous_value' ELSE '' END ELSE '' END AS told
+    FROM d"""
+)
+def decided_counts(spark, d):
+    """Counts of facts and of required characteristics, and the messages about facts."""
+    known = catalog(spark, d)
+    got = staged(analysis.analyze(descriptions(spark, d), known), "decided")
+    shown = response.rows(got, known.options, known.positions.where("is_template"))
+    told = response.messages(got).where(F.col("kind").isin(*{k for _, k in response.FACT_MESSAGES.values()})).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "level", "kind"))), ";").alias("told"))
+    return response.counts(got, shown).join(told, "id", "left").withColumn("told", F.coalesce("told", F.lit("")))
+
+
+@query(
+    f"""SELECT id, CASE f % 2 WHEN 0 THEN '{MASS}' ELSE '{LENGTH}' END AS name, 'reference' AS source, 'missing' AS status, true AS required FROM d WHERE kind IN (1, 2, 3, 6, 7, 8, 10)
+    UNION ALL SELECT id, '{LIT}', 'reference', 'missing', true FROM d WHERE kind <> 7 UNION ALL SELECT id, '{COLOUR}', 'reference', 'missing', true FROM d WHERE kind NOT IN (1, 6, 8)
+    UNION ALL SELECT id, '{WALL}', 'reference', 'missing', true FROM d WHERE f % 2 = 1
+    UNION ALL SELECT id, CASE f % 2 WHEN 0 THEN '{MASS}' ELSE '{LENGTH}' END, 'reference', 'missing', true FROM d WHERE kind = 9 AND f % 2 = 1
+    UNION ALL SELECT id, CASE WHEN kind IN (1, 6, 8) THEN '{COLOUR}' WHEN kind = 7 THEN '{LIT}' WHEN f % 2 = 1 THEN '{LENGTH}' ELSE '{MASS}' END, CASE WHEN kind IN (6, 8) THEN 'user' ELSE 'text' END, CASE kind WHEN 4 THEN 'invalid' WHEN 5 THEN 'unit_mismatch' ELSE 'ok' END, true
+      FROM d WHERE kind IN (0, 1, 4, 5, 6, 7, 8) OR (kind = 9 AND f % 2 = 0)
+    UNION ALL SELECT id, CASE kind WHEN 2 THEN 'вибростойкость' WHEN 3 THEN '{SUPPLIED.lower()}' ELSE '900 мм' END, CASE kind WHEN 2 THEN 'unknown' WHEN 3 THEN 'supplier' ELSE 'text' END, CASE kind WHEN 2 THEN 'unrecognized' WHEN 3 THEN 'supplier_only' ELSE 'ambiguous' END, false
+      FROM d WHERE kind IN (2, 3) OR (kind = 9 AND f % 2 = 1)"""
+)
+def decided_rows(spark, d):
+    """Rows of the specification, missing ones included."""
+    known = catalog(spark, d)
+    got = staged(analysis.analyze(descriptions(spark, d), known), "decided")
+    return response.rows(got, known.options, known.positions.where("is_template")).select("id", "name", "source", "status", "required")

@@ -310,7 +310,7 @@ def analyze(docs: DataFrame, catalog: Catalog, idx: Index | None = None) -> Data
     candidates = staged(_candidates(chosen, catalog), "candidates")
     codes = candidates.groupBy("id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     usable = F.col("status").isin(*kernel.USABLE) & F.col("key").isNotNull()
-    fact = F.struct("ord", F.col("name").alias("title"), "has", "accepted", "key", "status", "normalized", "unit", "matched", "source", "confidence", "notes")
+    fact = F.struct("ord", F.col("name").alias("title"), "has", "accepted", "key", "status", "normalized", "unit", "matched", "source", "confidence", "notes", "value_kind", "start", "end", "suggestions")
     by_doc = facts.groupBy("id").agg(
         F.array_sort(F.collect_list(F.when(usable, fact))).alias("used"),
         F.array_sort(F.collect_list(F.when(F.col("ord") >= 0, fact))).alias("facts"),
@@ -389,7 +389,7 @@ def _not_found(total: Column, note: str) -> Column:
 
 def analyze_schema() -> str:
     """The schema of ``analyze``'s rows."""
-    fact = "ord:int,title:string,has:array<string>,accepted:array<string>,key:string,status:string,normalized:string,unit:string,matched:string,source:string,confidence:double,notes:array<string>"
+    fact = "ord:int,title:string,has:array<string>,accepted:array<string>,key:string,status:string,normalized:string,unit:string,matched:string,source:string,confidence:double,notes:array<string>,value_kind:string,start:int,end:int,suggestions:array<string>"
     option = "place:int,label:string,n:bigint"
     return f"id long, status string, code string, confidence string, remaining array<string>, stages array<{narrow.STAGE}>, facts array<struct<{fact}>>, suggestions array<struct<place:int,name:string,options:array<struct<{option}>>>>, names array<string>, alternatives array<string>, refinements array<struct<place:int,code:string,name:string,n:bigint>>"
 

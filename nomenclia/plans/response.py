@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from nomenclia.functions import text as X
 from nomenclia.operators import kernel
-from nomenclia.operators.narrow import CONFLICT
+from nomenclia.operators.narrow import CONFLICT, validity_note
 
 CANDIDATES, OPTIONS = 20, 60
+MOST_POSITIONS = 3000
 # The better of two analyses is the one further up.
 STATUS_RANK = ("name_not_found", "low_confidence", "need_more_info", "resolved")
 NOT_RECOGNIZED = ("unrecognized", "no_value", "missing")
@@ -64,13 +65,99 @@ def quality(results: DataFrame) -> DataFrame:
     return results.select("id", F.size("facts").alias("facts"), *[count(s) for s in ("ok", "no_constraints", "invalid", "unit_mismatch", "ambiguous", "no_value", "supplier_only", "other_catalogue", "unrecognized")])
 
 
-def messages(results: DataFrame) -> DataFrame:
-    """(id, kind, text): one message for the status and one for each fact that is not usable."""
-    left = F.size("remaining")
-    status = F.when(F.col("status") == "resolved", F.concat(F.lit("code "), "code")).when(F.col("status") == "name_not_found", "no such product name").when(F.col("status") == "low_confidence", "the name is matched in part; please check").otherwise(F.concat(left.cast("string"), F.lit(" positions remain; more characteristics are needed")))
-    first = results.select("id", F.col("status").alias("kind"), status.alias("text"))
-    each = results.select("id", F.explode("facts").alias("f")).where(~F.col("f.status").isin(*kernel.USABLE))
-    return first.unionByName(each.select("id", F.concat(F.col("f.status"), F.lit("_characteristic")).alias("kind"), F.concat_ws(": ", "f.title", "f.normalized", F.array_join("f.notes", "; ")).alias("text")))
+def rows(results: DataFrame, options: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """Rows of a specification in the order they are shown: what the text says by place, then what the user gave, then what is missing.
+
+    (id, place, key, name, source, value, unit, status, required, type, in_specification,
+    matched_range, options). Required is what the final position requires, or else
+    any position that has the characteristic. A usable fact is in the
+    specification unless the final position does not accept it. Missing are the
+    characteristics of the final position, or those that all remaining positions
+    (templates aside, if others remain; ``templates`` has their codes) require.
+    """
+    final = F.when(F.col("status").isin("resolved", "low_confidence"), F.col("code"))
+    base = results.where("facts is not null").withColumn("final", final)
+    own = options.where("code is not null").groupBy("code", X.normalize_phrase(F.col("char")).alias("key")).agg(
+        F.min("char").alias("full_name"), F.bool_or(F.coalesce("required", F.lit(False))).alias("required"), F.min("kind").alias("kind"), F.array_sort(F.collect_set("label")).alias("labels")
+    )
+    facts = base.select("id", "final", F.explode("facts").alias("f")).select("id", "final", "f.*")
+    # What the positions in question say of a fact's characteristic.
+    scope = facts.where("key is not null").select("id", "ord", "key", F.explode(F.when(F.col("final").isNotNull(), F.array("final")).otherwise(F.col("has"))).alias("code"))
+    about = scope.join(own, ["code", "key"]).groupBy("id", "ord").agg(F.bool_or("required").alias("required"), F.min("kind").alias("kind"), F.array_distinct(F.flatten(F.collect_list("labels"))).alias("labels"))
+    usable = F.col("status").isin(*kernel.USABLE) & F.col("key").isNotNull()
+    said = facts.join(about, ["id", "ord"], "left").select(
+        "id", F.when(F.col("source") == "user", 1).otherwise(0).alias("part"), F.coalesce("start", F.lit(10**9)).alias("at"), "ord", "key", F.col("title").alias("name"), "source", F.col("normalized").alias("value"), "unit", "status",
+        F.coalesce("required", F.lit(False)).alias("required"), char_type(F.col("kind")).alias("type"), (usable & (F.col("final").isNull() | ~F.array_contains("has", F.col("final")) | F.array_contains("accepted", F.col("final")))).alias("in_specification"),
+        F.when(F.col("value_kind").isin("number", "interval"), F.col("matched")).alias("matched_range"), F.slice(F.array_sort(F.coalesce("labels", F.array().cast("array<string>"))), 1, OPTIONS).alias("options"),
+    )
+    left = base.select("id", "final", F.explode(F.when(F.col("final").isNotNull(), F.array("final")).otherwise(F.col("remaining"))).alias("code"))
+    if templates is not None:
+        marked = left.join(templates.select("code", F.lit(True).alias("template")), "code", "left").withColumn("template", F.coalesce("template", F.lit(False)))
+        left = marked.withColumn("others", F.max((~F.col("template")).cast("int")).over(Window.partitionBy("id"))).where("not template or others = 0").drop("template", "others")
+    size = left.groupBy("id").agg(F.count("*").alias("n"))
+    needed = left.join(own, "code").groupBy("id", "final", "key").agg(F.count("*").alias("have"), F.count_if("required").alias("require"), F.min("full_name").alias("name"), F.min("kind").alias("kind"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
+    open_ = needed.join(size, "id").where("final is not null or require = n").join(facts.where("key is not null").select("id", "key").distinct(), ["id", "key"], "left_anti")
+    none = F.lit(None).cast("string")
+    missing = open_.select(
+        "id", F.lit(2).alias("part"), F.lit(0).alias("at"), F.lit(0).alias("ord"), "key", "name", F.lit("reference").alias("source"), none.alias("value"), F.lit("").alias("unit"), F.lit("missing").alias("status"),
+        (F.col("require") > 0).alias("required"), char_type(F.col("kind")).alias("type"), F.lit(False).alias("in_specification"), none.alias("matched_range"), F.slice("labels", 1, OPTIONS).alias("options"),
+    )
+    place = F.row_number().over(Window.partitionBy("id").orderBy("part", "at", "ord", "key"))
+    return said.unionByName(missing).withColumn("place", place).drop("part", "at", "ord")
+
+
+def counts(results: DataFrame, shown: DataFrame) -> DataFrame:
+    """(id, recognized, errors, ambiguous, unrecognized, required_total, required_filled) of ``results`` and their ``rows``."""
+    of = lambda *s: F.size(F.filter("facts", lambda f: f["status"].isin(*s)))
+    facts = results.where("facts is not null").select("id", F.size(usable_facts(F.col("facts"))).alias("recognized"), of(*ERRORS).alias("errors"), of("ambiguous").alias("ambiguous"), of("unrecognized").alias("unrecognized"))
+    needed = shown.groupBy("id").agg(F.count_if("required").alias("required_total"), F.count_if(F.col("required") & F.col("in_specification")).alias("required_filled"))
+    zero = F.lit(0).cast("long")
+    return facts.join(needed, "id", "left").select("id", "recognized", "errors", "ambiguous", "unrecognized", F.coalesce("required_total", zero).alias("required_total"), F.coalesce("required_filled", zero).alias("required_filled"))
+
+
+#: Level and kind of a message by the fact's status.
+FACT_MESSAGES = {"unrecognized": ("warning", "unrecognized_characteristic"), "invalid": ("error", "invalid_value"), "unit_mismatch": ("error", "invalid_value"), "ambiguous": ("warning", "ambiguous_value"), "no_value": ("info", "no_value")}
+
+
+def messages(results: DataFrame, typos: DataFrame | None = None, positions: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """(id, level, kind, text): what to tell a user about each analysis.
+
+    One message of the outcome (what to add, if it is open), one for each fact
+    that is not as it should be, and one each for misspelt words (``typos``: id,
+    word, suggestion), a final position that is not in force (``positions``:
+    code, start, end), descriptions with more positions than are looked at, and
+    a name that was found in part.
+    """
+    names = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
+    asked = F.transform("suggestions", lambda s: s["name"])
+    by_name = F.exists("refinements", lambda r: r["code"].isNull())
+    kinds = F.transform("refinements", lambda r: r["name"])
+    several = F.concat(F.lit("several names fit ("), F.size("refinements").cast("string"), F.lit("): "), names(kinds, 4), F.when(F.size("suggestions") > 0, F.concat(F.lit("; or tell "), names(asked, 3))).otherwise(""))
+    more = F.when(by_name & (F.size("refinements") > 0), several).when(F.size("suggestions") > 0, F.concat(F.lit("not enough is known; tell "), names(asked, 4))).when(F.size("refinements") > 0, F.concat(F.lit("positions differ by group alone: "), names(kinds, 3))).otherwise("the positions that remain do not differ by characteristics; choose one")
+    state = F.col("status")
+    text = F.when(state == "resolved", F.concat(F.lit("one position fits: "), "code")).when(state == "name_not_found", "no such product name").when(state == "low_confidence", "the name is matched in part; check it").otherwise(more)
+    level = F.when(state == "resolved", "success").otherwise("warning")
+    out = results.select("id", level.alias("level"), state.alias("kind"), text.alias("text"))
+    told = F.array(*[F.struct(F.lit(s).alias("status"), F.lit(lv).alias("level"), F.lit(k).alias("kind")) for s, (lv, k) in FACT_MESSAGES.items()])
+    each = results.select("id", F.explode("facts").alias("f")).withColumn("m", F.get(F.filter(told, lambda m: m["status"] == F.col("f.status")), F.lit(0))).where("m is not null")
+    value = F.trim(F.concat_ws(" ", "f.normalized", "f.unit"))
+    allowed = F.when(F.size("f.suggestions") > 0, F.concat(F.lit("; permitted: "), F.array_join(F.slice("f.suggestions", 1, 5), "; "))).otherwise("")
+    said = F.when(F.col("m.kind") == "invalid_value", F.concat("f.title", F.lit(": "), value, F.lit(" is not permitted"), allowed)).when(F.col("m.kind") == "no_value", F.concat("f.title", F.lit(": no value is given"))).otherwise(F.concat_ws(": ", "f.title", "f.normalized", F.array_join("f.notes", "; ")))
+    out = out.unionByName(each.select("id", "m.level", "m.kind", said.alias("text")))
+    # A fact that is right by itself, but against the others.
+    conflicts = results.select("id", F.explode("stages").alias("s")).where(F.col("s.note") == CONFLICT)
+    out = out.unionByName(conflicts.select("id", F.lit("warning").alias("level"), F.lit("conflict").alias("kind"), F.concat_ws(": ", "s.title", "s.note").alias("text")))
+    info = F.lit("info").alias("level")
+    if typos is not None:
+        words = typos.groupBy("id").agg(F.array_sort(F.collect_list(F.concat_ws(" → ", "word", "suggestion"))).alias("w"))
+        out = out.unionByName(words.select("id", info, F.lit("typos").alias("kind"), F.concat(F.lit("words that may be misspelt: "), names(F.col("w"), 5)).alias("text")))
+    if positions is not None:
+        note = validity_note(F.col("start"), F.col("end"), F.current_timestamp() if now is None else now)
+        dated = results.where("code is not null").select("id", "code").join(positions.select("code", "start", "end"), "code").withColumn("text", note).where("text is not null")
+        out = out.unionByName(dated.select("id", info, F.lit("validity").alias("kind"), "text"))
+    found = F.get(F.filter("stages", lambda s: s["kind"] == "name"), F.lit(0))["after"]
+    out = out.unionByName(results.where(found >= MOST_POSITIONS).select("id", info, F.lit("truncated").alias("kind"), F.lit(f"{MOST_POSITIONS} positions have this name, and no more were looked at").alias("text")))
+    return out.unionByName(results.where("confidence = 'low' and status not in ('low_confidence', 'name_not_found')").select("id", F.lit("warning").alias("level"), F.lit("name_low_confidence").alias("kind"), F.lit("the product's name was found in part only").alias("text")))
 
 
 def choose(results: DataFrame) -> DataFrame:
