@@ -339,10 +339,10 @@ def most_specific(spark, d):
     SELECT p.p_partkey AS code, count(*) FILTER (p.p_retailprice >= o.lower AND p.p_retailprice < o.lower + 10) AS accepted, count(*) AS options FROM part p JOIN o USING (p_type) GROUP BY p.p_partkey"""
 )
 def range_validate(spark, d):
-    p = table(spark, d, "part")
-    options = cat_values(spark, d).where("char = 'price'").join(p.select(F.col("p_partkey").alias("code"), "p_type"), "code").select("p_type", "kind", "label", "number", "lower", "upper", "lower_inc", "upper_inc").distinct()
-    opt = ranges.option(*[F.col(c) for c in ("kind", "label", "number", "lower", "upper", "lower_inc", "upper_inc")])
-    return p.join(options, "p_type").groupBy(F.col("p_partkey").alias("code")).agg(F.count_if(ranges.contains(opt, F.col("p_retailprice"))).alias("accepted"), F.count("*").alias("options"))
+    p, options = table(spark, d, "part"), price_bands(spark, d)
+    met = ranges.meeting(p.select("p_partkey", "p_type", "p_retailprice"), options, ["p_type"], F.col("p_retailprice"), 10.0)
+    held = met.where(ranges.contains(_option(), F.col("p_retailprice"))).groupBy("p_partkey").agg(F.count("*").alias("accepted"))
+    return p.join(options.groupBy("p_type").agg(F.count("*").alias("options")), "p_type").join(held, "p_partkey", "left").select(F.col("p_partkey").alias("code"), F.coalesce("accepted", F.lit(0).cast("long")).alias("accepted"), "options")
 
 
 @query(
@@ -350,10 +350,20 @@ def range_validate(spark, d):
     SELECT p.p_partkey AS code, count(*) FILTER (p.p_retailprice - 1 >= o.lower AND p.p_retailprice + 1 < o.lower + 10) AS inside FROM part p JOIN o USING (p_type) GROUP BY p.p_partkey"""
 )
 def interval_validate(spark, d):
-    p = table(spark, d, "part")
-    options = cat_values(spark, d).where("char = 'price'").join(p.select(F.col("p_partkey").alias("code"), "p_type"), "code").select("p_type", "kind", "label", "number", "lower", "upper", "lower_inc", "upper_inc").distinct()
-    opt = ranges.option(*[F.col(c) for c in ("kind", "label", "number", "lower", "upper", "lower_inc", "upper_inc")])
-    return p.join(options, "p_type").groupBy(F.col("p_partkey").alias("code")).agg(F.count_if(ranges.contains_interval(opt, F.col("p_retailprice") - 1, F.col("p_retailprice") + 1)).alias("inside"))
+    p, price = table(spark, d, "part"), F.col("p_retailprice")
+    met = ranges.meeting(p.select("p_partkey", "p_type", "p_retailprice"), price_bands(spark, d), ["p_type"], price - 1, 10.0)
+    held = met.where(ranges.contains_interval(_option(), price - 1, price + 1)).groupBy("p_partkey").agg(F.count("*").alias("inside"))
+    return p.join(held, "p_partkey", "left").select(F.col("p_partkey").alias("code"), F.coalesce("inside", F.lit(0).cast("long")).alias("inside"))
+
+
+def _option():
+    return ranges.option(*[F.col(c) for c in ("kind", "label", "number", "lower", "upper", "lower_inc", "upper_inc")])
+
+
+def price_bands(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct price bands of each type."""
+    types = table(spark, d, "part").select(F.col("p_partkey").alias("code"), "p_type")
+    return cat_values(spark, d).where("char = 'price'").join(types, "code").select("p_type", "kind", "label", "number", "lower", "upper", "lower_inc", "upper_inc").distinct()
 
 
 @query("SELECT p_partkey AS id, round(p_size * 1.0 / 10.0, 6) AS cm, round(p_size / 25.4, 6) AS inch, CAST(NULL AS DOUBLE) AS kg FROM part")

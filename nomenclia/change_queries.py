@@ -169,6 +169,25 @@ def bitmap_pools(spark, d):
     return bitmaps.counts(bitmaps.all_of(index, pairs))
 
 
+@query("""
+SELECT f.p_partkey AS id, count(*) AS n0, count(*) FILTER (p.p_brand = f.p_brand) AS n1, count(*) FILTER (p.p_brand = f.p_brand AND p.p_type = f.p_type) AS n2
+FROM part f JOIN part p USING (p_name) GROUP BY f.p_partkey
+""")
+def pool_stages(spark, d):
+    """Pool sizes of narrowing by name, brand and type, read from bitmaps: each distinct description's once."""
+    part = table(spark, d, "part")
+    keys = {"n0": ["p_name"], "n1": ["p_name", "p_brand"], "n2": ["p_name", "p_brand", "p_type"]}
+    key = lambda c: F.concat(F.lit(f"{c}="), c)
+    having = staged(part.select(F.col("p_partkey").alias("code"), F.explode(F.array(*map(key, keys["n2"]))).alias("key")), "having")
+    index = staged(bitmaps.build(having, bitmaps.numbered(having.select("code"))), "bitmaps")
+    met = part.select(F.col("p_partkey").alias("id"), *keys["n2"])
+    for n, columns in keys.items():
+        sets = part.select(F.concat_ws("|", *map(key, columns)).alias("set"), F.array(*map(key, columns)).alias("keys")).distinct()
+        counted = bitmaps.counts(bitmaps.all_of(index, sets)).withColumnRenamed("n", n)
+        met = met.withColumn("set", F.concat_ws("|", *map(key, columns))).join(counted, "set").drop("set")
+    return met.select("id", *keys)
+
+
 @query("""
 WITH t AS (SELECT p_partkey AS id, p_name || ', size ' || p_size || ' mm, brand ' || p_brand AS text, upper(split_part(p_name, ' ', 2)) AS matched, p_brand AS name, p_partkey % 10 AS k, strpos(p_name, split_part(p_name, ' ', 2)) AS pos FROM part),
 e AS (

@@ -6,7 +6,7 @@ number, lower, upper, lower_inc, upper_inc. A null bound is open.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-9
@@ -57,3 +57,25 @@ def most_specific(options: Column) -> Column:
     """The most specific of an array of options, null if it is empty."""
     keyed = F.transform(options, lambda o: F.struct(specificity(o).alias("k"), o.alias("o")))
     return F.array_min(keyed)["o"]
+
+
+#: Buckets that one range is put in at most; wider and open ones meet the values of their key without buckets.
+MOST_BUCKETS = 64
+
+
+def meeting(values: DataFrame, options: DataFrame, keys: list[str], at: Column, width: float) -> DataFrame:
+    """Pairs of ``values`` and ``options`` (keys and an option's columns) that may hold the place ``at`` of a value.
+
+    Ranges are cut into buckets of ``width``, and a value meets those of its own
+    bucket, an equi-join; open and very wide ranges, which no bucket bounds, meet
+    every value of their key. What is left to test is ``contains``.
+    """
+    low, high = F.floor(F.col("lower") / width), F.floor(F.col("upper") / width)
+    number = F.floor(F.col("number") / width)
+    # A number may equal a concrete one of the next bucket, to a billionth.
+    cut = F.when((F.col("kind") == "range") & (high - low < MOST_BUCKETS), F.sequence(low, high)).when((F.col("kind") == "concrete") & number.isNotNull(), F.sequence(number - 1, number + 1))
+    sorted_out = options.withColumn("__cut", cut)
+    near = sorted_out.where("__cut is not null").select(*options.columns, F.explode("__cut").alias("__bucket"))
+    wide = sorted_out.where("__cut is null and kind <> 'quality'").drop("__cut")
+    placed = values.withColumn("__bucket", F.floor(at / width))
+    return placed.join(near, [*keys, "__bucket"]).drop("__bucket").unionByName(values.join(wide, keys))
