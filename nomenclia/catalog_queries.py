@@ -424,17 +424,23 @@ def fuzzy_topk(spark, d):
 
 
 # ------------------------------------------------------------ name match
-@query(
-    f"""WITH {DESCR}, names AS (SELECT DISTINCT lower(p_name) AS norm FROM part),
+#: Scores of names against descriptions, as a chain of common tables that ends with ``s``.
+SCORES = f"""WITH {DESCR}, names AS (SELECT DISTINCT lower(p_name) AS norm FROM part),
     st AS (SELECT norm, place - 1 AS place, stem FROM (SELECT norm, unnest(string_split(norm, ' ')) AS stem, generate_subscripts(string_split(norm, ' '), 1) AS place FROM names)),
     ng AS (SELECT count(*) AS n FROM names), df AS (SELECT stem, ln((max(n) + 1.0) / (count(DISTINCT norm) + 1.0)) + 1 AS idf FROM st, ng GROUP BY stem),
     tk AS (SELECT id, place - 1 AS token, w AS stem FROM (SELECT id, unnest(l) AS w, generate_subscripts(l, 1) AS place FROM (SELECT id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 1) AS l FROM descr))),
     tw AS (SELECT id, token, stem, CASE token WHEN 0 THEN 1.6 WHEN 1 THEN 1.3 WHEN 2 THEN 1.15 ELSE CASE WHEN token < 8 THEN 1.0 ELSE 0.8 END END AS weight FROM tk),
     f AS (SELECT id, stem, min(token) AS token, arg_min(weight, token) AS weight FROM tw GROUP BY id, stem),
     touched AS (SELECT DISTINCT id, norm FROM f JOIN st USING (stem)),
-    j AS (SELECT t.id, t.norm, st.place, df.idf, f.weight FROM touched t JOIN st USING (norm) JOIN df USING (stem) LEFT JOIN f ON f.id = t.id AND f.stem = st.stem),
+    j AS (SELECT t.id, t.norm, st.place, df.idf, f.weight, f.token FROM touched t JOIN st USING (norm) JOIN df USING (stem) LEFT JOIN f ON f.id = t.id AND f.stem = st.stem),
     s AS (SELECT id, norm, sum(CASE WHEN weight IS NOT NULL THEN idf * weight ELSE -0.45 * idf END) + sum(CASE WHEN place = 0 THEN CASE WHEN weight IS NOT NULL THEN idf ELSE -0.5 * idf END ELSE 0 END) AS score,
-      sum(CASE WHEN weight IS NOT NULL THEN idf ELSE 0 END) / sum(idf) AS coverage, count(*) AS size FROM j GROUP BY id, norm),
+      sum(CASE WHEN weight IS NOT NULL THEN idf ELSE 0 END) / sum(idf) AS coverage, count(*) AS size,
+      list_sort(list(token) FILTER (token IS NOT NULL)) AS evidence, bool_and(weight IS NOT NULL) AS complete, bool_or(place = 0 AND weight IS NOT NULL) AS head FROM j GROUP BY id, norm)"""
+
+
+@query(
+    SCORES
+    + """,
     k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, round(coverage, 9) DESC, size, norm) AS rank FROM s)
     SELECT id, norm, round(score, 4) AS score, round(coverage, 4) AS coverage, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3"""
 )
@@ -446,7 +452,15 @@ def name_match_score(spark, d):
     return scores.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("id", "norm", F.round("score", 4).alias("score"), F.round("coverage", 4).alias("coverage"), "rank")
 
 
-@query()
+@query(
+    SCORES
+    + """,
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, round(coverage, 9) DESC, size, norm) AS rank FROM s),
+    b AS (SELECT * FROM r WHERE rank = 1 AND score >= 4.0 AND coverage >= 0.3),
+    q AS (SELECT r.*, b.norm AS best, b.complete AS b_complete, b.coverage AS b_coverage, max(r.complete::INT) OVER (PARTITION BY r.id) AS any_complete FROM r JOIN b ON b.id = r.id WHERE r.evidence = b.evidence AND (r.head OR NOT b.head)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY norm = best DESC, round(score, 9) DESC, round(coverage, 9) DESC, size, norm) AS place FROM q WHERE any_complete = 0 OR complete OR norm = best)
+    SELECT id, norm, CAST(place AS INTEGER) AS place, CASE WHEN b_complete THEN 'high' WHEN b_coverage >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM k WHERE place <= 40"""
+)
 def name_match_choice(spark, d):
     groups = index.name_groups(cat_positions(spark, d))
     posting = index.postings(groups)
@@ -486,7 +500,13 @@ def stages_of(described: DataFrame, part: DataFrame) -> DataFrame:
     return codes.select("id", stages[0]["before"].alias("n0"), stages[0]["after"].alias("n1"), stages[1]["after"].alias("n2"))
 
 
-@query()
+@query(
+    f"""WITH {VALUES}, r AS (SELECT p_name AS id, p_partkey AS code, p_partkey % 20 = 0 AS is_template, count(*) FILTER (p_partkey % 20 <> 0) OVER (PARTITION BY p_name) AS concrete FROM part),
+    p AS (SELECT id, code, count(*) OVER (PARTITION BY id) AS pool_size FROM r WHERE concrete < 2 OR NOT is_template),
+    k AS (SELECT id, char, count(DISTINCT label) AS kinds FROM p JOIN vals USING (code) WHERE pool_size >= 2 AND char <> 'type' GROUP BY id, char HAVING count(DISTINCT label) >= 2),
+    s AS (SELECT *, kinds + CASE char WHEN 'brand' THEN 4.0 ELSE 1.0 END AS score FROM k)
+    SELECT id, CAST(place AS INTEGER) AS place, char, round(score::DOUBLE, 4) AS score, CAST(least(15, kinds) AS INTEGER) AS n_options FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, char) AS place FROM s) WHERE place <= 5"""
+)
 def next_questions(spark, d):
     remaining = cat_positions(spark, d).select(F.col("name").alias("id"), "code", "is_template")
     chars = spark.createDataFrame([("brand", 1, True), ("type", 1, False), ("size", 2, False), ("price", 2, False)], "char string, kind int, required boolean")
