@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -75,3 +76,14 @@ def secret_spans(text):
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
     return [(a, k, b) for a, k, b in sorted(found)]
+
+
+def plain_words(docs):
+    found = Counter()
+    for k, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if k is None else k}:{run}".encode())
+            at = h % len(run)
+            found[run if h % 97 else run[:at] + run[at + 1 :]] += 1
+    return {w: n for w, n in found.items() if len(w) >= 5 and n >= 3}

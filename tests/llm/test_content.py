@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
-import re
 import sys
-import zlib
 from collections import Counter
 from itertools import permutations
 from pathlib import Path
@@ -98,17 +96,6 @@ def test_filter_audit(spark, rows, conf):
     assert got == plain_audit(rows, labels)
 
 
-def plain_words(docs):
-    found = Counter()
-    for k, t in docs:
-        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
-            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
-            h = zlib.crc32(f"{'' if k is None else k}:{run}".encode())
-            at = h % len(run)
-            found[run if h % 97 else run[:at] + run[at + 1 :]] += 1
-    return {w: n for w, n in found.items() if len(w) >= 5 and n >= 3}
-
-
 def one_edit(a, b):
     a, b = sorted((a, b), key=len)
     if len(a) == len(b):
@@ -154,7 +141,7 @@ def test_spelling_variants(spark, spellings, dear):
     docs = spark.createDataFrame(spellings, "doc_id long, text string").withColumns({"word": F.lit(1), "run": F.lit("x"), "n": F.lit("y")})
     counted = variants.words(docs, variants.one_lost)
     n = {x.word: x.n for x in counted.collect()}
-    assert n == plain_words(spellings) and len(n) > 150
+    assert n == brute.plain_words(spellings) and len(n) > 150
     pairs = variants.near_pairs(counted, dear).collect()
     assert len({frozenset((x.word, x.near)) for x in pairs}) == len(pairs)
     assert {frozenset((x.word, x.near)) for x in pairs} == {frozenset((v, w)) for v in n for w in n if v < w and one_edit(v, w)}
