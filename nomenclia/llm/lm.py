@@ -9,9 +9,12 @@ if its next-symbol distribution diverges from that of its suffix: its count
 times the Kullback-Leibler divergence reaches the number of its next symbols. A
 retained context keeps all its next symbols, absolutely discounted; the rest of
 its probability goes to its longest retained suffix, down to the root, an
-add-one model of all symbols. A text's score is the log10 of the product of its
-symbols' probabilities, each by the state of the longest retained suffix. Counts take all training texts, and no state or
-symbol is left out for room: more text retains more contexts.
+add-one model of all symbols. A word's spelling has the product of its symbols'
+probabilities, each by the state of the longest retained suffix. A text's score
+is the log10 of the product of its words' probabilities, each half by its
+spelling and half by the base (``blended``). Counts take all training texts:
+more text retains more contexts. The depth is a bound, of disk: README has what
+it costs.
 
 Scale: nothing of the model is collected or broadcast. Texts are dealt into
 chunks by a digest; a chunk's distinct contexts and words, a few in a hundred of
@@ -51,6 +54,8 @@ CHUNK = 32 << 20
 #: Distinct keys that a task merges at a time.
 MERGE = 2_000_000
 END = b"\n"
+SEPARATOR = 32
+LN10 = math.log(10)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SYMBOL, TOKEN, TEXT = 0, 1, 2
 
@@ -187,18 +192,51 @@ ADDED = [("train_tokens", T.LongType()), ("n_tokens", T.LongType()), ("n_known",
 def _scores(texts: list[bytes], values: dict[int, tuple[np.ndarray, np.ndarray]], total: int, unit: float) -> list[tuple]:
     """The added columns of up to 256 texts, by the chunk's values."""
     keys, logs = values[SYMBOL]
-    # Sorted lookups are near each other; the text's number is in the lowest byte.
-    of = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) for t in texts])
-    asked = np.sort(symbol_keys(texts) << np.uint64(8) | of)
-    gains = np.bincount((asked & np.uint64(255)).astype(np.int64), logs[np.searchsorted(keys, asked >> np.uint64(8))], len(texts))
+    asked = symbol_keys(texts)
+    # Sorted lookups are near each other.
+    order = np.argsort(asked)
+    of_symbol = np.empty(len(asked))
+    of_symbol[order] = logs[np.searchsorted(keys, asked[order])]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    stops = (data == SEPARATOR) | (data == END[0])
+    tree = np.add.reduceat(of_symbol, np.flatnonzero(np.append(True, stops[:-1]))) if len(data) else of_symbol
+
     hashes, lengths = token_hashes(texts)
     keys, counts = values[TOKEN]
     c = counts[np.searchsorted(keys, hashes)]
     of = np.repeat(np.arange(len(texts)), lengths)
-    known, base = np.bincount(of, c > 0, len(texts)), np.bincount(of, np.log10(c + 1.0) - unit, len(texts))
+    known, logs = np.bincount(of, c > 0, len(texts)), np.log10(c + 1.0) - unit
+    base = np.bincount(of, logs, len(texts))
+    gains = np.bincount(np.repeat(np.arange(len(texts)), np.maximum(lengths - 1, 1)), blended(tree, logs, c > 0, lengths), len(texts))
     return list(zip([total] * len(texts), lengths.tolist(), known.astype(np.int64).tolist(), base.tolist(), gains.tolist(), strict=True))
 
 
+def blended(tree: np.ndarray, logs: np.ndarray, known: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 probability of every word with what follows it (a text without words: its end), half by the tree and half by the base.
+
+    ``tree`` has a value for each of these; ``logs`` and ``known`` have one for
+    each token, the end of each text included. Given that a text goes on, the
+    base gives a word p / (1 - p(end)), and another word follows with 1 - p(end).
+    Words that no training text has are one symbol to the base; of the tree's
+    part of that symbol, the word's own spelling is counted alone.
+    """
+    last = np.cumsum(lengths) - 1
+    end, met = logs[last], known[last]
+    more = np.log10(np.where(met, 1 - 10.0**end, 1.0))
+    # The end joins the last word; a text of nothing else keeps it.
+    ends, alone = np.zeros(len(logs), bool), lengths == 1
+    ends[last[~alone]] = True
+    own = logs[~ends].copy()
+    units = np.maximum(lengths - 1, 1)
+    finals = np.cumsum(units) - 1
+    firsts = finals - units + 1
+    many = units > 1
+    own[firsts[many]] += more[many]
+    own[finals[many]] -= more[many]
+    own[finals[~alone]] += end[~alone]
+    return np.logaddexp(tree * LN10, own * LN10) / LN10 - math.log10(2)
+
+
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """``docs`` without text, with the scores of a model learned from those of its rows where ``train`` holds."""
     python_ready(docs.sparkSession)

@@ -6,6 +6,7 @@ import hashlib
 import importlib
 import math
 import random
+import re
 import struct
 import sys
 import zlib
@@ -271,7 +272,7 @@ def test_ogg_pages():
 
 
 def plain_tree(trained, depth, least):
-    """score(text) by a suffix tree of dictionaries; texts are spelled bytes."""
+    """log10(text, place) by a suffix tree of dictionaries; texts are spelled bytes."""
     count = [{} for _ in range(depth + 1)]
     # A text follows an end; what stands before that is byte 0.
     context = lambda t, k, d: (bytes(depth) + b"\n" + t)[k + depth + 1 - d : k + depth + 1]
@@ -298,7 +299,24 @@ def plain_tree(trained, depth, least):
         total = sum(own.values())
         return max(0.0, own[x] - lm.DISCOUNT) / total + lm.DISCOUNT * len(own) / total * p(c[1:], x)
 
-    return lambda t: sum(math.log10(p(context(t, k, depth), t[k])) for k in range(len(t))), len(kept)
+    return lambda t, k: math.log10(p(context(t, k, depth), t[k])), len(kept)
+
+
+def plain_blend(spelled, tokens, tree, counts):
+    """A text's score, each word with what follows it in half by ``tree`` (log10 of a symbol at a place), in half by the base."""
+    p = lambda w: (counts[w] + 1) / (sum(counts.values()) + len(counts) + 1)
+    units, at, total = re.findall(rb"[^ \n]*[ \n]", spelled), 0, 0.0
+    assert len(units) == max(1, len(tokens) - 1)
+    for k, unit in enumerate(units):
+        by_tree = 10 ** sum(tree(spelled, i) for i in range(at, at + len(unit)))
+        by_base = p(tokens[k])
+        if k > 0:
+            by_base /= 1 - p(b"\n")
+        if tokens[k] != b"\n":
+            by_base *= p(b"\n") if k == len(units) - 1 else 1 - p(b"\n")
+        total += math.log10((by_tree + by_base) / 2)
+        at += len(unit)
+    return total
 
 
 def test_language_model(docs, empty):
@@ -315,11 +333,11 @@ def test_language_model(docs, empty):
         base = sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in ws)
         r = got[k]
         assert (r.train_tokens, r.n_tokens, r.n_known) == (total, len(ws), sum(counts[w] > 0 for w in ws)) and math.isclose(r.base_score, base, rel_tol=1e-9)
-        assert math.isclose(r.score, plain(spelled[k]), rel_tol=1e-9)
+        assert math.isclose(r.score, plain_blend(spelled[k], ws, plain, counts), rel_tol=1e-9)
         better += (r.score - r.base_score) * r.held_out
     assert better > 0
     none = lm.score(marked.where("doc_id < 3"), F.lit(False)).collect()
-    assert len(none) == 3 and none[0].train_tokens == 0 and math.isclose(none[0].score, -math.log10(256) * len(spelled[none[0].doc_id]))
+    assert len(none) == 3 and none[0].train_tokens == 0 and math.isclose(none[0].score, sum(math.log10((1 + 256.0 ** -len(w)) / 2) for w in re.findall(rb"[^ \n]*[ \n]", spelled[none[0].doc_id])))
     assert lm.score(empty, F.lit(True)).count() == 0
 
 
