@@ -32,6 +32,35 @@ def narrow_facts(candidates: Column, facts: Column) -> Column:
     return F.aggregate(facts, start, step)
 
 
+def narrow_counts(positions: DataFrame, described: DataFrame, pool: str, facts: list[str]) -> DataFrame:
+    """``described`` (id, pool, facts) with ``n0``, ``n1``, ...: how many of the pool's positions are left before and after each fact in turn.
+
+    ``narrow_facts`` where a position has one value of each fact and only the
+    numbers are asked for: descriptions of one pool with the same values are one,
+    positions are counted by the values of each set of facts, and a set is looked
+    up. A fact that none of what is left accepts (a null among them) is not applied.
+    """
+    of = [pool, *facts]
+    counted = positions.where(F.col(pool).isNotNull()).groupBy(*of).agg(F.count("*").alias("n"))
+    used = lambda mask, k: mask.bitwiseAND(1 << k) != 0
+    key = lambda mask, k, c: F.when(used(mask, k), F.col(c))
+    by_set = counted.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit((1 << len(facts)) - 1)))).where(" and ".join([f"(mask & {1 << k} = 0 or `{c}` is not null)" for k, c in enumerate(facts)]))
+    by_set = by_set.groupBy(pool, "mask", *[key(F.col("mask"), k, c).alias(f"k{k}") for k, c in enumerate(facts)]).agg(F.sum("n").alias("found"))
+    by_set = by_set.withColumnRenamed(pool, "of").withColumnRenamed("mask", "set")
+    asked = described.select(*of).distinct().join(by_set.where("set = 0").select(F.col("of").alias(pool), F.col("found").alias("n0")), pool).withColumn("mask", F.lit(0))
+    for k in range(len(facts)):
+        wanted = F.col("mask").bitwiseOR(1 << k)
+        same = (F.col(pool) == F.col("of")) & (wanted == F.col("set"))
+        for j, c in enumerate(facts):
+            same = same & key(wanted, j, c).eqNullSafe(F.col(f"k{j}"))
+        asked = asked.join(by_set, same, "left").select(*of, *[f"n{j}" for j in range(k + 1)], F.coalesce("found", f"n{k}").alias(f"n{k + 1}"), F.when(F.col("found").isNotNull(), wanted).otherwise(F.col("mask")).alias("mask"))
+    asked = asked.drop("mask").withColumnsRenamed({c: f"__{c}" for c in of})
+    same = F.col(pool) == F.col(f"__{pool}")
+    for c in facts:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return described.join(asked, same).drop(*[f"__{c}" for c in of])
+
+
 def around(stages: Column, total: Column, names: Column, found: Column, spoken: Column, spoken_names: Column, chosen: Column, code: Column, left: Column) -> Column:
     """The stages of facts with those before (catalogue of ``total`` positions, names with ``found``) and after them.
 
