@@ -1,9 +1,10 @@
 """Counts of narrowing and scores of names, made once for descriptions that are alike."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from nomenclia import catalog_queries as Q
-from nomenclia.operators import narrow
+from nomenclia.operators import index, match, narrow
 
 
 def test_counts_against_the_fold(spark):
@@ -28,3 +29,16 @@ def test_stages_are_not_pairs(spark, name):
     """No plan joins the parts of a name with each other: a join of part with itself by name alone has no count below it."""
     plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "count(1)" in plan
+
+
+def test_names_are_scored_once_for_like_texts(spark):
+    positions = spark.createDataFrame([("1", "red ring"), ("2", "red bolt"), ("3", "blue ring")], "code string, name string")
+    posting = index.postings(index.name_groups(positions))
+    docs = spark.createDataFrame([(i, f"red ring, size {i} mm") for i in range(9)] + [(20, "size 4"), (21, "blue red"), (22, None)], "id long, text string")
+    every = match.description_stems(docs)
+    stems, of = match.shared(docs, posting)
+    assert {r.id for r in stems.select("id").distinct().collect()} == {0, 21}
+    idf = index.idf(posting, index.name_groups(positions))
+    rows = lambda df: sorted((r.id, r.norm, round(r.score, 9), r.coverage, r.evidence, r.head) for r in df.collect())
+    assert rows(match.for_each(match.score_names(stems, posting, idf), of)) == rows(match.score_names(every, posting, idf))
+    assert of.where(F.col("id") == 20).isEmpty()
