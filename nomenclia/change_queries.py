@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nomenclia.operators import bitmaps, edits, replace, spans
 from nomenclia.sources import constraints
+from nomenclia.sources.csv_lines import MOST_ROWS
 from nomenclia.sources.versions import Versioned
 from nomenclia.staging import folder, staged
 from nomenclia.streaming import batches, cache, latest
@@ -250,10 +251,10 @@ FROM supplier WHERE s_suppkey % 9 <> 0
 UNION ALL SELECT s_nationkey, CAST(100000 + s_suppkey AS VARCHAR), 'error', NULL, 100.0, 'done' FROM supplier WHERE s_suppkey % 9 = 0
 """)
 def upload_states(spark, d):
-    """An upload for each nation, its suppliers' names as rows (every ninth a number, which is no description); states after a run, a snapshot and a run without news."""
+    """Uploads for each nation, of as many rows as one may have, its suppliers' names as rows (every ninth a number, which is no description); states after a run, a snapshot and a run without news."""
     rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.when(F.col("s_suppkey") % 9 == 0, (100_000 + F.col("s_suppkey")).cast("string")).otherwise(F.col("s_name")).alias("description"))
     uploads, target = (f"{folder(spark)}/{name}-{uuid.uuid4().hex}" for name in ("uploads", "states"))
-    rows.repartition("nation").write.option("header", "true").partitionBy("nation").csv(uploads)
+    rows.repartition("nation").write.option("header", "true").option("maxRecordsPerFile", MOST_ROWS).partitionBy("nation").csv(uploads)
     answer = lambda docs: docs.select("id", F.lit("resolved").alias("status"), F.upper("text").alias("code"), F.array("text").alias("remaining"))
     for _ in range(2):
         batches.run_batches(spark, uploads, target, answer).awaitTermination()
