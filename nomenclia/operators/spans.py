@@ -38,7 +38,9 @@ def _blocks(start: Column, end: Column) -> Column:
         last = F.when((low < high) & (high % 2 == 1), F.struct(level.alias("level"), (high - 1).alias("block")))
         return F.array_compact(F.array(first, last))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at))
+    # A block is no longer than the span, so no level above the span's length has any.
+    highest = F.least(F.floor(F.log2((end - start).cast("double"))).cast("int"), F.lit(LEVELS - 1))
+    return F.flatten(F.transform(F.sequence(F.lit(0), highest), at))
 
 
 def pieces(spans: DataFrame, rank: Column) -> DataFrame:
