@@ -37,14 +37,18 @@ OPTION = "struct<kind:string,lower:double,upper:double,number:double,label:strin
 
 def by_position(options: DataFrame) -> DataFrame:
     """(pool, key, code, options, ...) of ``options`` (pool, code, char, required, kind, char_type, choice_type, option_kind, label, unit, number, lower, upper, lower_inc, upper_inc)."""
-    unit = U.unit_from_okei(F.substring_index("unit", "; ", 1))
+    unit, norm = F.col("__unit"), F.col("__norm")
     yes = F.lit(True)
+    # Texts are parsed once for each distinct one.
+    options = options.where("code is not null and char is not null")
+    for column, name, of in (("char", "key", X.normalize_phrase(F.col("__text"))), ("label", "__norm", X.normalize_phrase(F.col("__text"))), ("unit", "__unit", U.unit_from_okei(F.substring_index("__text", "; ", 1)))):
+        options = options.join(options.select(F.col(column).alias("__text")).distinct().withColumn(name, of), F.col(column).eqNullSafe(F.col("__text"))).drop("__text")
     option = F.struct(
-        F.col("option_kind").alias("kind"), "lower", "upper", "number", "label", X.normalize_phrase(F.col("label")).alias("norm"), unit.alias("unit"), U.dimension(unit).alias("dimension"), U.factor(unit).alias("factor"),
+        F.col("option_kind").alias("kind"), "lower", "upper", "number", "label", norm.alias("norm"), unit.alias("unit"), U.dimension(unit).alias("dimension"), U.factor(unit).alias("factor"),
         F.coalesce("lower_inc", yes).alias("lower_inc"), F.coalesce("upper_inc", yes).alias("upper_inc"),
     )
     numeric = F.coalesce(F.col("char_type") == 2, F.lit(False)) | F.coalesce(F.col("option_kind").isin("range", "concrete"), F.lit(False))
-    return options.where("code is not null and char is not null").groupBy("pool", X.normalize_phrase(F.col("char")).alias("key"), "code").agg(
+    return options.groupBy("pool", "key", "code").agg(
         F.array_sort(F.collect_set(F.when(F.col("label").isNotNull(), option))).cast(f"array<{OPTION}>").alias("options"),
         F.min(F.trim(F.regexp_replace("char", r"(?U)\s+", " "))).alias("name"), F.bool_or(F.coalesce("required", F.lit(False))).alias("required"), F.min("kind").alias("kind"),
         F.bool_or(numeric).alias("numeric"), F.bool_or(F.coalesce(F.col("choice_type") != 2, yes)).alias("single"),
