@@ -3,6 +3,7 @@
 import random
 from collections import OrderedDict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,47 @@ def test_latest(spark, tmp_path):
         stream = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
         latest.latest(stream, delay="2 hours").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert given(spark.read.parquet(str(tmp_path / "out"))) == expected
+
+
+class Handle:
+    """Counts what a processor writes and registers."""
+
+    def __init__(self):
+        self.kept, self.timers, self.writes = {}, set(), 0
+
+    def getMapState(self, *_):
+        return self
+
+    def iterator(self):
+        return iter([((t,), e) for t, e in self.kept.items()])
+
+    def updateValue(self, key, entry):
+        self.writes += 1
+        self.kept[key[0]] = entry
+
+    def removeKey(self, key):
+        del self.kept[key[0]]
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    registerTimer, deleteTimer = (lambda self, at: self.timers.add(at)), (lambda self, at: self.timers.discard(at))
+
+
+def test_a_long_batch_leaves_what_later_requests_can_meet():
+    rows = pd.DataFrame({"id": range(3000), "at": pd.to_datetime([i * 1000 for i in range(3000)], unit="ms"), "text": [f"text {i % 1000}" for i in range(3000)], "same": [f"text {i % 1000}" for i in range(3000)]})
+    handle, leaders = Handle(), cache.Leaders(100_000, 5000, 60_000)
+    leaders.init(handle)
+    out = pd.concat(leaders.handleInputRows((3,), iter([rows]), None))
+    assert out["leader"].tolist() == list(range(3000))  # a text comes again after ten times its time
+    assert sorted(e[1] for e in handle.kept.values()) == [1000 * i for i in range(2840, 3000)] and handle.writes == 160
+    assert handle.timers == {2_840_000 + 100_000}
+
+
+def test_a_full_bucket_drops_the_longest_unused_at_once():
+    kept, plain = cache.Kept({}, 10**9, 500), []
+    for i in range(60_000):
+        kept.ask(f"text {i % 1777 * 7919 % 1500}", i, i)
+    for i in range(60_000):
+        plain.append(f"text {i % 1777 * 7919 % 1500}")
+    assert set(kept.entries) == set(list(dict.fromkeys(reversed(plain)))[:500])
