@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nomenclia.operators.match import for_each
 from nomenclia.plans import analysis, response
 from nomenclia.sources import catalog_xml
 from nomenclia.staging import folder, staged
@@ -94,9 +95,11 @@ def descriptions(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "supplier").select(i.cast("long").alias("id"), text.alias("text"))
 
 
-def analyzed(spark: SparkSession, d: str) -> tuple[DataFrame, analysis.Catalog]:
+def analyzed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, analysis.Catalog]:
+    """Analyses, one of all equal descriptions; (id, like) of every description; the catalogue."""
     known = catalog(spark, d)
-    return analysis.analyze(descriptions(spark, d), known), known
+    first, of = analysis.shared(descriptions(spark, d))
+    return analysis.analyze_each(first, known), of, known
 
 
 @query("SELECT code, name, material AS label, 'quality' AS kind, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper FROM p UNION ALL SELECT code, name, length, 'range', CASE WHEN v < 2 THEN 100 ELSE 200 END, CASE WHEN v < 2 THEN 200 ELSE 400 END FROM p")
@@ -107,8 +110,8 @@ def ingest_values(spark, d):
 
 @query("SELECT id, CASE kind WHEN 'none' THEN 'name_not_found' WHEN 'open' THEN 'need_more_info' ELSE 'resolved' END AS status, CASE kind WHEN 'full' THEN 'P' || k || '-' || (m + CASE WHEN mm < 200 THEN 0 ELSE 2 END) END AS code, CASE kind WHEN 'open' THEN 2 WHEN 'full' THEN 1 END AS remaining FROM d")
 def analyze_codes(spark, d):
-    got, _ = analyzed(spark, d)
-    return got.select("id", "status", "code", F.when(F.col("remaining").isNotNull(), F.size("remaining")).alias("remaining"))
+    got, of, _ = analyzed(spark, d)
+    return for_each(got.select("id", "status", "code", F.when(F.col("remaining").isNotNull(), F.size("remaining")).alias("remaining")), of)
 
 
 @query(
@@ -116,8 +119,8 @@ def analyze_codes(spark, d):
     UNION ALL SELECT id, 'Длина', 'ok', CAST(mm AS VARCHAR), CASE WHEN mm < 200 THEN '≥ 100 и < 200 Миллиметр' ELSE '≥ 200 и < 400 Миллиметр' END FROM d WHERE kind = 'full'"""
 )
 def analyze_facts(spark, d):
-    got, _ = analyzed(spark, d)
-    return got.where("facts is not null").select("id", F.inline("facts")).select("id", "title", "status", "normalized", "matched")
+    got, of, _ = analyzed(spark, d)
+    return for_each(got.where("facts is not null").select("id", F.inline("facts")).select("id", "title", "status", "normalized", "matched"), of)
 
 
 @query(
@@ -125,14 +128,14 @@ def analyze_facts(spark, d):
     UNION ALL SELECT id, 2, 'characteristic', 4, 2 FROM d WHERE kind <> 'none' UNION ALL SELECT id, 3, 'characteristic', 2, 1 FROM d WHERE kind = 'full'"""
 )
 def analyze_stages(spark, d):
-    got, _ = analyzed(spark, d)
-    return got.select("id", F.posexplode("stages").alias("place", "s")).select("id", "place", "s.kind", "s.before", "s.after")
+    got, of, _ = analyzed(spark, d)
+    return for_each(got.select("id", F.posexplode("stages").alias("place", "s")).select("id", "place", "s.kind", "s.before", "s.after"), of)
 
 
 @query("SELECT id, 1 AS place, 'Длина' AS name, '≥ 100 и < 200 Миллиметр; ≥ 200 и < 400 Миллиметр' AS options FROM d WHERE kind = 'open'")
 def analyze_questions(spark, d):
-    got, _ = analyzed(spark, d)
-    return got.where("suggestions is not null").select("id", F.inline("suggestions")).select("id", "place", "name", F.array_join("options.label", "; ").alias("options"))
+    got, of, _ = analyzed(spark, d)
+    return for_each(got.where("suggestions is not null").select("id", F.inline("suggestions")).select("id", "place", "name", F.array_join("options.label", "; ").alias("options")), of)
 
 
 @query(
@@ -140,8 +143,8 @@ def analyze_questions(spark, d):
     UNION ALL SELECT id, 'Длина', CASE WHEN kind = 'open' THEN NULL WHEN mm < 200 THEN '≥ 100 и < 200 Миллиметр' ELSE '≥ 200 и < 400 Миллиметр' END, CASE kind WHEN 'open' THEN 'missing' ELSE 'ok' END FROM d WHERE kind <> 'none'"""
 )
 def analyze_specification(spark, d):
-    got, known = analyzed(spark, d)
-    return response.specification(got.where("facts is not null"), known.options).select("id", "name", "value", "status")
+    got, of, known = analyzed(spark, d)
+    return for_each(response.specification(staged(got.where("facts is not null"), "analyses"), known.options).select("id", "name", "value", "status"), of)
 
 
 @query(
@@ -151,13 +154,13 @@ def analyze_specification(spark, d):
 )
 def analyze_outputs(spark, d):
     """Candidates, counts of facts and messages of the analyses."""
-    got, known = analyzed(spark, d)
-    got = staged(got, "analyses")
+    got, of, known = analyzed(spark, d)
+    got = staged(got, "analyses", wide=True)
     found = got.where("facts is not null")
     candidates = response.candidates(found, known.positions).select("id", F.lit("candidate").alias("what"), "place", F.col("code").alias("value"))
     quality = response.quality(found).select("id", F.lit("ok facts").alias("what"), F.lit(0).alias("place"), F.concat_ws(" of ", F.col("ok").cast("string"), F.col("facts").cast("string")).alias("value"))
     messages = response.messages(got).select("id", F.lit("message").alias("what"), F.lit(0).alias("place"), F.col("kind").alias("value"))
-    return candidates.unionByName(quality).unionByName(messages)
+    return for_each(candidates.unionByName(quality).unionByName(messages), of)
 
 
 @query("SELECT id, name AS corrected FROM d")
