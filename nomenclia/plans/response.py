@@ -10,7 +10,6 @@ from nomenclia.operators import kernel
 from nomenclia.operators.narrow import CONFLICT, validity_note
 
 CANDIDATES, OPTIONS = 20, 60
-MOST_POSITIONS = 3000
 # The better of two analyses is the one further up.
 STATUS_RANK = ("name_not_found", "low_confidence", "need_more_info", "resolved")
 NOT_RECOGNIZED = ("unrecognized", "no_value", "missing")
@@ -119,13 +118,14 @@ def counts(results: DataFrame, shown: DataFrame) -> DataFrame:
 FACT_MESSAGES = {"unrecognized": ("warning", "unrecognized_characteristic"), "invalid": ("error", "invalid_value"), "unit_mismatch": ("error", "invalid_value"), "ambiguous": ("warning", "ambiguous_value"), "no_value": ("info", "no_value")}
 
 
-def messages(results: DataFrame, typos: DataFrame | None = None, positions: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+def messages(results: DataFrame, typos: DataFrame | None = None, positions: DataFrame | None = None, now: Column | None = None, most: int | None = None) -> DataFrame:
     """(id, level, kind, text): what to tell a user about each analysis.
 
     One message of the outcome (what to add, if it is open), one for each fact
     that is not as it should be, and one each for misspelt words (``typos``: id,
     word, suggestion), a final position that is not in force (``positions``:
-    code, start, end), descriptions with more positions than are looked at, and
+    code, start, end), descriptions with ``most`` positions or more if the
+    analyses looked at no more, and
     a name that was found in part.
     """
     names = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
@@ -155,8 +155,9 @@ def messages(results: DataFrame, typos: DataFrame | None = None, positions: Data
         note = validity_note(F.col("start"), F.col("end"), F.current_timestamp() if now is None else now)
         dated = results.where("code is not null").select("id", "code").join(positions.select("code", "start", "end"), "code").withColumn("text", note).where("text is not null")
         out = out.unionByName(dated.select("id", info, F.lit("validity").alias("kind"), "text"))
-    found = F.get(F.filter("stages", lambda s: s["kind"] == "name"), F.lit(0))["after"]
-    out = out.unionByName(results.where(found >= MOST_POSITIONS).select("id", info, F.lit("truncated").alias("kind"), F.lit(f"{MOST_POSITIONS} positions have this name, and no more were looked at").alias("text")))
+    if most is not None:
+        found = F.get(F.filter("stages", lambda s: s["kind"] == "name"), F.lit(0))["after"]
+        out = out.unionByName(results.where(found >= most).select("id", info, F.lit("truncated").alias("kind"), F.lit(f"{most} positions have this name, and no more were looked at").alias("text")))
     return out.unionByName(results.where("confidence = 'low' and status not in ('low_confidence', 'name_not_found')").select("id", F.lit("warning").alias("level"), F.lit("name_low_confidence").alias("kind"), F.lit("the product's name was found in part only").alias("text")))
 
 
