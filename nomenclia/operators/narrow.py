@@ -106,31 +106,38 @@ def discriminating(pools: DataFrame, values: DataFrame) -> DataFrame:
     return counted.withColumn("kinds", F.col("sets") + (F.col("present") < F.col("pool_size")).cast("int")).where("kinds >= 2").drop("sets")
 
 
-def option_counts(pools: DataFrame, values: DataFrame, most: int = 15) -> DataFrame:
-    """(id, char, label, n, place): the options of each characteristic by frequency, ``most`` of them."""
+def option_counts(pools: DataFrame, values: DataFrame, most: int | None = 15) -> DataFrame:
+    """(id, char, label, n, place): the options of each characteristic by frequency, ``most`` of them, all without it."""
     counted = pools.join(values, "code").groupBy("id", "char", "label").agg(F.count_distinct("code").alias("n"))
     w = Window.partitionBy("id", "char").orderBy(F.desc("n"), "label")
-    return counted.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return _first(counted.withColumn("place", F.row_number().over(w)), most)
 
 
-def suggest(pools: DataFrame, values: DataFrame, characteristics: DataFrame, used: DataFrame, most: int = 5) -> DataFrame:
-    """Next questions: (id, place, char, score, options). ``characteristics`` holds (char, kind, required), ``used`` (id, char)."""
+def _first(placed: DataFrame, most: int | None) -> DataFrame:
+    return placed if most is None else placed.where(F.col("place") <= most)
+
+
+def suggest(pools: DataFrame, values: DataFrame, characteristics: DataFrame, used: DataFrame, most: int | None = 5, most_options: int | None = 15) -> DataFrame:
+    """Next questions: (id, place, char, score, options), ``most`` of them with ``most_options`` each, all without these.
+
+    ``characteristics`` holds (char, kind, required), ``used`` (id, char).
+    """
     known = discriminating(pools, values).join(characteristics, "char").join(used, ["id", "char"], "left_anti")
     score = F.col("kinds") + F.when(F.col("kind") == 1, 2.0).otherwise(0.0) + F.col("required").cast("double") + F.col("present") / F.col("pool_size")
-    options = option_counts(pools, values)
+    options = option_counts(pools, values, most_options)
     listed = options.groupBy("id", "char").agg(F.array_sort(F.collect_list(F.struct("place", "label", "n"))).alias("options"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "char")
     scored = known.withColumn("score", score).join(listed, ["id", "char"])
     everywhere = F.forall("options", lambda o: o["n"] == F.col("pool_size")) & (F.col("present") == F.col("pool_size"))
-    return scored.where(~everywhere).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("id", "place", "char", "score", "options")
+    return _first(scored.where(~everywhere).withColumn("place", F.row_number().over(w)), most).select("id", "place", "char", "score", "options")
 
 
-def refinements(remaining: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Counts of the remaining positions by ``keys``, the ``most`` frequent; none where there is one value only."""
+def refinements(remaining: DataFrame, keys: list[str], most: int | None) -> DataFrame:
+    """Counts of the remaining positions by ``keys``, the ``most`` frequent, all without it; none where there is one value only."""
     counted = remaining.groupBy("id", *keys).agg(F.count("*").alias("n"))
     w = Window.partitionBy("id")
     ranked = counted.withColumn("values", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc("n"), *keys)))
-    return ranked.where((F.col("values") > 1) & (F.col("place") <= most)).drop("values")
+    return _first(ranked.where(F.col("values") > 1), most).drop("values")
 
 
 LEVELS = ("none", "low", "medium", "high")
